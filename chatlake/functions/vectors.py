@@ -1,0 +1,22 @@
+"""Vector math as higher-order column expressions (stays in codegen)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of element products in double (vectors of equal width)."""
+    prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity; NULL (not NaN) when either vector has zero length."""
+    denom = norm(a) * norm(b)
+    return F.when(denom > 0, F.try_divide(dot(a, b), denom))
