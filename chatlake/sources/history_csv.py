@@ -7,9 +7,10 @@ lines).  Main path: CSV rows straight to typed conversations and messages
 response bounds (P11, P13) and write one text per day (S4); those texts can
 be parsed back by ``org_notes.parse_files``.
 
-Everything per row (markers, markdown conversion, offsets inside one
-conversation) is array and regex functions on that row.  The only shuffle
-is the per-day assembly of the rendered text, which is one value per day.
+Everything per CSV row (markers, topic) is array and regex functions on
+that row's own cell.  Rendering works on one row per message
+(``operators.render``): offsets are distributed running sums and a day's
+text is written by streaming its ordered chunks.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlake.operators.render import markdown_to_org, note_texts, render_chunks, write_note_files  # noqa: F401
 from chatlake.plans.numbering import with_row_index
-from chatlake.functions.text import escape_org_headlines, shorten, strip_ws, token_estimate, \
-    topic_from_text
+from chatlake.functions.text import escape_org_headlines, strip_ws, token_estimate, topic_from_text
 
 SPLIT_MARKER = r"(?md)^(?:Question|AI Response):[ \t]*\n"
 FIND_MARKER = r"(?md)^(Question|AI Response):[ \t]*$"
@@ -104,129 +105,24 @@ def history_tables(csv_df: DataFrame, source: str = "history.csv", first_convers
     return conversations, messages
 
 
-# -- rendering to note text ------------------------------------------------------------
+# -- rendering to note text (operators.render) -------------------------------------------
 
-def markdown_to_org(text: Column) -> Column:
-    """Fences -> src blocks, headings +3 levels, inline code, bold, images, links.
-
-    Lines inside a fence are kept as they are; the fence state of a line is
-    the parity of fence lines before it.
-    """
-    lines = F.split(text, "\n", -1)
-    fence = F.transform(lines, lambda ln: F.startswith(strip_ws(ln), F.lit("```")))
-    before = F.aggregate(fence, F.struct(F.array().cast("array<int>").alias("c"),
-                                         F.lit(0).alias("n")),
-                         lambda acc, f: F.struct(F.array_append(acc["c"], acc["n"]).alias("c"),
-                                                 (acc["n"] + f.cast("int")).alias("n")))["c"]
-
-    def convert(ln, i):
-        inside = (F.element_at(before, i + 1) % 2) == 1
-        is_fence = F.element_at(fence, i + 1)
-        lang = strip_ws(F.substring(strip_ws(ln), 4, 1 << 30))
-        fence_out = F.when(inside, F.lit("#+end_src")).otherwise(
-            F.when(F.length(lang) > 0, F.concat(F.lit("#+begin_src "), lang))
-            .otherwise(F.lit("#+begin_src")))
-        head = F.regexp_extract(ln, r"^(#{1,6})(?U)\s+(.*)", 1)
-        head_text = F.regexp_extract(ln, r"^(#{1,6})(?U)\s+(.*)", 2)
-        heading = F.concat(F.repeat(F.lit("*"), F.length(head) + 3), F.lit(" "), head_text)
-        inline = ln
-        for pat, rep in ((r"`([^`]+)`", "~$1~"), (r"\*\*(.+?)\*\*", "*$1*"),
-                         (r"!\[([^\]]*)\]\(([^)]+)\)", "[[$2]]"),
-                         (r"\[([^\]]+)\]\(([^)]+)\)", "[[$2][$1]]")):
-            inline = F.regexp_replace(inline, "(?d)" + pat, rep)
-        return (F.when(is_fence, fence_out).when(inside, ln)
-                .when(ln.rlike(r"^#{1,6}(?U)\s"), heading).otherwise(inline))
-    return F.array_join(F.transform(lines, convert), "\n")
-
-
-def _conversation_piece(topic: Column, messages: Column) -> Column:
-    """One conversation's text and its response spans relative to its start."""
-    head = F.concat(F.lit("* "), topic, F.lit("\n:PROPERTIES:\n:GPTEL_TOPIC: "), topic,
-                    F.lit("\n:END:\n\n"))
-    parts = F.transform(messages, lambda m: F.when(
-        m["role"] == "user",
-        F.struct(F.concat(F.lit("** "), shorten(strip_ws(F.substring_index(m["content"], "\n", 1))),
-                          F.lit("\n"), m["content"], F.lit("\n\n")).alias("pre"),
-                 F.lit("").alias("resp"), F.lit("").alias("post"), F.lit(False).alias("ai")))
-        .otherwise(F.struct(F.lit("*** Response\n").alias("pre"),
-                            markdown_to_org(m["content"]).alias("resp"),
-                            F.lit("\n\n").alias("post"), F.lit(True).alias("ai"))))
-    init = F.struct(head.alias("text"), F.array().cast("array<struct<s:long,e:long>>").alias("spans"))
-
-    def step(acc, p):
-        s = F.length(acc["text"]) + F.length(p["pre"])
-        e = s + F.length(p["resp"])
-        spans = F.when(p["ai"], F.array_append(acc["spans"], F.struct(
-            s.cast("long").alias("s"), e.cast("long").alias("e")))).otherwise(acc["spans"])
-        return F.struct(F.concat(acc["text"], p["pre"], p["resp"], p["post"]).alias("text"),
-                        spans.alias("spans"))
-    return F.aggregate(parts, init, step)
-
-
-def _bounds_header(spans: Column) -> Column:
-    """P13 header: the drawer whose bounds account for its own length.
-
-    Up to 10 rounds, as the reference: start from ``((response))``, shift
-    body positions by the header length, stop when the text repeats.
-    """
-    def props(b):
-        return F.concat(F.lit(":PROPERTIES:\n:GPTEL_BOUNDS: "), b, F.lit("\n:END:\n\n"))
-
-    def bounds_for(offset):
-        pairs = F.transform(spans, lambda p: F.format_string(
-            "(%d %d)", p["s"] + offset + 1, p["e"] + offset + 1))
-        return F.concat(F.lit("((response "), F.array_join(pairs, " "), F.lit("))"))
-
-    init = F.struct(F.lit("((response))").alias("b"), F.lit(False).alias("done"))
-
-    def step(st, _):
-        new = bounds_for(F.length(props(st["b"])))
-        return F.when(st["done"], st).otherwise(
-            F.struct(new.alias("b"), (new == st["b"]).alias("done")))
-    final = F.aggregate(F.sequence(F.lit(1), F.lit(10)), init, step)
-    return props(final["b"])
+def day_messages(rows: DataFrame) -> DataFrame:
+    """One row per message of ``history_rows``, keyed by its day file name."""
+    return (rows.select(F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(".org")).alias("file"),
+                        "ts", "row_no", "topic", F.posexplode("messages").alias("j", "m"))
+            .select("file", "ts", "row_no", "topic", "j", F.col("m.role").alias("role"),
+                    F.col("m.content").alias("content")))
 
 
 def render_days(rows: DataFrame) -> DataFrame:
-    """One note text per day: (day, file_name, content).
+    """Ordered text chunks of one note file per day (``render.render_chunks``).
 
     Conversations of a day are ordered by time, then CSV row.
     """
-    pieces = rows.select("day", "ts", "row_no",
-                         _conversation_piece(F.col("topic"), F.col("messages")).alias("p"))
-    per_day = pieces.groupBy("day").agg(F.array_sort(F.collect_list(
-        F.struct("ts", "row_no", F.col("p.text").alias("text"), F.col("p.spans").alias("spans"))))
-        .alias("cs"))
-    init = F.struct(F.lit("").alias("body"), F.array().cast("array<struct<s:long,e:long>>")
-                    .alias("spans"))
-
-    def step(acc, c):
-        off = F.length(acc["body"]).cast("long")
-        shifted = F.transform(c["spans"], lambda p: F.struct((p["s"] + off).alias("s"),
-                                                             (p["e"] + off).alias("e")))
-        return F.struct(F.concat(acc["body"], c["text"]).alias("body"),
-                        F.concat(acc["spans"], shifted).alias("spans"))
-    day = per_day.select("day", F.aggregate("cs", init, step).alias("d"))
-    content = F.when(F.size("d.spans") > 0,
-                     F.concat(_bounds_header(F.col("d.spans")), F.col("d.body"))
-                     ).otherwise(F.col("d.body"))
-    return day.select("day", F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(".org"))
-                      .alias("file_name"), content.alias("content"))
-
-
-def write_day_files(days: DataFrame, out_dir: str) -> None:
-    """One file ``YYYY-MM-DD.org`` per day, exactly the rendered text.
-
-    Each task writes the days of its partition through Arrow's file-system
-    layer (local, HDFS or object stores).  Rewriting a file is idempotent,
-    so a retried task after an executor loss leaves the same result.
-    """
-    def write(rows):
-        from pyarrow import fs as pafs
-        filesystem, root = pafs.FileSystem.from_uri(out_dir)
-        filesystem.create_dir(root, recursive=True)
-        for r in rows:
-            with filesystem.open_output_stream(f"{root}/{r['file_name']}") as f:
-                f.write(r["content"].encode("utf-8"))
-
-    days.select("file_name", "content").repartition("file_name").foreachPartition(write)
+    return render_chunks(day_messages(rows), "file", ["ts", "row_no"], "j")
+
+
+def write_day_files(chunks: DataFrame, out_dir: str) -> None:
+    """One file ``YYYY-MM-DD.org`` per day, exactly the rendered text."""
+    write_note_files(chunks, out_dir)
