@@ -23,7 +23,9 @@ from chatlake import fixtures  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
 from chatlake.functions.replies import parse_insights  # noqa: E402
 from chatlake.operators import browse, derive, stats, summaries, vectors  # noqa: E402
+from chatlake.operators import render  # noqa: E402
 from chatlake.operators.export import export_conversations  # noqa: E402
+from chatlake.sources import history_csv, org_notes  # noqa: E402
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -96,6 +98,23 @@ def _embed(d, spark, sf_dir):
     return rows.drop("created_at")
 
 
+def _csv_history_rows(d, spark, sf_dir):
+    export = fixtures.history_export(fixtures.raw(spark, sf_dir, "conversations"))
+    rows = history_csv.history_rows(export, keep=["conv_id", "turn"])
+    return (rows.select("conv_id", "turn", "ts", "day", "topic",
+                        F.posexplode("messages").alias("position", "m"))
+            .select("conv_id", "turn", "ts", "day", "topic", "position",
+                    F.col("m.role").alias("role"), F.col("m.content").alias("content")))
+
+
+def _notes_roundtrip(d, spark, sf_dir):
+    chunks = render.render_chunks(fixtures.note_messages(d), "file", ["conversation_id"], "id")
+    texts = render.note_texts(chunks).select(F.col("file").alias("file_path"), "content")
+    convs, msgs, _ = org_notes.ingest_texts(texts)
+    meta = convs.select(F.col("id").alias("conversation_id"), "file_path", "date", "topic")
+    return msgs.join(meta, "conversation_id")
+
+
 def _latest(d, spark, sf_dir):
     return summaries.latest_summary(fixtures.summary_versions(d.summaries))
 
@@ -171,6 +190,9 @@ QUERIES: dict[str, Callable] = {
     "embedding_text": lambda d, s, p: derive.embedding_text(d.conversations, d.summaries,
                                                             d.messages),
     "token_counts": lambda d, s, p: derive.token_counts(d.messages),
+    # ingest: the two input formats, derived from the conversations table
+    "csv_history_rows": _csv_history_rows,
+    "notes_roundtrip": _notes_roundtrip,
     # vectors
     "semantic_search": _semantic,
     "embed_hashed": _embed,

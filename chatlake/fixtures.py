@@ -171,3 +171,59 @@ def fixture_data(spark: SparkSession, sf_dir: str) -> ChatData:
                     insights=insights(docs),
                     summaries=summaries(docs, conv_raw),
                     embeddings=embeddings(raw(spark, sf_dir, "embeddings")))
+
+
+# -- ingest fixtures (V8, V9): text in the two input formats, derived from the table --
+
+def _history_fields(conv_id: F.Column, turn: F.Column) -> dict:
+    """Integer parts of the export date of a turn pair (rule shared with the oracle)."""
+    return {
+        "month": conv_id % 12 + 1,
+        "day": conv_id % 28 + 1,
+        "yy": (conv_id * 7 + turn) % 100,
+        "hour12": (conv_id + turn) % 12 + 1,
+        "minute": (turn * 7) % 60,
+        "pm": (conv_id + turn) % 2 == 1,
+    }
+
+
+def history_export(conv_raw: DataFrame) -> DataFrame:
+    """V8: one chat-history export row per pair of adjacent turns.
+
+    ``Date`` as ``M/D/YY, h:mm AM`` (U+202F before AM/PM when turn % 3 = 0,
+    an unparseable text when (conv_id + turn) % 11 = 0); ``Conversation`` as
+    ``Question:`` / ``AI Response:`` marker lines, the marker chosen by role.
+    """
+    a = conv_raw.select("conv_id", "turn", F.col("role").alias("r1"), F.col("text").alias("t1"))
+    b = conv_raw.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("r2"),
+                        F.col("text").alias("t2"))
+    p = a.join(b, ["conv_id", "turn"])
+    f = _history_fields(F.col("conv_id"), F.col("turn"))
+    sep = F.when(F.col("turn") % 3 == 0, F.lit("\u202f")).otherwise(F.lit(" "))
+    date = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, F.lit("not a date")).otherwise(
+        F.concat(F.format_string("%d/%d/%02d, %d:%02d", f["month"], f["day"], f["yy"],
+                                 f["hour12"], f["minute"]),
+                 sep, F.when(f["pm"], F.lit("PM")).otherwise(F.lit("AM"))))
+
+    def marker(r):
+        return F.when(F.col(r) == "user", F.lit("Question:")).otherwise(F.lit("AI Response:"))
+    conv = F.concat(marker("r1"), F.lit("\n"), F.col("t1"), F.lit("\n"),
+                    marker("r2"), F.lit("\n"), F.col("t2"), F.lit("\n"))
+    return p.select("conv_id", "turn", date.alias("Date"), conv.alias("Conversation"))
+
+
+def note_messages(data: ChatData) -> DataFrame:
+    """V9: every message as a line of its conversation's own note file.
+
+    File ``notes/<conversation_id>/<date>.org`` (``undated.org`` without a
+    date); user text is escaped as the export converter escapes it.
+    """
+    from chatlake.functions.text import escape_org_headlines
+    conv = data.conversations.select(
+        F.col("id").alias("conversation_id"), "topic",
+        F.concat(F.lit("notes/"), F.col("id").cast("string"), F.lit("/"),
+                 F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("undated")),
+                 F.lit(".org")).alias("file"))
+    return data.messages.join(conv, "conversation_id").select(
+        "file", "conversation_id", "id", "role",
+        escape_org_headlines(F.col("content")).alias("content"), "topic")

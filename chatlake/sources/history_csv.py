@@ -68,15 +68,18 @@ def parse_conversation(text: Column) -> Column:
                                                 escape_org_headlines(m["content"]).alias("content")))
 
 
-def history_rows(csv_df: DataFrame) -> DataFrame:
-    """Rows with a valid date and at least one message: (row_no, ts, day, messages, topic)."""
+def history_rows(csv_df: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
+    """Rows with a valid date and at least one message.
+
+    Columns: ``keep`` (passed through), row_no, ts, day, messages, topic.
+    """
     msgs = parse_conversation(F.col("Conversation"))
     ts = parse_csv_date(F.col("Date"))
     first_user = F.filter(F.col("messages"), lambda m: m["role"] == "user")
-    return (csv_df.select(F.monotonically_increasing_id().alias("row_no"), ts.alias("ts"),
+    return (csv_df.select(*keep, F.monotonically_increasing_id().alias("row_no"), ts.alias("ts"),
                           msgs.alias("messages"))
             .where(F.col("ts").isNotNull() & (F.size("messages") > 0))
-            .select("row_no", "ts", F.to_date("ts").alias("day"), "messages",
+            .select(*keep, "row_no", "ts", F.to_date("ts").alias("day"), "messages",
                     topic_from_text(F.try_element_at(first_user, F.lit(1))["content"])
                     .alias("topic")))
 

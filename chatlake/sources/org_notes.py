@@ -169,7 +169,14 @@ def ingest_notes(spark: SparkSession, directory: str, first_conversation_id: int
     start at the given values (pass ``max(id) + 1`` of stored tables to
     append, as AUTOINCREMENT would).
     """
-    parsed = parse_files(read_note_files(spark, directory)).checkpoint(eager=True)
+    return ingest_texts(read_note_files(spark, directory), first_conversation_id,
+                        first_message_id)
+
+
+def ingest_texts(files: DataFrame, first_conversation_id: int = 1,
+                 first_message_id: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S2+W4 over a frame of (file_path, content) note texts; see ``ingest_notes``."""
+    parsed = parse_files(files).checkpoint(eager=True)
     rejected = parsed.where("bad_date").select("file_path", F.lit("impossible date in file name")
                                                .alias("reason"))
     good = parsed.where(~F.col("bad_date"))

@@ -423,6 +423,31 @@ FROM (SELECT e.conversation_id, {COS} AS sim
       ORDER BY sim DESC, e.conversation_id ASC LIMIT 20) top
 JOIN conv c ON c.id = top.conversation_id
 LEFT JOIN summ s ON s.conversation_id = top.conversation_id"""
+    q["csv_history_rows"] = r"""
+WITH p AS (
+  SELECT a.conv_id, a.turn, a.role AS r1, a.text AS t1, b.role AS r2, b.text AS t2
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+  WHERE (a.conv_id + a.turn) % 11 <> 0),
+d AS (
+  SELECT *, make_timestamp(
+           CASE WHEN (conv_id * 7 + turn) % 100 >= 69 THEN 1900 ELSE 2000 END
+             + (conv_id * 7 + turn) % 100,
+           conv_id % 12 + 1, conv_id % 28 + 1,
+           ((conv_id + turn) % 12 + 1) % 12 + CASE WHEN (conv_id + turn) % 2 = 1 THEN 12 ELSE 0 END,
+           (turn * 7) % 60, 0) AS ts,
+         regexp_replace(split_part(CASE WHEN r1 = 'user' THEN t1 WHEN r2 = 'user' THEN t2 END,
+                                   chr(10), 1), '^\s+|\s+$', '', 'g') AS fl
+  FROM p),
+m AS (
+  SELECT conv_id, turn, ts, fl, 0 AS position, r1 AS r, t1 AS t FROM d
+  UNION ALL
+  SELECT conv_id, turn, ts, fl, 1 AS position, r2 AS r, t2 AS t FROM d)
+SELECT conv_id, turn, ts, CAST(ts AS DATE) AS day,
+       coalesce(CASE WHEN length(fl) > 60 THEN substr(fl, 1, 57) || '...' ELSE fl END,
+                'Conversation') AS topic,
+       position, CASE WHEN r = 'user' THEN 'user' ELSE 'assistant' END AS role,
+       regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(^|\n)\* ', '\1- ', 'g') AS content
+FROM m"""
     return q
 
 

@@ -243,3 +243,27 @@ def test_write_and_parse_back(spark, csv_path, tmp_path):
         exp += [m[:2] for c in parsed for m in c[3]]
     got = [(r.role, r.content) for r in msgs.orderBy("id").collect()]
     assert got == exp
+
+
+def test_notes_roundtrip_query_matches_model(spark):
+    """The registered round-trip query over the whole sf0.001 tables vs the model."""
+    import __spark_entry__ as E
+    from chatlake import fixtures
+    sf = "/root/testdata/sf0.001"
+    got = sorted((os.path.basename(os.path.dirname(r.file_path)), r.role, r.content, r.char_start,
+                  r.char_end, r.id, r.conversation_id)
+                 for r in E.queries()["notes_roundtrip"](spark, sf).collect())
+    lines = fixtures.note_messages(fixtures.fixture_data(spark, sf)).collect()
+    files = {}
+    for r in sorted(lines, key=lambda r: (r.file, r.id)):
+        files.setdefault(r.file, (r.topic, []))[1].append((r.role, r.content))
+    exp, cid, mid = [], 1, 1
+    for name in sorted(files):
+        topic, ms = files[name]
+        _, parsed = brute.parse_note(os.path.basename(name), brute.render_day([(topic, ms)]))
+        for conv in parsed:
+            for role, content, a, b in conv[3]:
+                exp.append((name.split("/")[1], role, content, a, b, mid, cid))
+                mid += 1
+            cid += 1
+    assert got == sorted(exp)
