@@ -68,17 +68,16 @@ class ChatData:
                 found[name] = spark.read.parquet(path)
         return cls(spark=spark, **found)
 
-    def write(self, root: str, mode: str = "overwrite") -> dict:
-        """Write every present table under ``root``; returns row counts."""
-        counts = {}
+    def write(self, root: str, mode: str = "overwrite") -> list[str]:
+        """Write every present table under ``root``; returns the names written."""
+        written = []
         for name in self.TABLES:
             df = getattr(self, name, None)
             if df is None:
                 continue
-            out = os.path.join(root, name)
-            df.write.mode(mode).parquet(out)
-            counts[name] = self.spark.read.parquet(out).count()
-        return counts
+            df.write.mode(mode).parquet(os.path.join(root, name))
+            written.append(name)
+        return written
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

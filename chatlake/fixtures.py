@@ -162,7 +162,37 @@ def replies(documents: DataFrame) -> DataFrame:
                           .alias("content")).alias("message")).alias("result"))
 
 
-def fixture_data(spark: SparkSession, sf_dir: str) -> ChatData:
+_STORED: dict = {}
+
+
+def fixture_data(spark: SparkSession, sf_dir: str, stored: bool = True) -> ChatData:
+    """The archive tables of one test-data folder.
+
+    ``stored=True`` (default): the views are written once per Spark
+    application as Parquet tables under the shared ``spark.checkpoint.dir``
+    and read back, as an archive is ingested once and queried many times.
+    ``stored=False``: the lazy view plans over the raw tables.
+    """
+    if not stored:
+        return derived_data(spark, sf_dir)
+    import hashlib
+    import os
+
+    from chatlake.session import checkpoint_dir
+    app = spark.sparkContext.applicationId
+    key = (app, os.path.abspath(sf_dir))
+    if key not in _STORED:
+        stamp = "|".join(f"{n}:{os.path.getsize(os.path.join(sf_dir, n))}:"
+                         f"{os.path.getmtime(os.path.join(sf_dir, n))}"
+                         for n in sorted(os.listdir(sf_dir)) if n.endswith(".parquet"))
+        digest = hashlib.sha1(f"{key[1]}|{stamp}".encode()).hexdigest()[:16]
+        root = f"{checkpoint_dir(spark).rstrip('/')}/chatlake-tables/{app}-{digest}"
+        derived_data(spark, sf_dir).write(root)
+        _STORED[key] = ChatData.read(spark, root)
+    return _STORED[key]
+
+
+def derived_data(spark: SparkSession, sf_dir: str) -> ChatData:
     conv_raw = raw(spark, sf_dir, "conversations")
     docs = raw(spark, sf_dir, "documents")
     return ChatData(spark=spark,

@@ -56,14 +56,16 @@ def parse_conversation(text: Column) -> Column:
     Part ``i + 1`` of the split belongs to marker ``i``; a marker on the
     last line without a newline has no part and yields nothing (D22).
     Content is trimmed, empties dropped, line-start ``* `` escaped.
+    ``zip_with`` pairs markers and parts so each array is computed once per
+    row (an array referenced inside a lambda is recomputed per element).
     """
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    parts = F.split(t, SPLIT_MARKER, -1)
+    parts = F.slice(F.split(t, SPLIT_MARKER, -1), 2, 1 << 30)
     markers = F.regexp_extract_all(t, F.lit(FIND_MARKER), F.lit(1))
-    msgs = F.transform(markers, lambda m, i: F.struct(
+    msgs = F.zip_with(markers, parts, lambda m, p: F.struct(
         F.when(m == "Question", F.lit("user")).otherwise(F.lit("assistant")).alias("role"),
-        F.coalesce(strip_ws(F.try_element_at(parts, i + 2)), F.lit("")).alias("content")))
-    msgs = F.filter(msgs, lambda m: F.length(m["content"]) > 0)
+        F.coalesce(strip_ws(p), F.lit("")).alias("content"), m.isNotNull().alias("ok")))
+    msgs = F.filter(msgs, lambda m: m["ok"] & (F.length(m["content"]) > 0))
     return F.transform(msgs, lambda m: F.struct(m["role"].alias("role"),
                                                 escape_org_headlines(m["content"]).alias("content")))
 
