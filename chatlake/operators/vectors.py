@@ -1,15 +1,19 @@
 """Vector search and embedding.
 
 ``semantic_search`` compares one query vector with every stored vector.
-The query enters the plan as a scalar subquery over a one-row frame
-(``limit(1)`` proves the bound), not as a join, so each task scores its
-own slice of vectors and keeps a top-k heap (TakeOrderedAndProject); only
-k rows per task reach the final merge.  Metadata is joined after the cut,
-as the reference does (an id without a conversation is dropped there).
+The query is one vector of a fixed width (the reference embeds the query
+text on the driver too), so it enters the plan as a literal array: the
+stored vectors are scanned once, each task scores its own slice and keeps
+a top-k heap (TakeOrderedAndProject), and only k rows per task reach the
+final merge.  Rows with a zero-length vector get a NULL score; they sort
+after every real score, so dropping them after the cut gives the same
+rows as dropping them before it.  Metadata is joined after the cut, as the
+reference does (an id without a conversation is dropped there).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,38 +22,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.functions.vectors import cosine
+from chatlake.functions.vectors import dot, norm
 from chatlake.operators import browse, derive
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BATCH_SIZE = 128
 
 
-def query_vector(embeddings: DataFrame, conversation_id) -> F.Column:
-    """A stored vector as a scalar value usable in any expression."""
-    return (embeddings.where(F.col("conversation_id") == conversation_id)
-            .select("embedding").limit(1).scalar())
+def query_vector(embeddings: DataFrame, conversation_id) -> list[float] | None:
+    """A stored vector, fetched once (one row of a fixed width) to use as the query."""
+    row = (embeddings.where(F.col("conversation_id") == conversation_id)
+           .select("embedding").limit(1).first())
+    return None if row is None or row[0] is None else [float(x) for x in row[0]]
 
 
-def similarity(embeddings: DataFrame, query: F.Column) -> DataFrame:
-    """(conversation_id, similarity) for every stored vector; zero vectors give NULL."""
-    # The query value is projected first: subqueries may not sit inside
-    # the higher-order functions that compute the similarity.
-    return (embeddings.select("conversation_id", "embedding", query.alias("_q"))
-            .select("conversation_id", cosine(F.col("embedding"), F.col("_q")).alias("similarity")))
+def similarity(embeddings: DataFrame, query: list[float]) -> DataFrame:
+    """(conversation_id, similarity) for every stored vector; zero vectors give NULL.
+
+    The query's norm is computed once here, in the same order of summation
+    as the per-row norm, so scores equal the symmetric formula.
+    """
+    q_norm = math.sqrt(sum(x * x for x in query))
+    q = F.lit(query).cast("array<double>")
+    e = F.col("embedding")
+    denom = norm(e) * F.lit(q_norm)
+    score = F.when(denom > 0, F.try_divide(dot(e, q), denom))
+    return embeddings.select("conversation_id", score.alias("similarity"))
 
 
 def semantic_search(embeddings: DataFrame, conversations: DataFrame,
-                    summaries: DataFrame | None, query: F.Column, limit: int = 20,
+                    summaries: DataFrame | None, query: list[float], limit: int = 20,
                     digits: int | None = 6) -> DataFrame:
     """Top-``limit`` conversations by cosine similarity."""
-    sims = similarity(embeddings, query).where(F.col("similarity").isNotNull())
-    top = sims.orderBy(F.desc("similarity"), F.asc("conversation_id")).limit(limit)
+    top = (similarity(embeddings, query)
+           .orderBy(F.desc_nulls_last("similarity"), F.asc("conversation_id")).limit(limit)
+           .where(F.col("similarity").isNotNull())
+           .checkpoint(eager=True))
+    # ``top`` holds at most ``limit`` rows, written once (so the vectors are
+    # scanned once although it is used twice): broadcasting it is bounded by
+    # the limit, and the big tables are only filtered by its ids.
+    ids = F.broadcast(top.select("conversation_id"))
     conv = conversations.select(F.col("id").alias("conversation_id"), "topic", "date", "model")
-    out = top.join(conv, "conversation_id")
+    out = F.broadcast(top).join(conv, "conversation_id")
     if summaries is not None:
-        out = out.join(summaries.select("conversation_id", "summary", "key_topics", "sentiment",
-                                        "outcome"), "conversation_id", "left")
+        hits = summaries.select("conversation_id", "summary", "key_topics", "sentiment",
+                                "outcome").join(ids, "conversation_id", "left_semi")
+        out = out.join(hits, "conversation_id", "left")
     else:
         for c, t in (("summary", "string"), ("key_topics", "array<string>"),
                      ("sentiment", "string"), ("outcome", "string")):
