@@ -51,7 +51,9 @@ def markdown_to_org(text: Column) -> Column:
     """Fences -> src blocks, headings +3 levels, inline code, bold, images, links.
 
     Lines inside a fence are kept as they are; the fence state of a line is
-    the parity of fence lines before it.
+    the parity of fence lines before it.  The lines, their fence flags and
+    the parity counts are zipped once, so the per-line lambda reads struct
+    fields instead of recomputing whole arrays for every line.
     """
     lines = F.split(text, "\n", -1)
     fence = F.transform(lines, lambda ln: F.startswith(strip_ws(ln), F.lit("```")))
@@ -61,9 +63,9 @@ def markdown_to_org(text: Column) -> Column:
                                                  (acc["n"] + f.cast("int")).alias("n")))["c"]
     heading_pat = r"(?d)^(#{1,6})(?U)\s+(.*)"
 
-    def convert(ln, i):
-        inside = (F.element_at(before, i + 1) % 2) == 1
-        is_fence = F.element_at(fence, i + 1)
+    def convert(z):
+        ln = z["ln"]
+        inside = (z["before"] % 2) == 1
         lang = strip_ws(F.substring(strip_ws(ln), 4, 1 << 30))
         fence_out = F.when(inside, F.lit("#+end_src")).otherwise(
             F.when(F.length(lang) > 0, F.concat(F.lit("#+begin_src "), lang))
@@ -76,9 +78,10 @@ def markdown_to_org(text: Column) -> Column:
                          (r"!\[([^\]]*)\]\(([^)]+)\)", "[[$2]]"),
                          (r"\[([^\]]+)\]\(([^)]+)\)", "[[$2][$1]]")):
             inline = F.regexp_replace(inline, "(?d)" + pat, rep)
-        return (F.when(is_fence, fence_out).when(inside, ln)
+        return (F.when(z["fence"], fence_out).when(inside, ln)
                 .when(ln.rlike(r"^#{1,6}(?U)\s"), heading).otherwise(inline))
-    return F.array_join(F.transform(lines, convert), "\n")
+    zipped = F.arrays_zip(lines.alias("ln"), fence.alias("fence"), before.alias("before"))
+    return F.array_join(F.transform(zipped, convert), "\n")
 
 
 def _digits(v: Column) -> Column:
@@ -116,8 +119,11 @@ def render_chunks(msgs: DataFrame, file_col: str, conv_order: list[str], msg_ord
 
     # Response spans, body-relative and 0-based.
     resp_start = F.col("_off") + F.lit(len(RESPONSE_HEAD))
+    # Written once: the ten rounds below then read four numbers per response,
+    # not the checkpointed pieces with their text.
     spans = placed.where("_ai").select(F.col(file_col).alias("_f"), F.col("_pos"),
-                                       resp_start.alias("s"), (resp_start + F.col("_lead")).alias("e"))
+                                       resp_start.alias("s"), (resp_start + F.col("_lead")).alias("e")
+                                       ).checkpoint(eager=True)
     # Drawer length: H(1) = len of the drawer around ((response)); each round
     # H <- len(drawer(bounds shifted by H)); ten rounds give the offset used.
     h = spans.groupBy("_f").agg(F.lit(len(DRAWER_HEAD) + len(EMPTY_BOUNDS) + len(DRAWER_TAIL))
