@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The archive has no stream, watermark, window or state semantics to carry
+over.  Its only incremental idea -- process the conversations that have no
+output row yet (insights, summaries, vectors) -- is expressed as batch
+anti-joins (``operators.browse.unextracted_conversations``,
+``unsummarized_conversations``, ``unembedded_conversations``), which are
+idempotent and re-runnable after any failure.
+"""
