@@ -114,8 +114,10 @@ def render_chunks(msgs: DataFrame, file_col: str, conv_order: list[str], msg_ord
                         F.when(user, F.lit(0)).otherwise(F.length(body)).cast("long").alias("_lead"),
                         piece.alias("piece"))
     pieces = heads.unionByName(lines).withColumn("_len", F.length("piece").cast("long"))
+    # Deterministic over the sorted rows that with_row_index has checkpointed,
+    # so it is recomputed for its two uses rather than written out again.
     placed = with_row_index(pieces, [*conv_order, "_j"], "_pos", sums={"_off": "_len"},
-                            partition_by=[file_col]).checkpoint(eager=True)
+                            partition_by=[file_col])
 
     # Response spans, body-relative and 0-based.
     resp_start = F.col("_off") + F.lit(len(RESPONSE_HEAD))
