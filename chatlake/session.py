@@ -23,8 +23,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
                   app_name: str = "chatlake", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(BASE_CONF)
-    # Local runs only: a cluster names its shared folder itself.
-    conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="chatlake-ckpt-")
+    # spark.checkpoint.dir is not set here: a cluster names its shared folder;
+    # ensure_checkpoint_dir makes a scratch one only when none is configured.
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
