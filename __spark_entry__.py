@@ -199,11 +199,29 @@ QUERIES: dict[str, Callable] = {
 }
 
 
+def _llm() -> tuple[dict[str, Callable], dict[str, str]]:
+    """Queries and oracles of the llm subpackage, or nothing where it is absent."""
+    found, oracles = {}, {}
+    try:
+        from chatlake.llm.queries import ORACLES, QUERIES as LLM_QUERIES
+        found.update(LLM_QUERIES)
+        oracles.update(ORACLES)
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name is None or not e.name.startswith(("chatlake.llm", "corpus_pipeline")):
+            raise
+    else:
+        found["pipeline"] = corpus_pipeline.run
+        if corpus_pipeline.ORACLE_SQL:
+            oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, oracles
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _q(fn) for k, fn in QUERIES.items()}
+    return {k: _q(fn) for k, fn in QUERIES.items()} | _llm()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import oracle_sql as _oracles
     q = _oracles()
-    return {k: v for k, v in q.items() if k in QUERIES}
+    return {k: v for k, v in q.items() if k in QUERIES} | _llm()[1]
