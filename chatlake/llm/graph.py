@@ -37,8 +37,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Links (a, b) -> (node, root), root the smallest node of the component.
 
-    Only nodes that have a link to another node appear.  Null ends and links
-    of a node to itself are ignored; the order of the ends doesn't matter.
+    One row for every linked node but the roots themselves.  Null ends and
+    links of a node to itself are ignored; the order of the ends doesn't
+    matter.
     """
     links = edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -66,14 +66,19 @@ def simhash(text: bytes | None, words: int, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit form of every document's fingerprint."""
+    """(doc_id, row, fp): the signed 64-bit form of every row's fingerprint.
+
+    ``row`` is a hash of the text, which tells rows of one doc_id apart.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, words) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([simhash(t, words) for t in b.column(2).cast(pa.large_binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
+                                             names=["doc_id", "row", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(
+        run, f"doc_id {ids}, row long, fp long")
 
 
 class Ring:
@@ -182,12 +187,26 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): smallest doc_id reachable over links."""
+    """(doc_id, row, fp, root, component_id): smallest doc_id reachable over links.
+
+    ``root`` is the component's smallest fingerprint.
+    """
     own = stored(fingerprints(docs, words), "simhash")
     fps = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simfps")
     roots = connected_components(links(fps, max_bits))
     grouped = stored(fps.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
                      .select("fp", "first", F.coalesce("root", "fp").alias("root")), "simroots")
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = grouped.join(least, "root").select("fp", "component_id")
-    return own.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = grouped.join(least, "root").select("fp", "root", "component_id")
+    return own.join(ids, "fp").select("doc_id", "row", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
+    """The documents, one row of every component: its smallest doc_id."""
+    found = near_duplicates(docs, words, max_bits)
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x"))
+    first = stored(first.select(F.col("x.doc_id").alias("__d"), F.col("x.row").alias("__r")).distinct(), "simkept")
+    rows = docs.withColumn("__row", F.xxhash64("text"))
+    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["__d"]) & (rows["__row"] == first["__r"]), "left_semi")
+    # Rows that are the same in id and text are copies of each other.
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)

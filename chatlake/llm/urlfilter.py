@@ -129,7 +129,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None =
     ruled = stored(winning_rules(places, rules).select("key.host", "key.path", "rule", "rule_verdict"), "ruled")
     roots = connected_components(edges.select(identity(F.col("source")).alias("a"),
                                               identity(F.col("target")).alias("b")))
-    roots = stored(roots, "urlroots")
+    roots = stored(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "urlroots")
     linked = seen.join(roots, "node")
     blocked = (linked.join(ruled, ["host", "path"]).where("rule_verdict = 'block'").select("root").distinct())
     tainted = (roots.join(blocked.withColumn("tainted", F.lit(True)), "root", "left")
