@@ -72,4 +72,55 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER w <= 20 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
+    "op10_mixing": r"""
+WITH base AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+by_source AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no
+  FROM base GROUP BY source),
+weighed AS (
+  SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, 3e0 * source_size AS most
+  FROM by_source),
+levels AS (
+  SELECT *, most / weight AS full_at,
+         (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, no
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+         / sum(weight) OVER (ORDER BY most / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+src AS (
+  SELECT source, no, source_size, least(most, coalesce(
+           (SELECT level FROM levels WHERE level <= full_at ORDER BY full_at, no LIMIT 1) * weight, most)) AS target
+  FROM levels),
+rows AS (
+  SELECT b.doc_id, b.source, b.size, s.no, s.source_size, s.target,
+         CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0e0 END AS ratio,
+         (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(b.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
+          + 5e-1) / 4503599627370496e0 AS u
+  FROM base b JOIN src s ON b.source IS NOT DISTINCT FROM s.source),
+scored AS (
+  SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share,
+         CASE WHEN ratio - floor(ratio) > 0
+              THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) ELSE u END AS score
+  FROM rows),
+ranked AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY no ORDER BY score, doc_id, size
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before
+  FROM scored),
+taken AS (
+  SELECT *, CAST(whole AS BIGINT) + CASE WHEN share > 0 AND words_before + size / 2e0 <= target - whole * source_size
+                                         THEN 1 ELSE 0 END AS copies
+  FROM ranked)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies
+FROM taken""",
+}
