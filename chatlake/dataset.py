@@ -63,8 +63,8 @@ class ChatData:
         """
         found = {}
         for name in cls.TABLES:
-            path = os.path.join(root, name)
-            if _exists(spark, path):
+            path = resolve(spark, os.path.join(root, name))
+            if path is not None:
                 found[name] = spark.read.parquet(path)
         return cls(spark=spark, **found)
 
@@ -80,6 +80,15 @@ class ChatData:
         return written
 
 
+#: Suffix of a table's previous folder while it is being replaced.
+OLD = ".__old"
+
+
+def resolve(spark: SparkSession, path: str) -> str | None:
+    """The folder of a stored table: ``path``, or its old folder in mid-replacement."""
+    return next((p for p in (path, path + OLD) if _exists(spark, p)), None)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)

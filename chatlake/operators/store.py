@@ -3,13 +3,12 @@
 * appends (conversations, messages, insights) get ids that continue the
   stored ones: ``max(id) + 1`` is one aggregated number, and new rows are
   numbered by ``plans.numbering`` (distributed, no single-task window);
-* upserts (summaries by conversation, embeddings by conversation) union the
-  new rows with the stored ones and keep the latest per key with a
-  partial-aggregating ``max`` (no hot key lands in one task);
+* upserts (summaries and embeddings by conversation) keep the stored rows
+  of other conversations (anti join on the key) and add the new ones;
 * a table that is read while it is rewritten is written to a fresh folder
-  and swapped in afterwards, so a failed or retried job never leaves a
-  half-written table in place (new rows must therefore not be lazy reads of
-  the table they replace: checkpoint or write them first);
+  and renamed into place, the old one kept until then, so a failed or
+  retried job leaves the old or the new table (new rows must therefore not
+  be lazy reads of the table they replace: checkpoint or write them first);
 * daily figures are recomputed from the stored conversations and messages
   and overwritten (the reference replaces them date by date).
 """
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatlake import schemas
-from chatlake.dataset import ChatData, _exists
+from chatlake.dataset import OLD, resolve
 from chatlake.operators import stats
 from chatlake.operators.summaries import SUMMARY_COLS, latest_summary
 from chatlake.plans.numbering import with_row_index
@@ -41,19 +40,35 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+def _rename(fs, jvm, a: str, b: str) -> None:
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b)):
+        raise OSError(f"could not rename {a} to {b}")
+
+
 def _swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write ``df`` to a fresh folder, then replace ``path`` with it."""
-    tmp = f"{path.rstrip('/')}.__new-{uuid.uuid4().hex}"
+    """Write ``df`` to a fresh folder, then put it in the place of ``path``.
+
+    The old folder is renamed to ``.__old`` first and deleted last; readers
+    take it while ``path`` is missing (``dataset.resolve``), so a crash at any
+    point leaves either the old or the new table.
+    """
+    path = path.rstrip("/")
+    tmp, old = f"{path}.__new-{uuid.uuid4().hex}", f"{path}{OLD}"
     df.write.mode("errorifexists").parquet(tmp)
     fs, target, jvm = _fs(spark, path)
+    backup = jvm.org.apache.hadoop.fs.Path(old)
     if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target)
+        if fs.exists(backup):
+            fs.delete(backup, True)
+        _rename(fs, jvm, path, old)
+    _rename(fs, jvm, tmp, path)
+    if fs.exists(backup):
+        fs.delete(backup, True)
 
 
 def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    path = os.path.join(root, name)
-    return spark.read.parquet(path) if _exists(spark, path) else None
+    path = resolve(spark, os.path.join(root, name))
+    return None if path is None else spark.read.parquet(path)
 
 
 def next_id(table: DataFrame | None) -> int:
@@ -105,23 +120,32 @@ def append_insights(spark: SparkSession, root: str, rows: DataFrame) -> None:
 
 
 def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame) -> None:
-    """Insert or replace by conversation; new rows get new ids."""
+    """Insert or replace by conversation; new rows get new ids.
+
+    A new row always replaces the stored one, whatever their times.  Of
+    several new rows of one conversation the latest stays (then the last id).
+    """
     existing = _table(spark, root, "summaries")
     start = next_id(existing)
-    new = with_row_index(rows.drop("id"), ["conversation_id"], "id", start).select(*SUMMARY_COLS)
-    both = new if existing is None else existing.select(*SUMMARY_COLS).unionByName(new)
-    _swap_in(spark, latest_summary(both).select(*SUMMARY_COLS), os.path.join(root, "summaries"))
+    new = with_row_index(rows.drop("id"), ["conversation_id", F.col("summarized_at").asc_nulls_first()], "id",
+                         start).select(*SUMMARY_COLS)
+    new = latest_summary(new).select(*SUMMARY_COLS)
+    _replace(spark, existing, new, os.path.join(root, "summaries"))
 
 
 def upsert_embeddings(spark: SparkSession, root: str, rows: DataFrame) -> None:
     """Insert or replace one vector per conversation; the newer row wins."""
     cols = schemas.EMBEDDINGS.names
-    existing = _table(spark, root, "embeddings")
-    tagged = rows.select(*cols, F.lit(1).alias("_v"))
-    if existing is not None:
-        tagged = existing.select(*cols, F.lit(0).alias("_v")).unionByName(tagged)
-    best = F.max(F.struct("_v", "created_at", "embedding", "model")).alias("b")
-    out = tagged.groupBy("conversation_id").agg(best).select(
+    best = F.max(F.struct("created_at", "embedding", "model")).alias("b")
+    new = rows.groupBy("conversation_id").agg(best).select(
         "conversation_id", F.col("b.embedding").alias("embedding"), F.col("b.model").alias("model"),
-        F.col("b.created_at").alias("created_at"))
-    _swap_in(spark, out, os.path.join(root, "embeddings"))
+        F.col("b.created_at").alias("created_at")).select(*cols)
+    _replace(spark, _table(spark, root, "embeddings"), new, os.path.join(root, "embeddings"))
+
+
+def _replace(spark: SparkSession, existing: DataFrame | None, new: DataFrame, path: str) -> None:
+    """Stored rows of other conversations, and the new rows."""
+    if existing is not None:
+        kept = existing.select(*new.columns).join(new.select("conversation_id"), "conversation_id", "left_anti")
+        new = kept.select(*new.columns).unionByName(new)
+    _swap_in(spark, new, path)

@@ -6,7 +6,7 @@ returns an empty result, as the reference does when the table is missing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake import schemas
@@ -16,41 +16,48 @@ SUMMARY_COLS = ["id", "conversation_id", "summary", "key_topics", "sentiment", "
                 "summarized_at"]
 
 
-def _present(spark_df_or_none, spark, schema):
-    return spark_df_or_none if spark_df_or_none is not None else spark.createDataFrame([], schema)
+def _table(summaries: DataFrame | None) -> DataFrame:
+    """The table, or an empty one where the archive has none."""
+    if summaries is not None:
+        return summaries
+    return SparkSession.active().createDataFrame([], schemas.SUMMARIES)
 
 
-def value_counts(summaries: DataFrame, column: str) -> DataFrame:
+def value_counts(summaries: DataFrame | None, column: str) -> DataFrame:
     """Count per value (NULL is its own group), most frequent first."""
-    return (summaries.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    return (_table(summaries).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
             .orderBy(F.desc("count"), F.asc_nulls_first(column)))
 
 
-def sentiment_counts(summaries: DataFrame) -> DataFrame:
+def sentiment_counts(summaries: DataFrame | None) -> DataFrame:
     return value_counts(summaries, "sentiment")
 
 
-def outcome_counts(summaries: DataFrame) -> DataFrame:
+def outcome_counts(summaries: DataFrame | None) -> DataFrame:
     return value_counts(summaries, "outcome")
 
 
-def summary_stats(summaries: DataFrame) -> DataFrame:
-    """Total plus both distributions as one long table (kind, value, count)."""
-    total = summaries.agg(F.count(F.lit(1)).alias("count")).select(
+def summary_stats(summaries: DataFrame | None) -> DataFrame:
+    """Total plus both distributions as one long table (kind, value, count).
+
+    Both distributions come from one scan with grouping sets.
+    """
+    s, e = F.col("sentiment"), F.col("outcome")
+    table = _table(summaries)
+    total = table.agg(F.count(F.lit(1)).alias("count")).select(
         F.lit("total").alias("kind"), F.lit(None).cast("string").alias("value"), "count")
-    sent = sentiment_counts(summaries).select(F.lit("sentiment").alias("kind"),
-                                              F.col("sentiment").alias("value"), "count")
-    outc = outcome_counts(summaries).select(F.lit("outcome").alias("kind"),
-                                            F.col("outcome").alias("value"), "count")
-    return total.unionByName(sent).unionByName(outc)
+    both = (table.select(s, e).groupingSets([[s], [e]], s, e)
+            .agg(F.count(F.lit(1)).alias("count"), F.grouping("sentiment").alias("_gs")))
+    kind = F.when(F.col("_gs") == 0, "sentiment").otherwise("outcome")
+    return total.unionByName(both.select(kind.alias("kind"), F.coalesce(s, e).alias("value"), "count"))
 
 
-def get_summary(summaries: DataFrame, conversation_id) -> DataFrame:
+def get_summary(summaries: DataFrame | None, conversation_id) -> DataFrame:
     """the summary of one conversation."""
-    return summaries.where(F.col("conversation_id") == conversation_id)
+    return _table(summaries).where(F.col("conversation_id") == conversation_id)
 
 
-def summaries_filtered(summaries: DataFrame, conversations: DataFrame,
+def summaries_filtered(summaries: DataFrame | None, conversations: DataFrame,
                        messages: DataFrame | None, sentiment: str | None = None,
                        outcome: str | None = None, limit: int | None = None) -> DataFrame:
     """Summaries with conversation info and message count, newest first.
@@ -58,7 +65,7 @@ def summaries_filtered(summaries: DataFrame, conversations: DataFrame,
     Message counts are aggregated per conversation before the left join, so
     the join never multiplies summary rows.
     """
-    s = summaries
+    s = _table(summaries)
     if sentiment:
         s = s.where(F.col("sentiment") == sentiment)
     if outcome:
@@ -79,7 +86,7 @@ def summaries_filtered(summaries: DataFrame, conversations: DataFrame,
     return out.limit(limit) if limit else out
 
 
-def keyword_search(summaries: DataFrame, conversations: DataFrame, query: str,
+def keyword_search(summaries: DataFrame | None, conversations: DataFrame, query: str,
                    limit: int = 50, wildcards: bool = False) -> DataFrame:
     """F8: conversations whose summary or a key topic contains ``query``.
 
@@ -90,33 +97,21 @@ def keyword_search(summaries: DataFrame, conversations: DataFrame, query: str,
     hit = contains_folded(F.col("summary"), query, wildcards) | F.coalesce(
         F.exists("key_topics", lambda t: contains_folded(t, query, wildcards)), F.lit(False))
     conv = conversations.select("id", "topic", "date", "model")
-    s = summaries.where(hit).select(F.col("conversation_id").alias("id"), "summary",
+    s = _table(summaries).where(hit).select(F.col("conversation_id").alias("id"), "summary",
                                     "key_topics", "sentiment", "outcome")
     return (conv.join(s, "id")
             .select("id", "topic", "date", "model", "summary", "key_topics", "sentiment", "outcome")
             .orderBy(F.desc_nulls_last("date"), F.asc("id")).limit(limit))
 
 
-def latest_summary(summary_versions: DataFrame) -> DataFrame:
+def latest_summary(summary_versions: DataFrame | None) -> DataFrame:
     """One row per conversation, the latest version (insert-or-replace).
 
-    Reduced by a partial-aggregating ``max`` over a struct ordered by
-    (summarized_at, id) instead of a window: a conversation with a huge
-    number of versions never lands in one task.
+    ``row_number() = 1`` by (summarized_at, id): Spark keeps one candidate per
+    conversation and task before the shuffle (WindowGroupLimit), so a
+    conversation with a huge number of versions never lands in one task, and
+    whole rows are not compared.
     """
-    rest = [c for c in SUMMARY_COLS if c not in ("conversation_id", "summarized_at", "id")]
-    best = F.max(F.struct("summarized_at", "id", *rest)).alias("b")
-    return summary_versions.groupBy("conversation_id").agg(best).select(
-        F.col("b.id").alias("id"), "conversation_id",
-        *[F.col(f"b.{c}").alias(c) for c in rest], F.col("b.summarized_at").alias("summarized_at"))
-
-
-def upsert_summaries(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Union new rows into the table; latest per conversation wins."""
-    new = new.select(*SUMMARY_COLS)
-    both = new if existing is None else existing.select(*SUMMARY_COLS).unionByName(new)
-    return latest_summary(both)
-
-
-def empty_summaries(spark) -> DataFrame:
-    return spark.createDataFrame([], schemas.SUMMARIES)
+    w = Window.partitionBy("conversation_id").orderBy(F.col("summarized_at").desc_nulls_last(), F.desc("id"))
+    return (_table(summary_versions).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+            .select(*SUMMARY_COLS))

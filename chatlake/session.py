@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings the operators assume.  AQE re-plans joins at run time from
@@ -19,31 +20,42 @@ BASE_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "chatlake", extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app_name)
+    """A session with ``BASE_CONF``.
+
+    Master and shuffle partitions are those of the launcher (spark-submit,
+    spark-defaults) unless given here; without either the master is local.
+    """
+    builder = SparkSession.builder.appName(app_name)
+    if master or not SparkConf().contains("spark.master"):
+        builder = builder.master(master or "local[*]")
     conf = dict(BASE_CONF)
     # spark.checkpoint.dir is not set here: a cluster names its shared folder;
-    # ensure_checkpoint_dir makes a scratch one only when none is configured.
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # ensure_checkpoint_dir makes a scratch one only in local mode.
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local["):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is only read.
-    Only when it is unset (local runs, tests) a scratch folder is made.
+    On a cluster this setting must point at shared storage and is only read.
+    In local mode, where it may be unset, a scratch folder is made.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="chatlake-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
