@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 ROOT = os.path.dirname(os.path.abspath(__file__))
@@ -24,9 +25,9 @@ from pyspark.sql import types as T  # noqa: E402
 
 from chatlake import fixtures  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
-from chatlake.functions.replies import parse_insights  # noqa: E402
+from chatlake.functions.replies import once, parse_insight, parse_insight_items  # noqa: E402
 from chatlake.operators import browse, derive, stats, summaries, vectors  # noqa: E402
-from chatlake.operators import render  # noqa: E402
+from chatlake.operators import render, store  # noqa: E402
 from chatlake.operators.export import export_conversations  # noqa: E402
 from chatlake.sources import history_csv, org_notes  # noqa: E402
 
@@ -66,21 +67,46 @@ def _marked(spark, sf_dir):
 
 
 def _replies(spark, sf_dir):
-    return fixtures.replies(fixtures.raw(spark, sf_dir, "documents"))
+    return fixtures.replies(fixtures.raw(spark, sf_dir, "documents"), fixtures.raw(spark, sf_dir, "conversations"))
+
+
+def _summary_replies(spark, sf_dir):
+    return fixtures.summary_replies(fixtures.raw(spark, sf_dir, "documents"),
+                                    fixtures.raw(spark, sf_dir, "conversations"))
 
 
 def _parse_insight_json(d, spark, sf_dir):
-    r = _replies(spark, sf_dir)
-    items = r.select("custom_id", F.explode(parse_insights(
-        F.element_at("result.message.content", 1)["text"])).alias("item"))
+    reply = F.try_element_at(F.col("result.message.content"), F.lit(1))["text"]
+    done = _replies(spark, sf_dir).where("result.type = 'succeeded'")
+    r = parse_insight_items(done.select("custom_id", reply.alias("reply")))
+    items = once(r.select("custom_id", F.explode("items").alias("i")), "item", parse_insight(F.col("i")))
+    items = items.where("item is not null")
     return items.select("custom_id", "item.category", "item.title", "item.summary", "item.tags",
                         F.col("item.confidence").try_cast("double").alias("confidence"))
 
 
-def _load_insights(d, spark, sf_dir):
-    rows, _, _ = derive.load_insights(_replies(spark, sf_dir), d.messages,
-                                      extracted_at="2024-02-02 00:00:00")
-    return rows
+def _insights(d, spark, sf_dir):
+    return derive.load_insights(_replies(spark, sf_dir), d.messages, extracted_at="2024-02-02 00:00:00")
+
+
+def _summaries(d, spark, sf_dir):
+    return derive.load_summaries(_summary_replies(spark, sf_dir), summarized_at="2024-02-02 00:00:00")
+
+
+def _load_counters(d, spark, sf_dir):
+    kinds = [c.select(F.lit(k).alias("kind"), "*") for k, c in (
+        ("insights", _insights(d, spark, sf_dir)[2]), ("summaries", _summaries(d, spark, sf_dir)[2]))]
+    return kinds[0].unionByName(kinds[1])
+
+
+def _upsert_summaries(d, spark, sf_dir):
+    """Stored summaries after loading replies that are older than all of them."""
+    from chatlake.session import checkpoint_dir
+    root = f"{checkpoint_dir(spark).rstrip('/')}/chatlake-upsert-{uuid.uuid4().hex}"
+    d.summaries.write.parquet(f"{root}/summaries")
+    rows = derive.load_summaries(_summary_replies(spark, sf_dir), summarized_at="2020-01-01 00:00:00")[0]
+    store.upsert_summaries(spark, root, rows)
+    return spark.read.parquet(f"{root}/summaries")
 
 
 def _conversation_topics(d, spark, sf_dir):
@@ -96,9 +122,17 @@ def _semantic(d, spark, sf_dir):
 
 
 def _embed(d, spark, sf_dir):
-    rows, _ = vectors.embed_conversations(d.conversations, d.messages, d.summaries, None,
+    """New vectors as rows (conversation, position, value) of their non-zero components."""
+    rows, _ = vectors.embed_conversations(d.conversations, d.messages, d.summaries, d.embeddings,
                                           vectors.hashed_token_encoder(64))
-    return rows.drop("created_at")
+    return (rows.select("conversation_id", "model", F.posexplode("embedding").alias("position", "v"))
+            .where("v <> 0").select("conversation_id", "model", "position", F.round(F.col("v").cast("double"), 4)
+                                    .alias("value")))
+
+
+def _search_text(d, spark, sf_dir):
+    return vectors.search_text(d.embeddings, d.conversations, d.summaries, "how to index a table",
+                               vectors.hashed_token_encoder(64), limit=20)
 
 
 def _csv_history_rows(d, spark, sf_dir):
@@ -131,6 +165,8 @@ QUERIES: dict[str, Callable] = {
     "topic_distribution": lambda d, s, p: stats.topic_distribution(d.conversations, 20),
     "histogram_month": lambda d, s, p: stats.histogram(_daily(d), "month", "tokens"),
     "histogram_week": lambda d, s, p: stats.histogram(_daily(d), "week", "messages"),
+    "histogram_conversations": lambda d, s, p: stats.histogram(_daily(d), "month", "conversations"),
+    "daily_rows": lambda d, s, p: stats.read_daily_stats(_daily(d)),
     "histogram_scaled": lambda d, s, p: stats.histogram_scaled(
         stats.histogram(_daily(d), "month", "tokens"), 40),
     "table_counts": lambda d, s, p: stats.table_counts(d.conversations, d.messages),
@@ -167,10 +203,12 @@ QUERIES: dict[str, Callable] = {
                                                                           d.messages),
     "first_message": lambda d, s, p: browse.first_message(d.messages),
     "tag_counts": lambda d, s, p: browse.tag_counts(d.insights, 50),
+    "unique_tags": lambda d, s, p: browse.unique_tag_total(d.insights),
     "conversation_preview": lambda d, s, p: browse.conversation_preview(d.messages, 6, 200),
     # summaries
     "sentiment_counts": lambda d, s, p: summaries.sentiment_counts(d.summaries),
     "outcome_counts": lambda d, s, p: summaries.outcome_counts(d.summaries),
+    "one_summary": lambda d, s, p: summaries.get_summary(d.summaries, 25),
     "summary_stats": lambda d, s, p: summaries.summary_stats(d.summaries),
     "summaries_filtered": lambda d, s, p: summaries.summaries_filtered(
         d.summaries, d.conversations, d.messages, outcome="resolved", limit=20),
@@ -185,9 +223,18 @@ QUERIES: dict[str, Callable] = {
     "conversation_topics": _conversation_topics,
     "conversation_text": lambda d, s, p: derive.conversation_text(d.messages),
     "parse_insight_json": _parse_insight_json,
-    "load_insights": _load_insights,
+    "load_insights": lambda d, s, p: _insights(d, s, p)[0],
+    "load_rejects": lambda d, s, p: _insights(d, s, p)[1].drop("reply"),
+    "load_summaries": lambda d, s, p: _summaries(d, s, p)[0].drop("id"),
+    "load_summary_rejects": lambda d, s, p: _summaries(d, s, p)[1],
+    "load_counters": _load_counters,
+    "upsert_summaries": _upsert_summaries,
     "extract_requests": lambda d, s, p: derive.extract_requests(d.conversations, d.messages,
                                                                 d.insights),
+    "extract_requests_cut": lambda d, s, p: derive.extract_requests(
+        d.conversations, d.messages, d.insights, cut=300, min_text=0),
+    "extract_requests_whole": lambda d, s, p: derive.extract_requests(
+        d.conversations, d.messages, d.insights, cut=None, min_text=0),
     "summary_requests": lambda d, s, p: derive.summary_requests(d.conversations, d.messages,
                                                                 d.summaries, 4),
     "embedding_text": lambda d, s, p: derive.embedding_text(d.conversations, d.summaries,
@@ -198,6 +245,7 @@ QUERIES: dict[str, Callable] = {
     "notes_roundtrip": _notes_roundtrip,
     # vectors
     "semantic_search": _semantic,
+    "semantic_search_text": _search_text,
     "embed_hashed": _embed,
 }
 

@@ -8,6 +8,8 @@ grows with its source table.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,23 @@ def _pick(index: F.Column, values: list) -> F.Column:
     return expr
 
 
+def _stored_tokens(id_col: F.Column, text: F.Column) -> F.Column:
+    """Stored counts: none for every 11th message, zero for every 13th."""
+    return (F.when(id_col % 11 == 0, F.lit(None).cast("long")).when(id_col % 13 == 0, F.lit(0).cast("long"))
+            .otherwise(F.floor(F.length(text) / 4).cast("long")))
+
+
+def conversation_of(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """Documents with ``conv``, the conversation each belongs to.
+
+    Documents go round all conversations of the table, so the number of keys
+    grows with it; every tenth document belongs to conversation 1, a hot key.
+    """
+    n = conv_raw.agg(F.coalesce(F.max("conv_id"), F.lit(0)) + 1).first()[0]
+    return documents.withColumn("conv", F.when(F.col("doc_id") % 10 == 7, F.lit(1).cast("long"))
+                                .otherwise(F.col("doc_id") % F.lit(n)))
+
+
 def messages(conv_raw: DataFrame) -> DataFrame:
     """V1: user/assistant turns as messages, ids in conversation order."""
     return (conv_raw.where(F.col("role").isin("user", "assistant"))
@@ -49,7 +68,8 @@ def messages(conv_raw: DataFrame) -> DataFrame:
                     F.col("text").alias("content"),
                     F.lit(None).cast("int").alias("char_start"),
                     F.lit(None).cast("int").alias("char_end"),
-                    F.floor(F.length("text") / 4).cast("long").alias("token_count")))
+                    _stored_tokens(F.col("conv_id") * 100 + F.col("turn") + 1, F.col("text"))
+                    .alias("token_count")))
 
 
 def conversations(conv_raw: DataFrame) -> DataFrame:
@@ -79,16 +99,19 @@ def _tags(doc_id: F.Column) -> F.Column:
             .otherwise(F.array(F.col("lang"), F.col("source"))))
 
 
-def insights(documents: DataFrame) -> DataFrame:
-    """V3: one insight per document, linked to turn 1 of conversation doc_id % 137."""
+def insights(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """V3: one insight per document, linked to turn 1 of its conversation.
+
+    The title is the text's whole first line, the summary the whole text.
+    """
     d = F.col("doc_id")
-    m = d % 137
-    return documents.select(
+    m = F.col("conv")
+    return conversation_of(documents, conv_raw).select(
         d.alias("id"),
         F.when(m % 5 == 0, F.lit(None).cast("long")).otherwise(m * 100 + 2).alias("message_id"),
         _pick(d % 4, CATEGORIES).alias("category"),
-        F.substring("text", 1, 57).alias("title"),
-        F.substring("text", 1, 200).alias("summary"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("text").alias("summary"),
         _tags(d).alias("tags"),
         ((F.col("n_chars") % 101).cast("double") / 100.0).alias("confidence"),
         F.lit(EXTRACTED_AT).cast("timestamp").alias("extracted_at"))
@@ -101,7 +124,7 @@ def summaries(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
     return (documents.where(d % 3 != 0).join(ids, "doc_id", "left_semi").select(
         d.alias("id"),
         d.alias("conversation_id"),
-        F.substring("text", 1, 300).alias("summary"),
+        F.col("text").alias("summary"),
         _tags(d).alias("key_topics"),
         _pick(F.floor(d / 2) % 9, SENTIMENTS).alias("sentiment"),
         _pick(F.floor(d / 3) % 6, OUTCOMES).alias("outcome"),
@@ -120,8 +143,8 @@ def summary_versions(summ: DataFrame) -> DataFrame:
 
 
 def embeddings(emb_raw: DataFrame) -> DataFrame:
-    """V5: one stored vector per id; vec_id 0 is the query."""
-    return emb_raw.select(F.col("vec_id").alias("conversation_id"), "embedding",
+    """V5: a stored vector for six of seven ids; vec_id 0 is the query."""
+    return emb_raw.where(F.col("vec_id") % 7 != 3).select(F.col("vec_id").alias("conversation_id"), "embedding",
                           F.lit("fixture").alias("model"),
                           F.lit(CREATED_AT).cast("timestamp").alias("created_at"))
 
@@ -138,28 +161,68 @@ def marked(conv_raw: DataFrame) -> DataFrame:
             .select((F.col("conv_id") * 100 + F.col("turn") + 1).alias("id"), text.alias("text")))
 
 
-def replies(documents: DataFrame) -> DataFrame:
+def replies(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
     """V7: one model reply per document, as a bulk-result line.
 
-    The reply is prose plus a fenced JSON array holding one insight;
-    ``confidence`` is present only when doc_id % 3 = 0; a fifth of the
-    replies name a category outside the allowed four.
+    The reply is prose plus a fenced JSON array.  Its insight has the whole
+    first line as title and the whole text as summary; ``confidence`` is
+    present only when doc_id % 3 = 0; a fifth of the replies name a category
+    outside the allowed four.  By doc_id % 23 some replies are faulty:
+    1 empty content, 2 errored, 3 text after the array, 4 single quotes,
+    5 a number beside the insight, 6 no JSON, 7 truncated JSON, 8 one object,
+    9 no content at all, 10 expired.
     """
     d = F.col("doc_id")
+    kind = d % 23
     base = [_pick(d % 5, REPLY_CATEGORIES).alias("category"),
-            F.substring("text", 1, 57).alias("title"),
-            F.substring("text", 1, 200).alias("summary"),
+            F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("summary"),
             F.array(F.col("lang"), F.col("source")).alias("tags")]
-    with_conf = F.to_json(F.array(F.struct(
-        *base, ((F.col("n_chars") % 101).cast("double") / 100.0).alias("confidence"))))
-    without = F.to_json(F.array(F.struct(*base)))
-    body = F.when(d % 3 == 0, with_conf).otherwise(without)
+    with_conf = F.to_json(F.struct(
+        *base, ((F.col("n_chars") % 101).cast("double") / 100.0).alias("confidence")))
+    item = F.when(d % 3 == 0, with_conf).otherwise(F.to_json(F.struct(*base)))
+    array = F.concat(F.lit("["), item, F.lit("]"))
+    body = (F.when(kind == 3, F.concat(array, F.lit(" and see [1]")))
+            .when(kind == 4, F.lit("[{'category': 'wisdom', 'title': 't', 'summary': 's'}]"))
+            .when(kind == 5, F.concat(F.lit("["), item, F.lit(", 5]")))
+            .when(kind == 6, F.lit("nope"))
+            .when(kind == 7, F.concat(F.lit("["), item))
+            .when(kind == 8, F.lit('{"category": "wisdom", "title": "t", "summary": "s"}')).otherwise(array))
     text = F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))
-    return documents.select(
-        F.concat(F.lit("conv_"), (d % 137).cast("string")).alias("custom_id"),
-        F.struct(F.lit("succeeded").alias("type"),
-                 F.struct(F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
-                          .alias("content")).alias("message")).alias("result"))
+    return _result_lines(conversation_of(documents, conv_raw), "conv_", kind, text)
+
+
+def _result_lines(docs: DataFrame, prefix: str, kind: F.Column, text: F.Column) -> DataFrame:
+    block = F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
+    content = F.when(kind == 1, F.slice(block, 1, 0)).when(kind == 9, F.lit(None)).otherwise(block)
+    rtype = F.when(kind == 2, "errored").when(kind == 10, "expired").otherwise("succeeded")
+    return docs.select(
+        F.concat(F.lit(prefix), F.col("conv").cast("string")).alias("custom_id"),
+        F.struct(rtype.alias("type"), F.struct(content.alias("content")).alias("message")).alias("result"))
+
+
+def summary_replies(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """One summary reply per conversation that names a document, as a result line.
+
+    The object carries the whole text; keys are left out by doc_id (%4 sentiment,
+    %5 outcome, %6 topics).  By doc_id % 23: 1, 2, 9, 10 as in V7; 3 text with
+    another object after it, 4 single quotes, 6 no JSON, 7 truncated JSON,
+    8 an array instead of an object.
+    """
+    ids = conv_raw.select(F.col("conv_id").alias("doc_id")).distinct()
+    d = F.col("doc_id")
+    kind = d % 23
+    obj = F.to_json(F.struct(
+        F.col("text").alias("summary"),
+        F.when(d % 6 != 0, F.array("lang", "source")).alias("key_topics"),
+        F.when(d % 4 != 0, F.lit("learning")).alias("sentiment"),
+        F.when(d % 5 != 0, F.lit("resolved")).alias("outcome")))
+    body = (F.when(kind == 3, F.concat(obj, F.lit(" or {}")))
+            .when(kind == 4, F.lit("{'summary': 's'}"))
+            .when(kind == 6, F.lit("nope"))
+            .when(kind == 7, F.lit('{"summary": "s"'))
+            .when(kind == 8, F.lit("[1, 2]")).otherwise(obj))
+    docs = documents.join(ids, "doc_id", "left_semi").withColumn("conv", d)
+    return _result_lines(docs, "summary_", kind, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
 
 
 _STORED: dict = {}
@@ -175,18 +238,10 @@ def fixture_data(spark: SparkSession, sf_dir: str, stored: bool = True) -> ChatD
     """
     if not stored:
         return derived_data(spark, sf_dir)
-    import hashlib
-    import os
-
     from chatlake.session import checkpoint_dir
-    app = spark.sparkContext.applicationId
-    key = (app, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
-        stamp = "|".join(f"{n}:{os.path.getsize(os.path.join(sf_dir, n))}:"
-                         f"{os.path.getmtime(os.path.join(sf_dir, n))}"
-                         for n in sorted(os.listdir(sf_dir)) if n.endswith(".parquet"))
-        digest = hashlib.sha1(f"{key[1]}|{stamp}".encode()).hexdigest()[:16]
-        root = f"{checkpoint_dir(spark).rstrip('/')}/chatlake-tables/{app}-{digest}"
+        root = f"{checkpoint_dir(spark).rstrip('/')}/chatlake-tables/{key[0]}-{uuid.uuid4().hex}"
         derived_data(spark, sf_dir).write(root)
         _STORED[key] = ChatData.read(spark, root)
     return _STORED[key]
@@ -198,7 +253,7 @@ def derived_data(spark: SparkSession, sf_dir: str) -> ChatData:
     return ChatData(spark=spark,
                     conversations=conversations(conv_raw),
                     messages=messages(conv_raw),
-                    insights=insights(docs),
+                    insights=insights(docs, conv_raw),
                     summaries=summaries(docs, conv_raw),
                     embeddings=embeddings(raw(spark, sf_dir, "embeddings")))
 

@@ -62,9 +62,12 @@ def insights_filtered(insights: DataFrame, tag: str | None = None, category: str
 
 
 def random_insight(insights: DataFrame, category: str | None = None, seed: int = 0) -> DataFrame:
-    """One insight in random order (optionally of one category)."""
+    """One insight in random order (optionally of one category).
+
+    The order is by a hash of seed and id, so a seed always gives the same row.
+    """
     out = insights.where(F.col("category") == category) if category else insights
-    return out.orderBy(F.rand(seed)).limit(1)
+    return out.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary")), "id").limit(1)
 
 
 def conversation_messages(messages: DataFrame | None, conversation_id=None) -> DataFrame | None:
@@ -146,9 +149,12 @@ def insight_context(insights: DataFrame, messages: DataFrame | None, conversatio
         msg = messages.select(F.col("id").alias("_mid"), F.col("role").alias("message_role"),
                               F.col("content").alias("message_content"),
                               F.col("conversation_id").alias("_mcid"))
-        out = (ins.join(msg, ins["message_id"] == msg["_mid"], "left")
-               .join(conv, F.col("_mcid") == F.col("_cid"), "left")
-               .withColumn("conversation_id", F.col("_cid")))
+        # Insights without a message go past the join: they would meet on one key.
+        linked = (ins.where("message_id is not null").join(msg, ins["message_id"] == msg["_mid"], "left")
+                  .join(conv, F.col("_mcid") == F.col("_cid"), "left")
+                  .withColumn("conversation_id", F.col("_cid")))
+        loose = ins.where("message_id is null")
+        out = linked.unionByName(loose, allowMissingColumns=True)
         cols = INSIGHT_COLS
     return out.select(*cols, "message_role", "message_content", "conversation_id",
                       "conversation_topic", "conversation_date", "conversation_model",
@@ -158,9 +164,12 @@ def insight_context(insights: DataFrame, messages: DataFrame | None, conversatio
 def insights_to_conversation(insights: DataFrame, messages: DataFrame) -> DataFrame:
     """Insights re-keyed from message to conversation (export shape)."""
     msg = messages.select(F.col("id").alias("_mid"), "conversation_id")
-    return (insights.join(msg, insights["message_id"] == msg["_mid"], "left")
-            .select("id", "conversation_id", "category", "title", "summary", "tags",
-                    "confidence", "extracted_at"))
+    cols = ["id", "conversation_id", "category", "title", "summary", "tags", "confidence", "extracted_at"]
+    # Insights without a message go past the join: they would meet on one key.
+    linked = (insights.where("message_id is not null")
+              .join(msg, insights["message_id"] == msg["_mid"], "left").select(*cols))
+    loose = insights.where("message_id is null").withColumn("conversation_id", F.lit(None).cast("long")).select(*cols)
+    return linked.unionByName(loose)
 
 
 def extracted_conversation_ids(insights: DataFrame, messages: DataFrame) -> DataFrame:

@@ -1,29 +1,29 @@
 """Derived facts: conversation text, bulk request building, result loading.
 
 Scale notes.
-* ``conversation_text`` builds each conversation's text in two ordered
+* ``conversation_text`` builds each conversation's whole text in two ordered
   string aggregations: first per (conversation, block of ``CHUNK``
   consecutive message ids), then per conversation over the block pieces.
-  No task ever sorts more than ``CHUNK`` messages of one conversation, so a
-  conversation holding a third of all messages is spread over many tasks.
-* Requests only need the first ``cut`` characters of a text and its total
-  length.  The length is a partial-aggregating sum; the prefix needs at most
-  ``cut // 9 + 1`` messages (every block is at least 9 characters with its
-  separator), taken with ``row_number() <= n`` which Spark plans with a
-  partial WindowGroupLimit before the shuffle.  So the collected group is
-  bounded by the cut, not by the conversation.
+  The result is one value a conversation; that is the operator's shape.
+* Requests need the first ``cut`` characters of a text and its length.  A
+  message's offset in its conversation's text is a distributed running sum
+  over keys and lengths (``plans.numbering``), so only messages that start
+  before the cut are read again, cut to what is left, and put together: the
+  collected text is bounded by the cut, and a conversation with a third of
+  all messages is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatlake import schemas
 from chatlake.functions import prompts
-from chatlake.functions.replies import parse_insights, parse_summary
+from chatlake.functions.replies import once, parse_insight, parse_insight_items, parse_summary_object
 from chatlake.functions.text import strip_ws
 from chatlake.operators import browse
+from chatlake.plans.numbering import with_row_index
 
 CHUNK = 4096
 MIN_TEXT = 200            # shortest conversation text sent to a model
@@ -60,28 +60,36 @@ def conversation_text(messages: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def text_head(messages: DataFrame, cut: int) -> DataFrame:
     """Per conversation: total text length and the text's first ``cut`` characters.
 
-    Equal to ``(length(t), substring(t, 1, cut))`` of ``conversation_text``,
-    but it never gathers more than ``cut // 9 + 1`` messages per group.
+    Equal to ``(length(t), substring(t, 1, cut))`` of ``conversation_text``.
     """
     block = message_block(F.col("role"), F.col("content"))
-    total = messages.groupBy("conversation_id").agg(
-        (F.sum(F.length(block)) + F.count(F.lit(1)) - 1).alias("text_length"))
-    head_n = cut // 9 + 1
-    w = Window.partitionBy("conversation_id").orderBy("id")
-    head = (messages.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= head_n)
-            .groupBy("conversation_id")
-            .agg(F.substring(_ordered_join(F.collect_list(
-                F.struct(F.col("id").alias("k"), block.alias("s")))), 1, cut).alias("head")))
+    sizes = messages.select("conversation_id", "id", (F.length(block) + 1).cast("long").alias("_len"))
+    placed = with_row_index(sizes, ["id"], "_pos", sums={"_off": "_len"}, partition_by=["conversation_id"])
+    total = placed.groupBy("conversation_id").agg((F.max(F.col("_off") + F.col("_len")) - 1).alias("text_length"))
+    near = placed.where(F.col("_off") < cut).select("id", "_pos", "_off")
+    pieces = (messages.join(near, "id")
+              .select("conversation_id", F.col("_pos").alias("k"),
+                      block.substr(F.lit(1), F.lit(cut) - F.col("_off").cast("int")).alias("s")))
+    head = (pieces.groupBy("conversation_id")
+            .agg(F.substring(_ordered_join(F.collect_list(F.struct("k", "s"))), 1, cut).alias("head")))
     return total.join(head, "conversation_id")
 
 
-def _requests(work: DataFrame, messages: DataFrame, cut: int, template: str, prefix: str,
-              max_tokens: int, model: str | None, extra_slots: dict) -> DataFrame:
-    ids = work.select(F.col("id").alias("conversation_id")).distinct()
-    msgs = messages.join(ids, "conversation_id", "left_semi")
-    heads = text_head(msgs, cut).where(F.col("text_length") >= MIN_TEXT)
-    text = F.when(F.col("text_length") > cut, F.concat(F.col("head"), F.lit(TRUNCATED))
-                  ).otherwise(F.col("head"))
+def _requests(work: DataFrame, messages: DataFrame, cut: int | None, min_text: int, template: str,
+              prefix: str, max_tokens: int, model: str | None, extra_slots: dict) -> DataFrame:
+    # The queue is one narrow row per open conversation; it is worked out once.
+    work = work.checkpoint(eager=True)
+    ids = work.select(F.col("id").alias("conversation_id"))
+    msgs = messages.select("id", "conversation_id", "role", "content").join(ids, "conversation_id", "left_semi")
+    if cut is None:
+        heads = conversation_text(msgs).select("conversation_id", F.col("text").alias("head"),
+                                               F.length("text").alias("text_length"))
+        text = F.col("head")
+    else:
+        heads = text_head(msgs, cut)
+        text = F.when(F.col("text_length") > cut, F.concat(F.col("head"), F.lit(TRUNCATED))
+                      ).otherwise(F.col("head"))
+    heads = heads.where(F.col("text_length") >= min_text)
     w = work.withColumnRenamed("id", "conversation_id").join(heads, "conversation_id")
     unknown = F.lit("Unknown")
     slots = dict(topic=F.coalesce(F.nullif(F.col("topic"), F.lit("")), unknown),
@@ -96,19 +104,24 @@ def _requests(work: DataFrame, messages: DataFrame, cut: int, template: str, pre
 
 
 def extract_requests(conversations: DataFrame, messages: DataFrame, insights: DataFrame,
-                     cut: int = INSIGHT_CUT, model: str | None = None) -> DataFrame:
-    """One request per unextracted conversation with at least 200 characters."""
-    work = browse.unextracted_conversations(conversations, insights, messages)
-    return _requests(work, messages, cut, prompts.EXTRACTION_PROMPT, "conv_",
+                     cut: int | None = INSIGHT_CUT, model: str | None = None,
+                     min_text: int = MIN_TEXT) -> DataFrame:
+    """One request per unextracted conversation of ``min_text`` characters or more.
+
+    ``cut=None`` sends whole texts.
+    """
+    work = browse.unextracted_conversations(conversations.select("id", "topic", "date"), insights, messages)
+    return _requests(work, messages, cut, min_text, prompts.EXTRACTION_PROMPT, "conv_",
                      INSIGHT_MAX_TOKENS, model, {})
 
 
 def summary_requests(conversations: DataFrame, messages: DataFrame, summaries: DataFrame | None,
-                     min_messages: int = 4, cut: int = SUMMARY_CUT,
-                     model: str | None = None) -> DataFrame:
+                     min_messages: int = 4, cut: int | None = SUMMARY_CUT,
+                     model: str | None = None, min_text: int = MIN_TEXT) -> DataFrame:
     """One request per unsummarised conversation with enough messages."""
-    work = browse.unsummarized_conversations(conversations, messages, summaries, min_messages)
-    return _requests(work, messages, cut, prompts.SUMMARY_PROMPT, "summary_",
+    work = browse.unsummarized_conversations(conversations.select("id", "topic", "date"), messages, summaries,
+                                             min_messages)
+    return _requests(work, messages, cut, min_text, prompts.SUMMARY_PROMPT, "summary_",
                      SUMMARY_MAX_TOKENS, model,
                      {"message_count": F.col("message_count")})
 
@@ -132,13 +145,18 @@ def read_results(spark, path: str) -> DataFrame:
 
 
 def _result_text(results: DataFrame) -> DataFrame:
-    """id from ``custom_id`` and the first text block of succeeded results."""
-    rtype = F.col("result.type")
+    """id from ``custom_id``, and the first text block of each result (NULL without one)."""
     return results.select(
         F.split_part(F.col("custom_id"), F.lit("_"), F.lit(2)).try_cast("long")
         .alias("conversation_id"),
-        rtype.alias("type"),
-        F.element_at(F.col("result.message.content"), 1)["text"].alias("reply"))
+        F.col("result.type").alias("type"),
+        F.try_element_at(F.col("result.message.content"), F.lit(1))["text"].alias("reply"))
+
+
+def _counts_by_type() -> list:
+    rtype = F.col("type")
+    return [F.count_if(rtype == "succeeded").alias("succeeded"),
+            F.count_if(~F.coalesce(rtype.isin("succeeded", "error", "errored"), F.lit(False))).alias("other")]
 
 
 def load_insights(results: DataFrame, messages: DataFrame | None,
@@ -146,29 +164,33 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
     """Results -> (insight rows, rejected rows with reason, counters).
 
     Defaults of the reference: ``tags = []``, ``confidence = 0.5`` when
-    absent.  A missing category, title or summary, a category outside the
-    four, an unparseable confidence or an item that is not an object sends
-    the row to the reject table instead of aborting the load.
+    absent.  A reply without text is passed over; one that is no JSON array is
+    an error.  Within an array every item stands for itself: a missing
+    category, title or summary, a category outside the four, an unparseable
+    confidence or an item that is not an object sends that item to the reject
+    table and keeps the others.
+
+    Counters: succeeded and other result lines, insights loaded, errors
+    (errored lines and replies that are no JSON array), items rejected.
     """
     r = _result_text(results)
-    ok = r.where(F.col("type") == "succeeded")
-    parsed = ok.select("conversation_id", "reply", parse_insights(F.col("reply")).alias("items"))
-    items = parsed.select("conversation_id", "reply", "items",
-                          F.posexplode_outer("items").alias("pos", "item"))
+    ok = parse_insight_items(r.where(F.col("type") == "succeeded"))
+    items = ok.select("conversation_id", "reply", "items", F.posexplode_outer("items").alias("pos", "_i"))
+    items = once(items, "item", parse_insight(F.col("_i")))
     conf_txt = F.col("item.confidence")
     conf = F.when(conf_txt.isNull(), F.lit(0.5)).otherwise(conf_txt.try_cast("double"))
     cat = F.col("item.category")
-    reason = (F.when(F.col("conversation_id").isNull(), F.lit("bad custom_id"))
-              .when(F.col("reply").isNull(), F.lit("no text"))
+    reason = (F.when(F.col("reply").isNull(), F.lit("no text"))
+              .when(F.col("conversation_id").isNull(), F.lit("bad custom_id"))
               .when(F.col("items").isNull(), F.lit("not a JSON array"))
               .when(F.col("pos").isNull(), F.lit("empty array"))
-              .when(F.col("item").isNull(), F.lit("item not an object"))
+              .when(F.col("item").isNull() | F.col("item.corrupt").isNotNull(), F.lit("item not an insight object"))
               .when(cat.isNull() | F.col("item.title").isNull() | F.col("item.summary").isNull(),
                     F.lit("missing field"))
               .when(~cat.isin(*schemas.CATEGORIES), F.lit("bad category"))
               .when(conf.isNull(), F.lit("bad confidence")))
-    staged = items.select("conversation_id", "reply", "items", "pos", "item",
-                          reason.alias("reason"), conf.alias("confidence"))
+    staged = items.select("conversation_id", "reply", "pos", "item", reason.alias("reason"),
+                          conf.alias("confidence"))
     good = staged.where(F.col("reason").isNull())
     if messages is not None:
         good = good.join(browse.first_message(messages), "conversation_id", "left")
@@ -181,32 +203,53 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
         F.col("item.summary").alias("summary"),
         F.coalesce(F.col("item.tags"), F.array().cast("array<string>")).alias("tags"),
         "confidence", ts.alias("extracted_at"))
-    rejects = staged.where(F.col("reason").isNotNull() & (F.col("reason") != "empty array")) \
+    passed_over = ("no text", "empty array")
+    rejects = staged.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over)) \
         .select("conversation_id", "pos", "reason", "reply")
-    counters = r.agg(
-        F.count_if(F.col("type") == "succeeded").alias("succeeded"),
-        F.count_if(F.col("type").isin("error", "errored")).alias("errors"),
-        F.count_if(~F.col("type").isin("succeeded", "error", "errored")).alias("other"))
+    whole = ("bad custom_id", "not a JSON array")
+    per_item = staged.agg(
+        F.count_if(F.col("reason").isNull()).alias("loaded"),
+        F.count_if(F.col("reason").isin(*whole)).alias("unread"),
+        F.count_if(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over, *whole)).alias("rejected"))
+    counters = _counters(r, per_item)
     return rows, rejects, counters
 
 
+def _counters(lines: DataFrame, loaded: DataFrame) -> DataFrame:
+    """One row: counts of lines by type beside (loaded, unread, rejected)."""
+    types = lines.agg(*_counts_by_type(), F.count_if(F.col("type").isin("error", "errored")).alias("errored"))
+    one = F.lit(1).alias("_one")
+    return (types.select("*", one).join(loaded.select("*", one), "_one")
+            .select("succeeded", "other", "loaded", (F.col("errored") + F.col("unread")).alias("errors"), "rejected"))
+
+
 def load_summaries(results: DataFrame, summarized_at: str | None = None
-                   ) -> tuple[DataFrame, DataFrame]:
-    """P20: results -> (summary rows with defaults, rejected results)."""
-    r = _result_text(results).where(F.col("type") == "succeeded")
-    parsed = r.select("conversation_id", "reply", parse_summary(F.col("reply")).alias("o"))
-    bad = F.col("o").isNull() | F.col("conversation_id").isNull()
+                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results -> (summary rows with defaults, rejected results, counters).
+
+    A reply without text is passed over; one that is not exactly one JSON
+    object is rejected and counted as an error.
+    """
+    lines = _result_text(results)
+    parsed = parse_summary_object(lines.where(F.col("type") == "succeeded"))
+    no_text = F.col("reply").isNull()
+    bad = ~no_text & (F.col("o").isNull() | F.col("conversation_id").isNull())
     ts = F.current_timestamp() if summarized_at is None else F.lit(summarized_at).cast("timestamp")
-    rows = parsed.where(~bad).select(
+    rows = parsed.where(~no_text & ~bad).select(
         F.lit(None).cast("long").alias("id"), "conversation_id",
         F.coalesce("o.summary", F.lit("")).alias("summary"),
         F.coalesce("o.key_topics", F.array().cast("array<string>")).alias("key_topics"),
         F.coalesce("o.sentiment", F.lit("unknown")).alias("sentiment"),
         F.coalesce("o.outcome", F.lit("unknown")).alias("outcome"),
         ts.alias("summarized_at"))
-    rejects = parsed.where(bad).select("conversation_id", "reply",
-                                       F.lit("not a JSON object").alias("reason"))
-    return rows, rejects
+    rejects = parsed.where(bad).select(
+        "conversation_id", "reply",
+        F.when(F.col("conversation_id").isNull(), F.lit("bad custom_id"))
+        .otherwise(F.lit("not a JSON object")).alias("reason"))
+    counters = _counters(lines, parsed.agg(
+        F.count_if(~no_text & ~bad).alias("loaded"), F.count_if(bad).alias("unread"),
+        F.lit(0).cast("long").alias("rejected")))
+    return rows, rejects, counters
 
 
 # -- embedding text -----------------------------------------------------------------

@@ -47,41 +47,45 @@ CHUNK = 4096
 PART_OPEN, PART_SPAN, PART_CLOSE, PART_BODY = 0, 1, 2, 3
 
 
+# Lines as Python sees them: only \n ends a line; other white space may lead.
+_LEAD = r"[[^\S\n]\x{1c}-\x{1f}]*"
+_FENCE_LINE = rf"(?mdU)^{_LEAD}```.*$"
+_HEADING_LINE = r"(?mdU)^#{1,6}[^\S\n].*$"
+_INLINE = [(r"`([^`\n]+)`", "~$1~"), (r"\*\*(.+?)\*\*", "*$1*"),
+           (r"!\[([^\]\n]*)\]\(([^)\n]+)\)", "[[$2]]"), (r"\[([^\]\n]+)\]\(([^)\n]+)\)", "[[$2][$1]]")]
+
+
+def _prose(text: Column) -> Column:
+    """Text outside fences: headings three levels deeper, inline marks elsewhere."""
+    def heading(h):
+        marks = F.regexp_extract(h, r"^(#{1,6})", 1)
+        rest = F.regexp_extract(h, r"(?dU)^#{1,6}\s+(.*)", 1)
+        return F.concat(F.repeat(F.lit("*"), F.length(marks) + 3), F.lit(" "), rest)
+
+    def inline(t):
+        for pat, rep in _INLINE:
+            t = F.regexp_replace(t, "(?d)" + pat, rep)
+        return t
+    return F.array_join(F.zip_with(
+        F.split(text, _HEADING_LINE, -1), F.regexp_extract_all(text, F.lit(_HEADING_LINE), F.lit(0)),
+        lambda t, h: F.concat(inline(t), F.coalesce(heading(h), F.lit("")))), "")
+
+
 def markdown_to_org(text: Column) -> Column:
     """Fences -> src blocks, headings +3 levels, inline code, bold, images, links.
 
-    Lines inside a fence are kept as they are; the fence state of a line is
-    the parity of fence lines before it.  The lines, their fence flags and
-    the parity counts are zipped once, so the per-line lambda reads struct
-    fields instead of recomputing whole arrays for every line.
+    The text is split at fence lines; pieces are prose and code by turns, and
+    code stays as it is.  Prose is split at heading lines in the same way, so
+    every character is looked at a fixed number of times.
     """
-    lines = F.split(text, "\n", -1)
-    fence = F.transform(lines, lambda ln: F.startswith(strip_ws(ln), F.lit("```")))
-    before = F.aggregate(fence, F.struct(F.array().cast("array<int>").alias("c"),
-                                         F.lit(0).alias("n")),
-                         lambda acc, f: F.struct(F.array_append(acc["c"], acc["n"]).alias("c"),
-                                                 (acc["n"] + f.cast("int")).alias("n")))["c"]
-    heading_pat = r"(?d)^(#{1,6})(?U)\s+(.*)"
-
-    def convert(z):
-        ln = z["ln"]
-        inside = (z["before"] % 2) == 1
-        lang = strip_ws(F.substring(strip_ws(ln), 4, 1 << 30))
-        fence_out = F.when(inside, F.lit("#+end_src")).otherwise(
-            F.when(F.length(lang) > 0, F.concat(F.lit("#+begin_src "), lang))
-            .otherwise(F.lit("#+begin_src")))
-        head = F.regexp_extract(ln, heading_pat, 1)
-        head_text = F.regexp_extract(ln, heading_pat, 2)
-        heading = F.concat(F.repeat(F.lit("*"), F.length(head) + 3), F.lit(" "), head_text)
-        inline = ln
-        for pat, rep in ((r"`([^`]+)`", "~$1~"), (r"\*\*(.+?)\*\*", "*$1*"),
-                         (r"!\[([^\]]*)\]\(([^)]+)\)", "[[$2]]"),
-                         (r"\[([^\]]+)\]\(([^)]+)\)", "[[$2][$1]]")):
-            inline = F.regexp_replace(inline, "(?d)" + pat, rep)
-        return (F.when(z["fence"], fence_out).when(inside, ln)
-                .when(ln.rlike(r"^#{1,6}(?U)\s"), heading).otherwise(inline))
-    zipped = F.arrays_zip(lines.alias("ln"), fence.alias("fence"), before.alias("before"))
-    return F.array_join(F.transform(zipped, convert), "\n")
+    def fence(f, i):
+        lang = strip_ws(F.substr(strip_ws(f), F.lit(4)))
+        begin = F.when(F.length(lang) > 0, F.concat(F.lit("#+begin_src "), lang)).otherwise("#+begin_src")
+        return F.when(i % 2 == 0, begin).otherwise("#+end_src")
+
+    fences = F.transform(F.regexp_extract_all(text, F.lit(_FENCE_LINE), F.lit(0)), fence)
+    pieces = F.transform(F.split(text, _FENCE_LINE, -1), lambda t, i: F.when(i % 2 == 0, _prose(t)).otherwise(t))
+    return F.array_join(F.zip_with(pieces, fences, lambda t, f: F.concat(t, F.coalesce(f, F.lit("")))), "")
 
 
 def _digits(v: Column) -> Column:
@@ -187,17 +191,19 @@ def write_note_files(chunks: DataFrame, out_dir: str, name_col: str = "file") ->
         filesystem.create_dir(root, recursive=True)
         tmp_dir = f"{root}/_tmp-{uuid.uuid4().hex}"
         filesystem.create_dir(tmp_dir, recursive=True)
-        current, stream, tmp = None, None, None
+        current, stream, tmp, count = None, None, None, 0
 
         def close():
             if stream is not None:
                 stream.close()
+                filesystem.create_dir(f"{root}/{current}".rpartition("/")[0], recursive=True)
                 filesystem.move(tmp, f"{root}/{current}")
         for r in rows:
             if r[name_col] != current:
                 close()
                 current = r[name_col]
-                tmp = f"{tmp_dir}/{current}"
+                count += 1
+                tmp = f"{tmp_dir}/{count}"
                 stream = filesystem.open_output_stream(tmp)
             stream.write(r["chunk"].encode("utf-8"))
         close()

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.functions.text import effective_tokens
+from chatlake.functions.text import token_estimate
 
 DAILY_COLS = ["date", "total_messages", "user_messages", "assistant_messages",
               "user_tokens", "assistant_tokens", "conversation_count"]
@@ -29,8 +29,14 @@ def per_conversation_measures(messages: DataFrame, recompute_tokens: bool = True
     figures, exactly as the reference's loop does.
     """
     is_user = F.col("role") == "user"
-    tok = (effective_tokens(F.col("token_count"), F.col("content")) if recompute_tokens
-           else F.col("token_count"))
+    tok = F.col("token_count")
+    if recompute_tokens:
+        # Text is read only for rows without a count; the filter is pushed to
+        # the scan, so the text of all others stays on disk.
+        missing = tok.isNull() | (tok == 0)
+        counted = messages.where(~missing).select("conversation_id", "role", "token_count")
+        messages = counted.unionByName(messages.where(missing).select(
+            "conversation_id", "role", token_estimate(F.col("content")).alias("token_count")))
     return messages.groupBy("conversation_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(is_user).alias("n_user"),

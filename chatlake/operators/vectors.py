@@ -2,8 +2,8 @@
 
 ``semantic_search`` compares one query vector with every stored vector.
 The query is one vector of a fixed width (the reference embeds the query
-text on the driver too), so it enters the plan as a literal array: the
-stored vectors are scanned once, each task scores its own slice and keeps
+text on the driver too), so tasks get it with their code: the stored
+vectors are scanned once, each task scores its own slice and keeps
 a top-k heap (TakeOrderedAndProject), and only k rows per task reach the
 final merge.  Rows with a zero-length vector get a NULL score; they sort
 after every real score, so dropping them after the cut gives the same
@@ -13,7 +13,6 @@ reference does (an id without a conversation is dropped there).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.functions.vectors import dot, norm
 from chatlake.operators import browse, derive
 
+EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
+
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BATCH_SIZE = 128
 
@@ -37,17 +37,26 @@ def query_vector(embeddings: DataFrame, conversation_id) -> list[float] | None:
 
 
 def similarity(embeddings: DataFrame, query: list[float]) -> DataFrame:
-    """(conversation_id, similarity) for every stored vector; zero vectors give NULL.
+    """(conversation_id, similarity) for every stored vector.
 
-    The query's norm is computed once here, in the same order of summation
-    as the per-row norm, so scores equal the symmetric formula.
+    Arrow batches are scored as a matrix-vector product in double.  Zero
+    vectors, and vectors of another width than the query, give NULL.
     """
-    q_norm = math.sqrt(sum(x * x for x in query))
-    q = F.lit(query).cast("array<double>")
-    e = F.col("embedding")
-    denom = norm(e) * F.lit(q_norm)
-    score = F.when(denom > 0, F.try_divide(dot(e, q), denom))
-    return embeddings.select("conversation_id", score.alias("similarity"))
+    q = np.asarray(query, dtype=np.float64)
+    q_norm = float(np.sqrt(q @ q))
+
+    @F.pandas_udf(T.DoubleType())
+    def score(vectors: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), dtype="Float64", index=vectors.index)
+        fits = vectors.map(lambda v: v is not None and len(v) == len(q)).astype(bool)
+        if q_norm > 0 and fits.any():
+            m = np.stack(vectors[fits].to_numpy()).astype(np.float64)
+            norms = np.sqrt(np.einsum("ij,ij->i", m, m)) * q_norm
+            real = norms > 0
+            out.loc[vectors.index[fits][real]] = (m[real] @ q) / norms[real]
+        return out
+
+    return embeddings.select("conversation_id", score("embedding").alias("similarity"))
 
 
 def semantic_search(embeddings: DataFrame, conversations: DataFrame,
@@ -78,10 +87,15 @@ def semantic_search(embeddings: DataFrame, conversations: DataFrame,
             .orderBy(F.desc("similarity"), F.asc("id")))
 
 
-# -- embedding (U2: pluggable encoder) -------------------------------------------------
+def search_text(embeddings: DataFrame, conversations: DataFrame, summaries: DataFrame | None,
+                query: str, factory: EncoderFactory, limit: int = 20,
+                digits: int | None = 6) -> DataFrame:
+    """V1: search by text; the encoder embeds the retrieval prefix and the query."""
+    vector = [float(x) for x in factory()([QUERY_PREFIX + query])[0]]
+    return semantic_search(embeddings, conversations, summaries, vector, limit, digits)
 
-EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
+# -- embedding (U2: pluggable encoder) -------------------------------------------------
 
 def hashed_token_encoder(dim: int = 64) -> EncoderFactory:
     """Deterministic stand-in encoder: hashed word counts, L2-normalised.
@@ -90,13 +104,13 @@ def hashed_token_encoder(dim: int = 64) -> EncoderFactory:
     tested without model weights.  Plug a real encoder factory in its place.
     """
     def factory():
-        import zlib
+        import hashlib
 
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for i, t in enumerate(texts):
                 for tok in t.lower().split():
-                    out[i, zlib.crc32(tok.encode("utf-8")) % dim] += 1.0
+                    out[i, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
             n = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
         return encode

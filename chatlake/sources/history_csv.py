@@ -60,7 +60,8 @@ def parse_conversation(text: Column) -> Column:
     row (an array referenced inside a lambda is recomputed per element).
     """
     t = F.regexp_replace(text, r"\r\n?", "\n")
-    parts = F.slice(F.split(t, SPLIT_MARKER, -1), 2, 1 << 30)
+    split = F.split(t, SPLIT_MARKER, -1)
+    parts = F.slice(split, F.lit(2), F.size(split))
     markers = F.regexp_extract_all(t, F.lit(FIND_MARKER), F.lit(1))
     msgs = F.zip_with(markers, parts, lambda m, p: F.struct(
         F.when(m == "Question", F.lit("user")).otherwise(F.lit("assistant")).alias("role"),

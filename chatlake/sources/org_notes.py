@@ -160,12 +160,12 @@ def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     def section(x, st):
         start = st - 1
         end = start + F.length(x)
-        title = strip_ws(F.substring(F.substring_index(x, "\n", 1), 3, 1 << 30))
+        title = strip_ws(F.substr(F.substring_index(x, "\n", 1), F.lit(3)))
         topic = drawer_value(drawer_text(x), "GPTEL_TOPIC")
         return F.struct(F.coalesce(F.nullif(topic, F.lit("")), title).alias("topic"),
                         x.alias("text"), start.alias("start"), end.alias("end"))
 
-    sections = F.slice(F.zip_with("_pieces", "_starts", section), 2, 1 << 30)
+    sections = F.slice(F.zip_with("_pieces", "_starts", section), F.lit(2), F.size("_pieces"))
     whole = F.array(F.struct(F.col("_file_topic").alias("topic"), content.alias("text"),
                              F.lit(0).cast("long").alias("start"),
                              F.length(content).cast("long").alias("end")))

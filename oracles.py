@@ -15,7 +15,8 @@ V = {}
 V["msg"] = """msg AS (
   SELECT conv_id * 100 + turn + 1 AS id, conv_id AS conversation_id, role, text AS content,
          CAST(NULL AS INTEGER) AS char_start, CAST(NULL AS INTEGER) AS char_end,
-         CAST(length(text) // 4 AS BIGINT) AS token_count
+         CASE WHEN (conv_id * 100 + turn + 1) % 11 = 0 THEN NULL WHEN (conv_id * 100 + turn + 1) % 13 = 0 THEN 0
+              ELSE CAST(length(text) // 4 AS BIGINT) END AS token_count
   FROM conversations WHERE role IN ('user', 'assistant'))"""
 V["conv"] = r"""conv AS (
   SELECT conv_id AS id,
@@ -37,18 +38,22 @@ V["conv"] = r"""conv AS (
 _TAGS = """CASE WHEN doc_id % 13 = 0 THEN NULL
               WHEN doc_id % 10 = 0 THEN CAST([] AS VARCHAR[])
               ELSE [lang, source] END"""
-V["ins"] = f"""ins AS (
+V["docs"] = """docs AS (
+  SELECT *, CASE WHEN doc_id % 10 = 7 THEN 1 ELSE doc_id % (SELECT max(conv_id) + 1 FROM conversations) END AS conv
+  FROM documents)"""
+V["ins"] = V["docs"] + f""",
+ins AS (
   SELECT doc_id AS id,
-         CASE WHEN (doc_id % 137) % 5 = 0 THEN NULL ELSE (doc_id % 137) * 100 + 2 END AS message_id,
+         CASE WHEN conv % 5 = 0 THEN NULL ELSE conv * 100 + 2 END AS message_id,
          CASE doc_id % 4 WHEN 0 THEN 'wisdom' WHEN 1 THEN 'product_idea'
                          WHEN 2 THEN 'programming_tip' ELSE 'question' END AS category,
-         substr(text, 1, 57) AS title, substr(text, 1, 200) AS summary,
+         split_part(text, chr(10), 1) AS title, text AS summary,
          {_TAGS} AS tags,
          CAST(n_chars % 101 AS DOUBLE) / 100.0 AS confidence,
          TIMESTAMP '2024-02-01 00:00:00' AS extracted_at
-  FROM documents)"""
+  FROM docs)"""
 V["summ"] = f"""summ AS (
-  SELECT doc_id AS id, doc_id AS conversation_id, substr(text, 1, 300) AS summary,
+  SELECT doc_id AS id, doc_id AS conversation_id, text AS summary,
          {_TAGS} AS key_topics,
          CASE (doc_id // 2) % 9 WHEN 0 THEN 'technical' WHEN 1 THEN 'exploratory'
               WHEN 2 THEN 'debugging' WHEN 3 THEN 'learning' WHEN 4 THEN 'planning'
@@ -67,7 +72,7 @@ V["versions"] = """versions AS (
   SELECT id * 2 + 1, conversation_id, summary, key_topics, sentiment, 'resolved',
          summarized_at + INTERVAL 1 DAY
   FROM summ WHERE conversation_id % 2 = 0)"""
-V["emb"] = """emb AS (SELECT vec_id AS conversation_id, embedding FROM embeddings)"""
+V["emb"] = """emb AS (SELECT vec_id AS conversation_id, embedding FROM embeddings WHERE vec_id % 7 <> 3)"""
 V["daily"] = """daily AS (
   SELECT c.date,
          CAST(count(*) AS BIGINT) AS total_messages,
@@ -87,6 +92,18 @@ V["convtext"] = """convtext AS (
          string_agg('[' || CASE WHEN role = 'user' THEN 'USER' ELSE 'ASSISTANT' END || ']'
                     || chr(10) || coalesce(content, '') || chr(10), chr(10) ORDER BY id) AS text
   FROM msg GROUP BY conversation_id)"""
+V["embtext"] = """embtext AS (
+  SELECT c.id AS conversation_id,
+         CASE WHEN length(s.summary) > 0
+              THEN concat_ws('. ', nullif(c.topic, ''), s.summary,
+                             CASE WHEN s.key_topics IS NOT NULL
+                                  THEN 'Topics: ' || array_to_string(s.key_topics, ', ') END)
+              ELSE coalesce(t.text, '') END AS text
+  FROM conv c LEFT JOIN summ s ON s.conversation_id = c.id
+  LEFT JOIN convtext t ON t.conversation_id = c.id)"""
+# The stand-in encoder's component of a token, and the text its query is made of.
+_DIM = "CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 64"
+SEARCH_TEXT = "Represent this sentence for searching relevant passages: how to index a table"
 V["extracted"] = """extracted AS (
   SELECT DISTINCT m.conversation_id AS id FROM ins i JOIN msg m ON i.message_id = m.id)"""
 V["counts"] = """counts AS (
@@ -94,31 +111,22 @@ V["counts"] = """counts AS (
   FROM msg GROUP BY conversation_id)"""
 _V7_CATS = "CASE doc_id % 5 WHEN 0 THEN 'wisdom' WHEN 1 THEN 'product_idea' " \
            "WHEN 2 THEN 'programming_tip' WHEN 3 THEN 'question' ELSE 'trivia' END"
-V["replies"] = f"""replies AS (
-  SELECT 'conv_' || CAST(doc_id % 137 AS VARCHAR) AS custom_id,
-         'Here:' || chr(10) || '```json' || chr(10) ||
-         CASE WHEN doc_id % 3 = 0
-              THEN to_json([{{'category': {_V7_CATS}, 'title': substr(text, 1, 57),
-                              'summary': substr(text, 1, 200), 'tags': [lang, source],
-                              'confidence': CAST(n_chars % 101 AS DOUBLE) / 100.0}}])
-              ELSE to_json([{{'category': {_V7_CATS}, 'title': substr(text, 1, 57),
-                              'summary': substr(text, 1, 200), 'tags': [lang, source]}}])
-         END || chr(10) || '```' AS reply
-  FROM documents)"""
-V["parsed"] = r"""parsed AS (
-  SELECT custom_id, TRY_CAST(split_part(custom_id, '_', 2) AS BIGINT) AS conversation_id,
-         unnest(from_json(
-           CASE WHEN regexp_matches(u, '(?s)\[.*\]') THEN regexp_extract(u, '(?s)(\[.*\])', 1)
-                ELSE u END,
-           '[{"category":"VARCHAR","title":"VARCHAR","summary":"VARCHAR","tags":["VARCHAR"],"confidence":"VARCHAR"}]'
-         )) AS item
-  FROM (
-    SELECT custom_id,
-           CASE WHEN contains(t, '```')
-                THEN regexp_replace(regexp_replace(split_part(t, '```', 2), '^(json|\n)', ''),
-                                    '^\s+|\s+$', '', 'g')
-                ELSE t END AS u
-    FROM (SELECT custom_id, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS t FROM replies)))"""
+V["replies"] = V["docs"] + f""",
+items AS (
+  SELECT *, doc_id % 23 AS kind, {_V7_CATS} AS category, split_part(text, chr(10), 1) AS title,
+         CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars % 101 AS DOUBLE) / 100.0 END AS confidence
+  FROM docs),
+replies AS (
+  SELECT 'conv_' || CAST(conv AS VARCHAR) AS custom_id, conv AS conversation_id, *,
+         kind NOT IN (1, 2, 9, 10) AS has_text, kind IN (3, 4, 6, 7, 8) AS unread
+  FROM items)"""
+V["sreplies"] = """sreplies AS (
+  SELECT doc_id AS conversation_id, doc_id % 23 AS kind, text, doc_id % 23 NOT IN (1, 2, 9, 10) AS has_text,
+         doc_id % 23 IN (3, 4, 6, 7, 8) AS unread,
+         CASE WHEN doc_id % 6 <> 0 THEN [lang, source] ELSE CAST([] AS VARCHAR[]) END AS key_topics,
+         CASE WHEN doc_id % 4 <> 0 THEN 'learning' ELSE 'unknown' END AS sentiment,
+         CASE WHEN doc_id % 5 <> 0 THEN 'resolved' ELSE 'unknown' END AS outcome
+  FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations))"""
 
 
 def with_views(*names: str) -> str:
@@ -152,21 +160,21 @@ def _interleave_newlines(text: str) -> list[str]:
     return out
 
 
-def _requests_sql(kind: str) -> str:
+def _requests_sql(kind: str, cut: int | None, min_text: int = 200) -> str:
     if kind == "extract":
         work = """SELECT c.* FROM conv c WHERE c.id NOT IN (SELECT id FROM extracted)"""
         views = ("msg", "conv", "ins", "extracted", "convtext")
-        template, prefix, cut, max_tokens = prompts.EXTRACTION_PROMPT, "conv_", 50000, 8196
+        template, prefix, max_tokens = prompts.EXTRACTION_PROMPT, "conv_", 8196
         extra = {}
     else:
         work = """SELECT c.*, k.message_count FROM conv c JOIN counts k ON k.conversation_id = c.id
                   WHERE c.id NOT IN (SELECT conversation_id FROM summ) AND k.message_count >= 4"""
         views = ("msg", "conv", "summ", "counts", "convtext")
-        template, prefix, cut, max_tokens = prompts.SUMMARY_PROMPT, "summary_", 80000, 1024
+        template, prefix, max_tokens = prompts.SUMMARY_PROMPT, "summary_", 1024
         extra = {"message_count": "w.message_count"}
     slots = dict(topic="coalesce(nullif(w.topic, ''), 'Unknown')",
                  date="coalesce(CAST(w.date AS VARCHAR), 'Unknown')",
-                 conversation=f"""CASE WHEN length(t.text) > {cut}
+                 conversation="t.text" if cut is None else f"""CASE WHEN length(t.text) > {cut}
                      THEN substr(t.text, 1, {cut}) || chr(10) || '[TRUNCATED]' ELSE t.text END""",
                  **extra)
     return with_views(*views) + f"""
@@ -174,7 +182,7 @@ SELECT '{prefix}' || CAST(w.id AS VARCHAR) AS custom_id, CAST(NULL AS VARCHAR) A
        CAST({max_tokens} AS BIGINT) AS max_tokens,
        {_template_sql(template, **slots)} AS prompt
 FROM ({work}) w JOIN convtext t ON t.conversation_id = w.id
-WHERE length(t.text) >= 200"""
+WHERE length(t.text) >= {min_text}"""
 
 
 DEEP = """SELECT c.id, c.topic, c.date, c.model, c.file_path,
@@ -290,6 +298,8 @@ ORDER BY i.confidence DESC, i.id ASC LIMIT 20"""
         f"SELECT {INS_COLS} FROM ins i ORDER BY i.confidence DESC, i.id ASC LIMIT 20"
     q["insights_bottom"] = w("ins") + \
         f"SELECT {INS_COLS} FROM ins i ORDER BY i.confidence ASC, i.id ASC LIMIT 20"
+    q["random_insight"] = w("ins") + \
+        f"SELECT {INS_COLS} FROM ins i ORDER BY md5('7:' || CAST(i.id AS VARCHAR)), i.id LIMIT 1"
     q["conversation_messages"] = w("msg") + "SELECT * FROM msg"
     q["deep_conversations"] = w("msg", "conv") + DEEP + \
         "\nORDER BY message_count DESC, c.id ASC LIMIT 20"
@@ -386,31 +396,75 @@ FROM (SELECT conversation_id,
                                        chr(10), 1), '^\s+|\s+$', '', 'g') AS fl
       FROM msg GROUP BY conversation_id)"""
     q["conversation_text"] = w("msg", "convtext") + "SELECT * FROM convtext"
-    q["parse_insight_json"] = w("replies", "parsed") + """
-SELECT custom_id, item.category AS category, item.title AS title, item.summary AS summary,
-       to_json(item.tags) AS tags, TRY_CAST(item.confidence AS DOUBLE) AS confidence
-FROM parsed"""
-    q["load_insights"] = w("msg", "replies", "parsed") + """
-SELECT f.message_id, p.conversation_id, item.category AS category, item.title AS title,
-       item.summary AS summary, to_json(coalesce(item.tags, CAST([] AS VARCHAR[]))) AS tags,
-       coalesce(TRY_CAST(item.confidence AS DOUBLE), 0.5) AS confidence,
-       TIMESTAMP '2024-02-02 00:00:00' AS extracted_at
-FROM parsed p
+    good = "has_text AND NOT unread"
+    reason = """CASE WHEN unread THEN 'not a JSON array' ELSE 'bad category' END"""
+    q["parse_insight_json"] = w("replies") + f"""
+SELECT custom_id, category, title, text AS summary, to_json([lang, source]) AS tags, confidence
+FROM replies WHERE {good}"""
+    q["load_insights"] = w("msg", "replies") + f"""
+SELECT f.message_id, p.conversation_id, category, title, text AS summary, to_json([lang, source]) AS tags,
+       coalesce(confidence, 0.5) AS confidence, TIMESTAMP '2024-02-02 00:00:00' AS extracted_at
+FROM replies p
 LEFT JOIN (SELECT conversation_id, min(id) AS message_id FROM msg GROUP BY conversation_id) f
   ON f.conversation_id = p.conversation_id
-WHERE item.category IN ('wisdom', 'product_idea', 'programming_tip', 'question')
-  AND item.title IS NOT NULL AND item.summary IS NOT NULL"""
-    q["extract_requests"] = _requests_sql("extract")
-    q["summary_requests"] = _requests_sql("summary")
-    q["embedding_text"] = w("msg", "conv", "summ", "convtext") + """
-SELECT c.id AS conversation_id,
-       CASE WHEN length(s.summary) > 0
-            THEN concat_ws('. ', nullif(c.topic, ''), s.summary,
-                           CASE WHEN s.key_topics IS NOT NULL
-                                THEN 'Topics: ' || array_to_string(s.key_topics, ', ') END)
-            ELSE coalesce(t.text, '') END AS text
-FROM conv c LEFT JOIN summ s ON s.conversation_id = c.id
-LEFT JOIN convtext t ON t.conversation_id = c.id"""
+WHERE {good} AND category <> 'trivia'"""
+    q["load_rejects"] = w("replies") + f"""
+SELECT conversation_id, CASE WHEN unread THEN NULL ELSE 0 END AS pos, {reason} AS reason
+FROM replies WHERE has_text AND (unread OR category = 'trivia')
+UNION ALL SELECT conversation_id, 1, 'item not an insight object' FROM replies WHERE kind = 5"""
+    q["load_summaries"] = w("sreplies") + f"""
+SELECT conversation_id, text AS summary, to_json(key_topics) AS key_topics, sentiment, outcome,
+       TIMESTAMP '2024-02-02 00:00:00' AS summarized_at FROM sreplies WHERE {good}"""
+    q["load_summary_rejects"] = w("sreplies") + """
+, obj AS (
+  SELECT *, '{' || concat_ws(',', '"summary":' || to_json(text),
+         CASE WHEN len(key_topics) > 0 THEN '"key_topics":' || to_json(key_topics) END,
+         CASE WHEN sentiment = 'learning' THEN '"sentiment":"learning"' END,
+         CASE WHEN outcome = 'resolved' THEN '"outcome":"resolved"' END) || '}' AS o
+  FROM sreplies)
+SELECT conversation_id, '```json' || chr(10) || CASE kind WHEN 3 THEN o || ' or {}'
+       WHEN 4 THEN '{''summary'': ''s''}' WHEN 6 THEN 'nope' WHEN 7 THEN '{"summary": "s"' ELSE '[1, 2]' END
+       || chr(10) || '```' AS reply, 'not a JSON object' AS reason
+FROM obj WHERE unread"""
+    q["load_counters"] = w("replies", "sreplies") + """
+SELECT 'insights' AS kind, count(*) FILTER (kind NOT IN (2, 10)) AS succeeded,
+       count(*) FILTER (kind = 10) AS other,
+       count(*) FILTER (has_text AND NOT unread AND category <> 'trivia') AS loaded,
+       count(*) FILTER (kind = 2 OR unread) AS errors,
+       count(*) FILTER (has_text AND NOT unread AND category = 'trivia') + count(*) FILTER (kind = 5) AS rejected
+FROM replies
+UNION ALL
+SELECT 'summaries', count(*) FILTER (kind NOT IN (2, 10)), count(*) FILTER (kind = 10),
+       count(*) FILTER (has_text AND NOT unread), count(*) FILTER (kind = 2 OR unread), 0
+FROM sreplies"""
+    q["upsert_summaries"] = w("summ", "sreplies") + f"""
+, fresh AS (
+  SELECT (SELECT max(id) FROM summ) + row_number() OVER (ORDER BY conversation_id) AS id, conversation_id,
+         text AS summary, key_topics, sentiment, outcome, TIMESTAMP '2020-01-01 00:00:00' AS summarized_at
+  FROM sreplies WHERE {good})
+SELECT id, conversation_id, summary, to_json(key_topics) AS key_topics, sentiment, outcome, summarized_at
+FROM (SELECT * FROM fresh UNION ALL
+      SELECT * FROM summ WHERE conversation_id NOT IN (SELECT conversation_id FROM fresh))"""
+    q["extract_requests"] = _requests_sql("extract", 50000)
+    q["extract_requests_cut"] = _requests_sql("extract", 300, 0)
+    q["extract_requests_whole"] = _requests_sql("extract", None, 0)
+    q["summary_requests"] = _requests_sql("summary", 80000)
+    q["histogram_conversations"] = w("msg", "conv", "daily") + _hist("month", "conversations")
+    q["daily_rows"] = w("msg", "conv", "daily") + "SELECT * FROM daily"
+    q["unique_tags"] = w("ins") + "SELECT count(DISTINCT tag) AS unique_tags FROM (SELECT unnest(tags) AS tag FROM ins)"
+    q["one_summary"] = w("summ") + """
+SELECT id, conversation_id, summary, to_json(key_topics) AS key_topics, sentiment, outcome, summarized_at
+FROM summ WHERE conversation_id = 25"""
+    q["embedding_text"] = w("msg", "conv", "summ", "convtext", "embtext") + "SELECT * FROM embtext"
+    q["embed_hashed"] = w("msg", "conv", "summ", "convtext", "embtext", "emb") + f"""
+, tok AS (
+  SELECT conversation_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t FROM embtext
+  WHERE conversation_id NOT IN (SELECT conversation_id FROM emb)),
+cnt AS (
+  SELECT conversation_id, {_DIM} AS position, CAST(count(*) AS DOUBLE) AS n FROM tok WHERE t <> '' GROUP BY ALL)
+SELECT conversation_id, 'hashed-64' AS model, CAST(position AS INTEGER) AS position,
+       round(n / sqrt(sum(n * n) OVER (PARTITION BY conversation_id)), 4) AS value
+FROM cnt"""
     q["token_counts"] = w("msg") + \
         "SELECT id, conversation_id, CAST(length(content) // 4 AS BIGINT) AS token_count FROM msg"
     q["semantic_search"] = w("conv", "summ", "emb") + f"""
@@ -422,6 +476,20 @@ FROM (SELECT e.conversation_id, {COS} AS sim
       WHERE {COS} IS NOT NULL AND NOT isnan({COS})
       ORDER BY sim DESC, e.conversation_id ASC LIMIT 20) top
 JOIN conv c ON c.id = top.conversation_id
+LEFT JOIN summ s ON s.conversation_id = top.conversation_id"""
+    q["semantic_search_text"] = w("conv", "summ", "emb") + f"""
+, tok AS (SELECT unnest(regexp_split_to_array(lower({_sql_str(SEARCH_TEXT)}), '\\s+')) AS t),
+cnt AS (SELECT {_DIM} AS position, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY ALL),
+q AS (SELECT list(coalesce(n, 0.0) ORDER BY i) AS v FROM range(64) r(i) LEFT JOIN cnt ON cnt.position = i),
+s AS (
+  SELECT conversation_id, list_dot_product(CAST(embedding AS DOUBLE[]), v)
+         / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
+            * sqrt(list_dot_product(v, v))) AS sim
+  FROM emb, q)
+SELECT top.conversation_id AS id, c.topic, c.date, c.model, s.summary, to_json(s.key_topics) AS key_topics,
+       s.sentiment, s.outcome, round(top.sim, 6) AS similarity
+FROM (SELECT * FROM s WHERE sim IS NOT NULL AND NOT isnan(sim) ORDER BY sim DESC, conversation_id LIMIT 20) top
+JOIN conv c ON c.id = top.conversation_id
 LEFT JOIN summ s ON s.conversation_id = top.conversation_id"""
     q["csv_history_rows"] = r"""
 WITH p AS (
