@@ -13,7 +13,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(E.queries()))
+@pytest.mark.parametrize("key", sorted(E.QUERIES))
 def test_no_cartesian_or_nested_loop(spark, key):
     plan = _plan(E.queries()[key](spark, SF))
     assert "CartesianProduct" not in plan
@@ -25,11 +25,26 @@ def test_top_k_is_a_per_task_heap(spark, key):
     assert "TakeOrderedAndProject" in _plan(E.queries()[key](spark, SF))
 
 
-def test_scans_are_pruned(spark):
-    plan = _plan(E.queries()["daily_stats"](spark, SF))
-    # the messages scan reads only what the daily figures need
-    assert "FileScan parquet [conversation_id" in plan
-    assert "char_start" not in plan and "system_prompt" not in plan
+def _scans(plan: str) -> list[str]:
+    return [ln for ln in plan.split("\n") if "FileScan parquet" in ln]
+
+
+@pytest.mark.parametrize("key", ["daily_stats", "usage_summary", "histogram_week"])
+def test_daily_figures_read_text_only_without_a_count(spark, key):
+    """The scan of counted messages has no text; the other one is filtered to rows without a count."""
+    scans = [s for s in _scans(_plan(E.queries()[key](spark, SF))) if "token_count" in s]
+    plain = [s for s in scans if "content" not in s]
+    with_text = [s for s in scans if "content" in s]
+    assert len(plain) == 1 and len(with_text) == 1
+    assert "EqualTo(token_count,0)" in with_text[0] and "IsNull(token_count)" in with_text[0]
+    assert not any("char_start" in s or "system_prompt" in s for s in scans)
+
+
+@pytest.mark.parametrize("key", ["extract_requests", "extract_requests_cut", "summary_requests"])
+def test_requests_need_no_window_over_text(spark, key):
+    plan = _plan(E.queries()[key](spark, SF))
+    assert len(_scans(plan)) <= 4
+    assert not any("content" in ln for ln in plan.split("\n") if "Window " in ln)
 
 
 def test_date_filter_reaches_the_scan(spark):

@@ -1,7 +1,10 @@
 """Writes to a stored archive: append with continuing ids, upserts, clear."""
 
+import datetime
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from chatlake import fixtures
@@ -88,3 +91,113 @@ def test_append_insights_and_clear(spark, tmp_path):
     data = ChatData.read(spark, root)
     for name in ("conversations", "messages", "insights", "summaries", "embeddings", "daily_stats"):
         assert getattr(data, name).count() == 0
+
+
+def test_new_summary_replaces_an_older_or_later_one(spark, tmp_path):
+    root = _archive(spark, tmp_path)
+    summ = spark.read.parquet(os.path.join(root, "summaries"))
+    n, top = summ.count(), summ.agg(F.max("id")).first()[0]
+    keys = [r.conversation_id for r in summ.orderBy("conversation_id").limit(3).collect()]
+    new = spark.createDataFrame(
+        [(None, k, "new", ["t"], "learning", "resolved", when)
+         for k, when in zip(keys, (datetime.datetime(1999, 1, 1), None, datetime.datetime(2999, 1, 1)))]
+        + [(None, 10 ** 9, "early", [], None, None, datetime.datetime(2020, 1, 1)),
+           (None, 10 ** 9, "late", [], None, None, datetime.datetime(2021, 1, 1))], summ.schema)
+    store.upsert_summaries(spark, root, new)
+    after = {r.conversation_id: r for r in spark.read.parquet(os.path.join(root, "summaries")).collect()}
+    assert len(after) == n + 1
+    assert [after[k].summary for k in keys] == ["new"] * 3
+    assert after[10 ** 9].summary == "late"
+    assert all(after[k].id > top for k in keys)
+
+
+def test_crash_between_renames_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    root = _archive(spark, tmp_path)
+    path = os.path.join(root, "summaries")
+    before = sorted(map(str, spark.read.parquet(path).collect()))
+    new = spark.createDataFrame(spark.read.parquet(path).limit(2).withColumn("summary", F.lit("x")).collect(),
+                                spark.read.parquet(path).schema)
+    calls, rename = [], store._rename
+
+    def crash(fs, jvm, a, b):
+        calls.append(b)
+        if len(calls) == 2:
+            raise OSError("lost")
+        rename(fs, jvm, a, b)
+
+    monkeypatch.setattr(store, "_rename", crash)
+    with pytest.raises(OSError):
+        store.upsert_summaries(spark, root, new)
+    assert not os.path.exists(path)
+    assert sorted(map(str, ChatData.read(spark, root).summaries.collect())) == before
+    monkeypatch.setattr(store, "_rename", rename)
+    store.upsert_summaries(spark, root, new)  # the next run starts from the old table
+    rows = ChatData.read(spark, root).summaries.collect()
+    assert len(rows) == len(before) and sum(r.summary == "x" for r in rows) == 2
+
+
+def test_missing_tables_are_empty(spark):
+    from chatlake.operators import summaries
+    assert summaries.sentiment_counts(None).collect() == []
+    assert [tuple(r) for r in summaries.summary_stats(None).collect()] == [("total", None, 0)]
+    assert summaries.latest_summary(None).collect() == []
+    assert summaries.get_summary(None, 1).collect() == []
+
+
+def test_request_and_result_files(spark, tmp_path):
+    """Request lines, and result lines of every faulty kind."""
+    from chatlake.operators import derive
+    reqs = spark.createDataFrame([("conv_1", "m", 5, "hi\n\"q\"")],
+                                 "custom_id string, model string, max_tokens long, prompt string")
+    derive.write_requests(reqs, str(tmp_path / "req"))
+    line = [x for f in sorted((tmp_path / "req").glob("part*")) for x in f.read_text().splitlines()]
+    assert [json.loads(x) for x in line] == [{"custom_id": "conv_1", "params": {
+        "model": "m", "max_tokens": 5, "messages": [{"role": "user", "content": "hi\n\"q\""}]}}]
+
+    def result(i, text=None, rtype="succeeded", content=None):
+        content = [{"type": "text", "text": text}] if content is None else content
+        return json.dumps({"custom_id": i, "result": {"type": rtype, "message": {"content": content}}})
+
+    item = '{"category": "wisdom", "title": "t", "summary": "s"%s}'
+    good = "[" + item % "" + "]"
+    lines = [result("conv_1", good), result("conv_2", content=[]), result("conv_3", rtype="errored"),
+             result("conv_4", good + " and see [1]"), result("conv_5", good.replace('"', "'")),
+             result("conv_6", f"[{item % ''}, 5, null, {item % ', \"confidence\": \"x\"'}]"),
+             result("conv_7", "nope"), result("conv_8", good[:-1]), result("conv_x", good),
+             result("conv_9", item % ""), result("conv_10", "[]"), result("conv_11", rtype="expired"),
+             json.dumps({"custom_id": "conv_12", "result": {"type": "succeeded"}})]
+    (tmp_path / "res.jsonl").write_text("\n".join(lines))
+    rows, rejects, counters = derive.load_insights(derive.read_results(spark, str(tmp_path / "res.jsonl")), None)
+    assert sorted(r.conversation_id for r in rows.collect()) == [1, 6]
+    assert {r.confidence for r in rows.collect()} == {0.5}
+    assert sorted((r.conversation_id or 0, -1 if r.pos is None else r.pos, r.reason) for r in rejects.collect()) == [
+        (0, 0, "bad custom_id"), (4, -1, "not a JSON array"), (5, -1, "not a JSON array"),
+        (6, 1, "item not an insight object"), (6, 2, "item not an insight object"), (6, 3, "bad confidence"),
+        (7, -1, "not a JSON array"), (8, -1, "not a JSON array"), (9, -1, "not a JSON array")]
+    assert counters.first().asDict() == {"succeeded": 11, "other": 1, "loaded": 2, "errors": 7, "rejected": 3}
+
+
+def test_summary_results(spark, tmp_path):
+    from chatlake.operators import derive
+    texts = ['{"summary": "s", "key_topics": ["a"], "sentiment": "learning", "outcome": "ongoing"}', "{}", "nope",
+             "{'summary': 's'}", '{"summary": "s"} or {"x": 1}', "[1, 2]", '{"summary": "s"', "```json\n{}\n```"]
+    lines = [json.dumps({"custom_id": f"summary_{i}", "result": {"type": "succeeded", "message": {
+        "content": [{"type": "text", "text": t}]}}}) for i, t in enumerate(texts)]
+    (tmp_path / "res.jsonl").write_text("\n".join(lines))
+    rows, rejects, counters = derive.load_summaries(derive.read_results(spark, str(tmp_path / "res.jsonl")))
+    got = {r.conversation_id: (r.summary, r.key_topics, r.sentiment, r.outcome) for r in rows.collect()}
+    assert got == {0: ("s", ["a"], "learning", "ongoing"), 1: ("", [], "unknown", "unknown"),
+                   7: ("", [], "unknown", "unknown")}
+    assert sorted(r.conversation_id for r in rejects.collect()) == [2, 3, 4, 5, 6]
+    assert counters.first().asDict() == {"succeeded": 8, "other": 0, "loaded": 3, "errors": 5, "rejected": 0}
+
+
+def test_vectors_of_other_widths_have_no_score(spark):
+    from chatlake.operators import vectors
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 1.0])],
+                               "conversation_id long, embedding array<float>")
+    got = {r[0]: r[1] for r in vectors.similarity(df, [2.0, 0.0]).collect()}
+    assert (got[1], got[2], got[3], got[4]) == (1.0, None, None, None)
+    assert round(got[5], 6) == 0.707107
+    blob = spark.createDataFrame([(bytearray(b"\x00\x00\x80?\x00\x00\x00@"),), (None,)], "b binary")
+    assert [r[0] for r in blob.select(vectors.decode_float32(F.col("b"))).collect()] == [[1.0, 2.0], None]
