@@ -217,10 +217,13 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
 
 def _counters(lines: DataFrame, loaded: DataFrame) -> DataFrame:
     """One row: counts of lines by type beside (loaded, unread, rejected)."""
+    names = ["succeeded", "other", "errored", "loaded", "unread", "rejected"]
     types = lines.agg(*_counts_by_type(), F.count_if(F.col("type").isin("error", "errored")).alias("errored"))
-    one = F.lit(1).alias("_one")
-    return (types.select("*", one).join(loaded.select("*", one), "_one")
-            .select("succeeded", "other", "loaded", (F.col("errored") + F.col("unread")).alias("errors"), "rejected"))
+
+    def padded(df):
+        return df.select(*[F.col(n) if n in df.columns else F.lit(0).cast("long").alias(n) for n in names])
+    both = padded(types).unionByName(padded(loaded)).agg(*[F.sum(n).alias(n) for n in names])
+    return both.select("succeeded", "other", "loaded", (F.col("errored") + F.col("unread")).alias("errors"), "rejected")
 
 
 def load_summaries(results: DataFrame, summarized_at: str | None = None

@@ -29,7 +29,7 @@ def _scans(plan: str) -> list[str]:
     return [ln for ln in plan.split("\n") if "FileScan parquet" in ln]
 
 
-@pytest.mark.parametrize("key", ["daily_stats", "usage_summary", "histogram_week"])
+@pytest.mark.parametrize("key", ["daily_stats", "usage_summary"])
 def test_daily_figures_read_text_only_without_a_count(spark, key):
     """The scan of counted messages has no text; the other one is filtered to rows without a count."""
     scans = [s for s in _scans(_plan(E.queries()[key](spark, SF))) if "token_count" in s]
@@ -40,6 +40,10 @@ def test_daily_figures_read_text_only_without_a_count(spark, key):
     assert not any("char_start" in s or "system_prompt" in s for s in scans)
 
 
+def test_message_counts_read_no_text(spark):
+    assert not any("content" in s for s in _scans(_plan(E.queries()["histogram_week"](spark, SF))))
+
+
 @pytest.mark.parametrize("key", ["extract_requests", "extract_requests_cut", "summary_requests"])
 def test_requests_need_no_window_over_text(spark, key):
     plan = _plan(E.queries()[key](spark, SF))
