@@ -5,8 +5,12 @@ anywhere else, in the same text or another one.
 
 1. Windows.  Every ``length``-byte window has the smallest hash of the
    ``GRAM``-byte strings in it as its key; equal windows have equal keys.  A
-   run of windows with one key is a fragment of text.  Keys that occur in one
-   fragment only can't hold a repeat; a partial aggregate drops them.
+   run of windows with one key is a fragment of text.  A key that occurs in
+   one fragment only holds a repeat only if two windows of that fragment are
+   equal, that is if the fragment repeats itself with some period; then its
+   key stands at the left edge of one window and, further on, at the right
+   edge of another.  Such fragments are flagged.  A partial aggregate drops the
+   keys of one fragment without a flag.
 2. Shards.  Equal fragments collapse to one with a count, so thousands of
    copies are one row.  Fragments are dealt to shards by key, which brings
    equal windows together.  A key with more than ``HOT`` different fragments
@@ -83,24 +87,36 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def fragments_of(text: bytes | memoryview, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, key) of every fragment of one text."""
+def fragments_of(text: bytes | memoryview, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, key, flag) of every fragment of one text.
+
+    ``flag``: two windows of the fragment may be equal.  Equal windows i and
+    i + p give the bytes from i to i + p + length the period p, so the key
+    stands among the first p strings from i on (left edge of a window) and among
+    the last p (right edge of a window), at different places as p < wide.
+    """
     gram = min(GRAM, length)
     wide = length - gram + 1
     a = np.frombuffer(text, np.uint8)
     out = []
     for at in range(0, len(a) - length + 1, _SLICE):
         part = a[at:at + _SLICE + length - 1]
-        m = sliding_min(string_hashes(part, gram), wide)
+        h = string_hashes(part, gram)
+        m = sliding_min(h, wide)
         new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         # Long runs (a text that repeats itself) are cut into bounded ones.
         size = np.diff(np.append(new, len(m)))
         pieces = -(-size // wide)
         first = np.repeat(new, pieces) + wide * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         last = np.minimum(first + wide, np.repeat(new + size, pieces)) - 1
-        out.append((first + at, last + at, m[first]))
+        left, right = np.flatnonzero(h[: len(m)] == m), np.flatnonzero(h[wide - 1:] == m)
+        # The first left edge from ``first`` on, and the last right edge up to ``last``.
+        low = np.append(left, len(h))[np.searchsorted(left, first)]
+        high = np.append(-1, right)[np.searchsorted(right, last, "right")]
+        flag = (low <= last) & (high >= first) & (low < high + wide - 1)
+        out.append((first + at, last + at, m[first], flag))
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -321,14 +337,16 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 part = b.slice(at, 500)
                 found = [fragments_of(t.as_buffer(), length) for t in part.column(2)]
                 row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                first, last, key = (np.concatenate(x) for x in zip(*found))
+                first, last, key, flag = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)),
-                     pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key.view(np.int64))],
-                    names=["r1", "r2", "first", "last", "h"])
+                     pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(key.view(np.int64)),
+                     pa.array(flag)],
+                    names=["r1", "r2", "first", "last", "h", "flag"])
 
-    runs = stored(rows.mapInArrow(cut, "r1 long, r2 long, first int, last int, h long"), "fragments")
-    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    runs = stored(rows.mapInArrow(cut, "r1 long, r2 long, first int, last int, h long, flag boolean"), "fragments")
+    again = (runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("flag").alias("flag"))
+             .where("n > 1 or flag").select("h"))
     wanted = (runs.join(again, "h").groupBy("r1", "r2")
               .agg(F.collect_set(F.struct("first", "last", "h")).alias("wanted")))  # within one text
 

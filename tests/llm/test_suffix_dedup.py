@@ -76,6 +76,20 @@ def test_length_400(docs_of):
     assert got(sd.remove_repeats(docs_of(docs), 400)) == brute(docs, 400)
 
 
+def test_length_400_text_that_overlaps_its_own_copy(docs_of):
+    """Periodic stretches in one place are one fragment; their key occurs nowhere else."""
+    rng = random.Random(2)
+    text = lambda k: "".join(rng.choice("etaoinshr ") for _ in range(k))
+    docs = [(0, "z" * 500), (1, "ab" * 250), (2, text(700) + text(60) * 8 + text(700)), (3, text(900)),
+            (4, text(50) + text(299) * 3 + text(50)), (5, text(300) + "q" * 401), (6, "y" * 400), (7, text(150) * 2),
+            (8, text(20) + text(200) * 3), (9, text(399) + text(1) + "w" * 700 + text(30))]
+    docs += [(10 + p, text(rng.randrange(500)) + (text(p) * 402)[:400 + rng.randrange(1, 300)] + text(rng.randrange(500)))
+             for p in range(1, 302, 7)]
+    rows = got(sd.remove_repeats(docs_of(docs), 400))
+    assert rows == brute(docs, 400)
+    assert {r[0]: r[2] for r in rows}[0] == 500
+
+
 def test_long_texts_are_cut_in_slices(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "_SLICE", 100)
     docs = [(i, t) for i, (_, t) in enumerate(corpus(5))] + [(900, "".join(t or "" for _, t in corpus(5)))]
