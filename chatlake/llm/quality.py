@@ -10,7 +10,17 @@ it rejects is at most ``delta`` divided by the number of strata and rules
 which needs no further correction along the grid), and the last certified one
 is used.  With probability ``1 - delta`` every stratum loses at most ``alpha``
 of its good documents to every rule, ``alpha_total = alpha * rules`` in all.
-A stratum with too few labels gets no cutoff and loses nothing.
+
+A stratum with so few labels that not even a cutoff without rejected good
+documents could be certified, ``(1 - alpha) ** n`` above the limit, makes no
+test of its own.  All such strata are judged by the cutoffs of one pool: their
+labelled documents together, and if those are too few as well, those of the
+next larger strata until there are enough.  The pool is chosen by numbers of
+labels alone and takes the place of at least one test, so the limit holds.
+Its guarantee is for the pool as a whole: every rule's pooled cutoff exceeds
+at most ``alpha`` of the pool's good documents, in the pool's mix; a single
+small stratum may lose a larger share.  A pool that is too small gives no
+cutoff, and its strata lose nothing.
 
 Scale: one pass over the texts with built-in functions makes a narrow table;
 everything else works on that.  The counts for all cutoffs are one partial
@@ -20,7 +30,7 @@ Defined results: null text has no words; labels without a quality, and
 documents without a label, don't count for cutoffs; a null stratum is a
 stratum of its own; repeated labels of a document count once, good only if all
 are; repeated rows get the same verdict; without labels only the base rules
-act; an empty table gives an empty result; other columns are ignored.
+act, and so in a stratum without any good label; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,25 +106,47 @@ def binomial_tail(k: F.Column, n: F.Column, p: float) -> F.Column:
 
 
 def certified_cutoffs(good: DataFrame, rules=None, alpha: float = 0.004, delta: float = 0.05) -> DataFrame:
-    """(stratum, measures) rows of good documents -> (stratum, rule, cutoff, k, n)."""
+    """(stratum, measures) rows of good documents -> (stratum, rule, cutoff, k, n).
+
+    Strata judged by the pool have its cutoffs, ``k`` and ``n``.
+    """
     rules = rules or RULES
     counts = [F.sum((_measure(m) > t).cast("long")).alias(f"{r}__{j}")
               for r, (m, grid) in rules.items() for j, t in enumerate(grid)]
     by = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *counts)
+    # One row a stratum from here on.
+    every = Window.partitionBy()
+    smaller = Window.orderBy("n", "stratum").rowsBetween(Window.unboundedPreceding, -1)
+    by = by.withColumn("strata", F.count(F.lit(1)).over(every))
+    limit = F.lit(delta / len(rules)) / F.col("strata")
+
+    def too_few(n):
+        return binomial_tail(F.lit(0).cast("long"), n, alpha) > limit
+
+    by = by.withColumn("small", too_few(F.col("n")))
+    pooled = F.max("small").over(every) & (F.col("small") | too_few(F.coalesce(F.sum("n").over(smaller), F.lit(0))))
+    own = F.struct(F.lit(False).alias("pool"), "stratum")
+    pool = F.struct(F.lit(True).alias("pool"), F.lit(None).cast(by.schema["stratum"].dataType).alias("stratum"))
+    by = by.withColumn("pooled", pooled)
+    by = by.withColumn("team", F.explode(F.concat(F.when(F.col("small"), F.array()).otherwise(F.array(own)),
+                                                  F.when(F.col("pooled"), F.array(pool)).otherwise(F.array()))))
+    judged = F.when(~F.col("team.pool") | F.col("small"), F.struct("stratum"))
+    by = by.groupBy("team", "strata").agg(
+        F.collect_list(judged).alias("judged"), F.sum("n").alias("n"),
+        *[F.sum(f"{r}__{j}").alias(f"{r}__{j}") for r, (_, grid) in rules.items() for j in range(len(grid))])
     tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.lit(t).alias("cutoff"),
                                F.col(f"{r}__{j}").alias("k"))
                       for r, (_, grid) in rules.items() for j, t in enumerate(grid)])
-    strata = F.count(F.lit(1)).over(Window.partitionBy())  # one row a stratum
-    t = (by.select("stratum", "n", strata.alias("strata"), F.explode(tests).alias("t"))
-         .select("stratum", "n", "strata", "t.*"))
-    limit = F.lit(delta / len(rules)) / F.col("strata")
+    t = (by.select("team", "judged", "n", "strata", F.explode(tests).alias("t"))
+         .select("team", "judged", "n", "strata", "t.*"))
     # Above the mean the tail is far above any limit in use; its sum isn't needed.
     ok = F.when(F.col("k") > F.col("n") * alpha, False).otherwise(
         binomial_tail(F.col("k"), F.col("n"), alpha) <= limit)
-    so_far = Window.partitionBy("stratum", "rule").orderBy("j")
+    so_far = Window.partitionBy("team", "rule").orderBy("j")
     t = t.withColumn("ok", F.min(ok.cast("int")).over(so_far)).where("ok = 1")
-    return (t.groupBy("stratum", "rule").agg(F.max(F.struct("j", "cutoff", "k", "n")).alias("b"))
-            .select("stratum", "rule", "b.cutoff", "b.k", "b.n"))
+    return (t.groupBy("team", "rule").agg(F.max(F.struct("j", "cutoff", "k", "n")).alias("b"),
+                                          F.first("judged").alias("judged"))
+            .select(F.explode("judged").alias("s"), "rule", "b").select("s.stratum", "rule", "b.cutoff", "b.k", "b.n"))
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None, alpha: float = 0.004,

@@ -83,6 +83,38 @@ def test_cutoffs_and_verdicts(spark, docs_of):
     assert not rows[10]["kept"] or not rows[20]["kept"]
 
 
+@pytest.mark.parametrize("sizes", [{"en": 400, "fr": 120, "de": 60}, {"en": 400, "fr": 120, "de": 90, "es": 60},
+                                   {"en": 150, "fr": 30}, {"en": 400, "fr": 300}, {"en": 240, "fr": 230}])
+def test_strata_with_few_labels_share_a_pool(spark, docs_of, sizes):
+    """0.98 ** n <= 0.05 / strata needs about 200 good labels."""
+    docs, labels = [], []
+    for lang, n in sizes.items():
+        for i in range(n + n // 4):
+            bad = i >= n
+            words = [f"w{i}x{k}" for k in range(60)] + ["$$$$$$"] * (20 if bad else i % 3 if lang == "en" else 0)
+            docs.append((len(docs), "\n".join(words), lang))
+            labels.append((len(labels), 0 if bad else 1, 0))
+    docs.append((5000, docs[-1][1], "xx"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = {"symbols": ("n_symbols / n_words", [8.0, 4.0, 2.0, 1.0, 0.5, 0.1, 0.05])}
+    rows = {r["doc_id"]: r for r in quality.judge_quality(docs_of(docs), lab, rules=rules, alpha=0.02).collect()}
+    assert not any(r["base_failed"] for r in rows.values())
+    value = {i: rows[i]["n_symbols"] / rows[i]["n_words"] for i in rows}
+    limit = 0.05 / len(sizes)
+    good = {s: [value[i] for i, _, lang in docs if lang == s and i < 5000 and labels[i][1]] for s in sizes}
+    small = [s for s in sizes if 0.98 ** len(good[s]) > limit]
+    pool = []
+    for s in sorted(sizes, key=sizes.get):
+        if small and (s in small or 0.98 ** len(pool) > limit):
+            pool += good[s]
+    grid = rules["symbols"][1]
+    for i, _, lang in docs:
+        t = None if lang == "xx" else cutoff(pool if lang in small else good[lang], grid, 0.02, limit)
+        assert rows[i]["kept"] == (t is None or value[i] <= t), (i, lang, t)
+    if sum(sizes.values()) > 203:  # what the pool can certify rejects the bad documents of every language
+        assert {lang for i, _, lang in docs if not rows[i]["kept"]} == set(sizes)
+
+
 def test_empty_tables(spark, docs_of):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge_quality(docs_of([]), lab).collect() == []
