@@ -56,14 +56,16 @@ def _letters() -> np.ndarray:
 def _chunks(texts: list) -> Iterator[tuple[np.ndarray, str]]:
     """(rows, joined text): slices of texts of about _CHUNK characters.
 
-    ``rows`` has the row of every character.  Slices of one text overlap by
-    three characters, so no n-gram is lost and none is counted twice.
+    ``rows`` has the row of every character.  Each text stands between a blank
+    and two blanks of its own row, so no n-gram reaches into a neighbour.
+    Slices of one text overlap by three characters, so no n-gram is lost and
+    none is counted twice; a slice that doesn't end its text ends its chunk.
     """
     rows, parts, size = [], [], 0
     for k, t in enumerate(texts):
-        t = (t or "").lower()
-        for at in range(0, max(1, len(t)), _CHUNK):
-            part = t[at:at + _CHUNK + 3] + "  "
+        t = f" {(t or '').lower()}  "
+        for at in range(0, len(t) - 3 if len(t) > 3 else 1, _CHUNK):
+            part = t[at:at + _CHUNK + 3]
             rows.append((k, len(part)))
             parts.append(part)
             size += len(part)

@@ -54,6 +54,39 @@ def test_chunks_lose_no_ngram(monkeypatch):
     assert set(whole) <= set(parts)
 
 
+def plain_ngrams(text):
+    t = f" {(text or '').lower()}  "
+    t = "".join(c if c.isalpha() else " " for c in t)
+    return sorted(t[i:i + 4] for i in range(len(t) - 3) if " " not in t[i + 1:i + 3])
+
+
+def test_ngrams_of_a_text_do_not_depend_on_its_neighbours(monkeypatch):
+    def of(texts):
+        out = [[] for _ in texts]
+        for row, h, _ in langid.ngrams(texts):
+            for k, x in zip(row.tolist(), h.tolist()):
+                out[k].append("".join(chr(x >> s & 0xFFFF) for s in (48, 32, 16, 0)))
+        return [sorted(x) for x in out]
+
+    rng = np.random.default_rng(3)
+    texts = ["ab", "x", "", None, "the cat", "1a", "ÀÉ", "a b", " on", "ok "] + [
+        "".join(rng.choice(list("abc  d1"), n)) for n in (1, 2, 3, 96, 97, 98, 99, 100, 101, 102, 103, 104, 250, 500)]
+    for chunk in (langid._CHUNK, 100, 7):
+        monkeypatch.setattr(langid, "_CHUNK", chunk)
+        for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], rng.permutation(len(texts))):
+            some = [texts[i] for i in order]
+            assert of(some) == [plain_ngrams(t) for t in some]
+
+
+def test_predictions_do_not_depend_on_row_order(docs_of):
+    docs = [(i, "the cat and the dog went out " * 4, "en") for i in range(20)]
+    docs += [(100 + i, "der Hund und die Katze gingen hinaus " * 4, "de") for i in range(20)]
+    docs += [(200 + i, ("is", "er", "go", "um")[i % 4], ("en", "de")[i % 2]) for i in range(24)]
+    rows = [sorted(map(tuple, langid.predict_languages(docs_of(x).coalesce(1)).collect()))
+            for x in (docs, docs[::-1], docs[::3] + docs[1::3] + docs[2::3])]
+    assert rows[0] == rows[1] == rows[2]
+
+
 def test_false_positives_are_corrected():
     """A filter so full that each language claims half of all n-grams."""
     rng = np.random.default_rng(0)
