@@ -18,7 +18,8 @@ Defined results: vectors that are null or hold a null or non-finite component
 take no part; an empty vector scores 0 with all; vectors of different widths
 are compared as if the shorter one ended in zeros; a query's own row is every
 row of its vec_id; rows with a null vec_id take no part; repeated rows each
-take a place; ties go to the smaller vec_id; fewer than k candidates give as
+take a place as candidates; a query id with several vectors has one result, in
+which every candidate row stands once with its best score over them; ties go to the smaller vec_id; fewer than k candidates give as
 many rows as there are; an empty table gives an empty result.
 """
 
@@ -109,24 +110,28 @@ def top_k(vectors: DataFrame, k: int = 20, query_step: int = 20, scale: int = 64
 
     group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(c_groups)).cast("int")
     c = rows.select("vec_id", "v", group.alias("c")).withColumn("q", everywhere(q_groups))
-    q = asked.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", "v"), F.lit(q_groups)).cast("int").alias("q"))
+    # All vectors of an id are in one group, where their candidates are merged.
+    q = asked.dropDuplicates(["vec_id", "v"]).select(
+        "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(q_groups)).cast("int").alias("q"))
     q = q.withColumn("c", everywhere(c_groups))
 
     def meet(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(qs) and len(cs):
             cs = cs.sort_values("vec_id", kind="stable")
-            qs = qs.drop_duplicates("vec_id") if qs["vec_id"].duplicated().any() else qs
             width = max(1, int(qs["v"].map(len).max()), int(cs["v"].map(len).max()))
             cm, c_id = _matrix(cs["v"], width), cs["vec_id"].to_numpy()
             qm, q_id = _matrix(qs["v"], width), qs["vec_id"].to_numpy()
             for a in range(0, len(qm), BLOCK):
                 i, j, s = best_of_block(qm[a:a + BLOCK], q_id[a:a + BLOCK], cm, c_id, k)
                 found.append(pd.DataFrame({"query_id": q_id[a:a + BLOCK][i], "vec_id": c_id[j],
-                                           "score": s.astype(np.int64)}))
+                                           "score": s.astype(np.int64), "row": j}))
         if not found:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        return pd.concat(found)
+        out = pd.concat(found)
+        if qs["vec_id"].duplicated().any():
+            out = out.sort_values("score", ascending=False, kind="stable").drop_duplicates(["query_id", "row"])
+        return out.drop(columns="row")
 
     pairs = q.groupBy("q", "c").cogroup(c.groupBy("q", "c")).applyInPandas(
         meet, "query_id long, vec_id long, score long")

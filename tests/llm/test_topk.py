@@ -44,6 +44,22 @@ def test_random_ties_and_copies(spark, monkeypatch, cand, quer):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("cand,quer", [(16_384, 16_384), (37, 2)])
+def test_ids_with_several_vectors_have_one_result(spark, monkeypatch, cand, quer):
+    monkeypatch.setattr(topk, "CANDIDATES", cand)
+    monkeypatch.setattr(topk, "QUERIES", quer)
+    rng = np.random.default_rng(5)
+    rows = [(i % 90, [int(x) for x in rng.integers(-3, 4, 16)]) for i in range(200)]
+    rows += rows[:25]  # repeated rows
+    want = []
+    for q in sorted({i for i, _ in rows if i % 20 == 0}):
+        mine = [v for i, v in rows if i == q]
+        best = sorted((-max(sum(x * y for x, y in zip(a, b)) for a in mine), i) for i, b in rows if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    got = sorted(map(tuple, topk.top_k(frame(spark, [(i, [x / 64 for x in v]) for i, v in rows])).collect()))
+    assert got == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     q, c = rng.normal(size=(20, 30)), rng.normal(size=(50, 30)) + 1
