@@ -16,7 +16,8 @@ back by key.  HTML is read once, for the links.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule, has no alias and is allowed; null HTML has no links; a link is
-resolved against its page; the fragment is no part of a URL's identity;
+resolved against its page, with the basic HTML entities decoded; ``.`` and
+``..`` segments of a path and the fragment are no part of a URL's identity;
 repeated rows get the same verdict; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -82,9 +83,30 @@ def absolute(link: F.Column, base: F.Column) -> F.Column:
             .otherwise(F.concat(site, folder, link)))
 
 
+def decoded(value: F.Column) -> F.Column:
+    """An attribute's value with the basic HTML entities decoded; ``&amp;`` last, so nothing is decoded twice."""
+    for pattern, char in (("quot|#0*34|#x0*22", '"'), ("apos|#0*39|#x0*27", "'"), ("lt|#0*60|#x0*3c", "<"),
+                          ("gt|#0*62|#x0*3e", ">"), ("amp|#0*38|#x0*26", "&")):
+        value = F.regexp_replace(value, f"(?i)&(?:{pattern});", char)
+    return value
+
+
+def without_dots(url: F.Column) -> F.Column:
+    """A URL whose path has no ``.`` and ``..`` segments."""
+    site = F.regexp_extract(url, r"(?s)^([^:/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(url, r"(?s)^[^:/?#]*://[^/?#]*/([^?#]*)", 1)
+    rest = F.regexp_extract(url, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.split(path, "/")
+    ends = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(ends, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(
+        x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.when(url.rlike(r"^[^:/?#]*://[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(
+        site, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
+
+
 def identity(url: F.Column) -> F.Column:
-    """64-bit key of a URL without its fragment, scheme and host lower-cased."""
-    bare = F.regexp_extract(url, r"(?s)^([^#]*)", 1)
+    """64-bit key of a URL without its fragment and dot segments, scheme and host lower-cased."""
+    bare = F.regexp_extract(without_dots(url), r"(?s)^([^#]*)", 1)
     head = F.translate(F.regexp_extract(bare, r"(?s)^([^/?]*(?://[^/?]*)?)", 1), _UPPER, _SMALL)
     return F.xxhash64(F.concat(head, F.substr(bare, F.length(head) + 1)))
 
@@ -100,10 +122,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 
     canonical = (F.lower(F.substring("tag", 1, 5)) == "<link") & F.lower(attr("rel")).rlike(r"(^|\s)canonical(\s|$)")
     refresh = (F.lower(F.substring("tag", 1, 5)) == "<meta") & (F.lower(F.trim(attr("http-equiv"))) == "refresh")
-    to = (F.when(canonical, F.trim(attr("href")))
-          .when(refresh, F.trim(F.regexp_extract(attr("content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1))))
+    to = (F.when(canonical, F.trim(decoded(attr("href"))))
+          .when(refresh, F.trim(F.regexp_extract(decoded(attr("content")), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1))))
     return (tag.select(F.col("url").alias("source"), to.alias("to")).where("to <> ''")
-            .select("source", absolute(F.col("to"), F.col("source")).alias("target")))
+            .select("source", without_dots(absolute(F.col("to"), F.col("source"))).alias("target")))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:

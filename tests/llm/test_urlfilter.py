@@ -74,3 +74,17 @@ def test_whole_table(spark):
     url = {r["page_id"]: r["url"] for r in pages.select("page_id", "url").collect()}
     for r in urlfilter.judge_urls(pages, urlfilter.rules_frame(spark)).collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(url[r["page_id"]])
+
+
+def test_links_with_entities_and_dot_segments(spark):
+    links = [("https://h/a/b/c", "../x", "https://h/a/x"), ("https://h/a/b/c", "./y/./z/..", "https://h/a/b/y/"),
+             ("https://h/a", "../../x?p=../q", "https://h/x?p=../q"), ("https://h/a", "/x?a=1&amp;b=2", "https://h/x?a=1&b=2"),
+             ("https://h/a", "/x?a=&amp;lt;&#38;&#x27;", "https://h/x?a=&lt;&'"), ("https://h/a", "/.x/..y", "https://h/.x/..y")]
+    pages = spark.createDataFrame([(u, f'<link rel="canonical" href="{to}">') for u, to, _ in links],
+                                  "url string, html string")
+    assert sorted(map(tuple, urlfilter.page_links(pages).collect())) == sorted((u, t) for u, _, t in links)
+    rows = [(1, "https://ok.org/a/b", '<link rel="canonical" href="../bad/x?a=1&amp;b=2">'),
+            (2, "https://ok.org/bad/x?a=1&b=2", '<link rel="canonical" href="https://evil.org/">')]
+    rules = urlfilter.rules_frame(spark, [("block", "evil.org", "/")])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r["verdict"] for r in urlfilter.judge_urls(pages, rules).collect()] == ["block", "block"]
