@@ -3,8 +3,8 @@
 A byte goes when a string of ``length`` bytes that covers it also starts
 anywhere else, in the same text or another one.
 
-1. Windows.  Every ``length``-byte window has the smallest hash of the
-   ``GRAM``-byte strings in it as its key; equal windows have equal keys.  A
+1. Windows.  Every ``length``-byte window has the smallest hash of the strings
+   of a quarter of its length in it as its key; equal windows have equal keys.  A
    run of windows with one key is a fragment of text.  A key that occurs in
    one fragment only holds a repeat only if two windows of that fragment are
    equal, that is if the fragment repeats itself with some period; then its
@@ -32,8 +32,10 @@ by 128 bits of id and text, so repeated rows need no numbering.
 
 Defined results: null text is the empty text; texts shorter than ``length``
 stay whole; matches never cross documents; repeated rows are documents of
-their own and lose what they share; an empty table gives an empty result;
-other columns are passed on when named in ``keep``.
+their own and lose what they share; an empty table gives an empty result.
+Other columns are passed on when named in ``keep`` (by ``without_repeats``:
+all of them), whatever their names; a kept column with the name of a result
+column is refused with an error, as its meaning would be open.
 """
 
 from __future__ import annotations
@@ -49,7 +51,8 @@ from pyspark.sql import types as T
 
 from chatlake.llm.common import n_groups, stored
 
-GRAM = 100
+#: Strings whose hashes key the windows have ``length // GRAM_SHARE`` bytes.
+GRAM_SHARE = 4
 SHARD_BYTES, HOT, MERGE = 2_000_000, 2_000, 1_000_000
 _SLICE = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -87,6 +90,10 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+def gram_of(length: int) -> int:
+    return max(1, length // GRAM_SHARE)
+
+
 def fragments_of(text: bytes | memoryview, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, last window, key, flag) of every fragment of one text.
 
@@ -95,7 +102,7 @@ def fragments_of(text: bytes | memoryview, length: int) -> tuple[np.ndarray, np.
     stands among the first p strings from i on (left edge of a window) and among
     the last p (right edge of a window), at different places as p < wide.
     """
-    gram = min(GRAM, length)
+    gram = gram_of(length)
     wide = length - gram + 1
     a = np.frombuffer(text, np.uint8)
     out = []
@@ -264,8 +271,10 @@ def _shard(length: int, slices: int):
                     if len(some):
                         out.append(pd.DataFrame({"h": [key], "slice": [s], "marks": [some.tobytes()]}))
         cols = [c.split()[0] for c in _FOUND.split(", ")]
-        out = pd.concat([o.reindex(columns=cols) for o in out])
-        return out.astype({c: "Int64" for c in cols if c != "marks"})
+        # Nullable integers before joining: 64-bit keys don't survive as doubles.
+        whole_numbers = {c: "Int64" for c in cols if c != "marks"}
+        return pd.concat([o.astype({c: t for c, t in whole_numbers.items() if c in o}).reindex(columns=cols)
+                          .astype(whole_numbers) for o in out])
     return run
 
 
@@ -320,16 +329,27 @@ def _merge_frame(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # --- the operator -----------------------------------------------------------------
 
-def _known(docs: DataFrame) -> DataFrame:
-    """Rows with their 128-bit key (r1, r2) and text bytes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"r1": F.xxhash64("doc_id", text), "r2": F.xxhash64(text, F.lit(1), "doc_id"),
-                             "bytes": text.cast("binary")})
+RESULT = ("doc_id", "kept", "kept_text", "n_bytes", "n_removed", "n_spans")
+
+
+def _column(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _known(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows with their 128-bit key (r1, r2), text bytes and the kept columns as c0, c1, ...
+
+    Only these names are used inside, so no column of ``docs`` can stand for another one.
+    """
+    text = F.coalesce(_column("text"), F.lit(""))
+    return docs.select(*[_column(c).alias(f"c{i}") for i, c in enumerate(keep)],
+                       F.xxhash64(_column("doc_id"), text).alias("r1"),
+                       F.xxhash64(text, F.lit(1), _column("doc_id")).alias("r2"), text.cast("binary").alias("bytes"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(r1, r2, spans): window ranges (first, last) of each row that repeat."""
-    rows = _known(docs).select("r1", "r2", "bytes").where(F.length("bytes") >= length)
+    rows = _known(docs, []).where(F.length("bytes") >= length)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -376,7 +396,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     busy = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") > HOT), "hotkeys")
     most = busy.agg(F.max("different")).first()[0]
     if most:
-        slices = n_groups(most * (length - GRAM) // 2, MERGE)
+        slices = n_groups(most * (length - gram_of(length)) // 2, MERGE)
     dealt = kinds.join(busy, "h", "left")
     parts = F.coalesce(F.ceil(F.col("different") / F.lit(HOT)), F.lit(1))
     # A hot key's fragments go to shards of their own, others share one by key.
@@ -403,24 +423,20 @@ def removed_runs(spans: list[dict], length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, n_removed, n_spans (+ ``keep``) of every row.
-
-    ``kept_text`` is ``kept`` as text; bytes of characters cut in two are left out.
-    """
-    cols = list(dict.fromkeys(["doc_id", *keep]))
-    rows = _known(docs).select(*[F.col(c).alias(f"c_{c}") for c in cols], "r1", "r2", "bytes")
+def _cut(docs: DataFrame, length: int, cols: list[str]) -> DataFrame:
+    """``cols`` as c0, c1, ..., then kept, kept_text, n_bytes, n_removed and n_spans of every row."""
+    rows = _known(docs, cols)
     spans = stored(repeated_spans(docs, length), "spans")
+    own = [f"c{i}" for i in range(len(cols))]
     same = rows.join(spans, ["r1", "r2"], "left_anti").select(
-        *[F.col(f"c_{c}").alias(c) for c in cols], F.col("bytes").alias("kept"),
-        F.col("bytes").cast("string").alias("kept_text"),
+        *own, F.col("bytes").alias("kept"), F.col("bytes").cast("string").alias("kept_text"),
         F.length("bytes").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, size, gone, n = [], [], [], []
-            for text, list_ in zip(b.column(len(cols)), b.column(len(cols) + 1)):
+            for text, list_ in zip(b.column(len(own)), b.column(len(own) + 1)):
                 t, at, out = text.as_py(), 0, []
                 cuts = removed_runs(list_.as_py(), length)
                 for x, y in cuts:
@@ -432,14 +448,36 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = (
                 gone.append(sum(y - x for x, y in cuts))
                 n.append(len(cuts))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(cols)], pa.array(kept, pa.binary()),
+                [*b.columns[: len(own)], pa.array(kept, pa.binary()),
                  pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()),
                  *(pa.array(x, pa.int64()) for x in (size, gone, n))],
-                names=[*cols, "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
+                names=[*own, "kept", "kept_text", "n_bytes", "n_removed", "n_spans"])
 
-    schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("kept", T.BinaryType()),
-                           T.StructField("kept_text", T.StringType()),
+    schema = T.StructType([*[T.StructField(o, docs.schema[c].dataType) for o, c in zip(own, cols)],
+                           T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()),
                            *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")]])
-    cut = (rows.join(spans, ["r1", "r2"]).select(*[f"c_{c}" for c in cols], "bytes", "spans")
-           .mapInArrow(run, schema))
+    cut = rows.join(spans, ["r1", "r2"]).select(*own, "bytes", "spans").mapInArrow(run, schema)
     return same.unionByName(cut)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept (bytes), n_bytes, n_removed, n_spans (+ ``keep``) of every row.
+
+    ``kept_text`` is ``kept`` as text; bytes of characters cut in two are left out.
+    """
+    clash = [c for c in keep if c.lower() in RESULT[1:]]
+    if clash:
+        raise ValueError(f"kept columns {clash} have names of result columns: rename them, or use without_repeats")
+    cols = list(dict.fromkeys(["doc_id", *keep]))
+    cut = _cut(docs, length, cols)
+    return cut.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], *RESULT[1:])
+
+
+def without_repeats(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with its own columns, the repeats cut from ``text``; ``n_chars`` (if there) counts what is left."""
+    cols = [c for c in docs.columns if c not in ("text", "n_chars")]
+    cut, at = _cut(docs, length, cols), {c: F.col(f"c{i}") for i, c in enumerate(cols)}
+    at["text"] = F.col("kept_text")
+    if "n_chars" in docs.columns:
+        at["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[at[c].alias(c) for c in docs.columns])

@@ -9,6 +9,10 @@ import corpus_pipeline
 from chatlake.llm import mixing
 
 
+#: Further columns, named like results and internal columns of the stages.
+EXTRA = ("score", "r1", "r2", "bytes", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "h", "frag")
+
+
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     rng = random.Random(12)
@@ -16,15 +20,19 @@ def corpus(spark, tmp_path_factory):
     de = [w + x for w in ("sch", "ei", "zu", "ver") for x in ("en", "ung", "er", "ich", "aus", "tz")]
     text = lambda words, n: " ".join(rng.choice(words) + str(rng.randrange(40)) for _ in range(n))
     rows = [(i, text(en if i % 2 else de, 80 + i), "en" if i % 2 else "de", f"src{i % 3}") for i in range(40)]
-    passage = text(en, 90)
+    # 51 short words, the shortest passage that the stage must find: 203 to 254 bytes.
+    passage = " ".join("".join(rng.choice("aeiounrst") for _ in range(rng.choice((3, 3, 4)))) for _ in range(51))
+    assert len(passage) < 260
     rows += [(100 + i, f"{text(en, 60)} {passage} {text(en, 60)}", "en", "src0") for i in range(3)]
     rows += [(200 + i, rows[4][1], "de", "src1") for i in range(3)]                  # exact copies
     rows += [(300, rows[5][1].replace("e1 ", "e2 ", 1), "en", None)]                 # a near copy at most
     rows += [(400, None, "en", "src1"), (401, "123 456 $$$", None, "src2"), (402, "", "de", None)]
     rows += [rows[7]] * 2                                                            # repeated rows
-    rows = [(i, t, lang, s, len(t) if t is not None else None, "extra") for i, t, lang, s in rows]
+    extra = [f"{c} string" for c in EXTRA]
+    rows = [(i, t, lang, s, len(t) if t is not None else None, *[f"{c}{i}" for c in EXTRA]) for i, t, lang, s in rows]
     d = str(tmp_path_factory.mktemp("sf"))
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+                               + ", ".join(extra))
     df.write.parquet(f"{d}/documents.parquet")
     return d, rows, passage
 
@@ -60,9 +68,9 @@ def test_one_document_of_every_group(stages):
 def test_passages_go_and_the_rest_stays(corpus, stages):
     text = {r.doc_id: r.text for r in stages[1]}
     for r in stages[2]:
-        assert r.n_chars == len(r.text)
+        assert r.n_chars == len(r.text) and all(r[c] == f"{c}{r.doc_id}" for c in EXTRA)
         if r.doc_id in (100, 101, 102):
-            assert corpus[2][5:-5] not in r.text and len(r.text) < len(text[r.doc_id]) - len(corpus[2]) + 2
+            assert corpus[2] not in r.text and corpus[2][5:-5] not in r.text and len(r.text) < len(text[r.doc_id]) - len(corpus[2]) + 2
         elif not (r.doc_id in (5, 300) and {5, 300} <= set(text)):  # 300 may be too far from 5 to be its copy
             assert r.text == text[r.doc_id]
 

@@ -56,7 +56,7 @@ def test_keys_over_several_shards(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "HOT", 3)
     monkeypatch.setattr(sd, "SHARD_BYTES", 500)
     monkeypatch.setattr(sd, "MERGE", 40)
-    monkeypatch.setattr(sd, "GRAM", 8)
+    monkeypatch.setattr(sd, "GRAM_SHARE", 3)
     rng = random.Random(9)
     line = "the same license line in every text"
     docs = [(i, "".join(rng.choice("abc") for _ in range(50)) + line + "".join(rng.choice("abc") for _ in range(50)))
@@ -96,6 +96,28 @@ def test_long_texts_are_cut_in_slices(docs_of, monkeypatch):
     assert got(sd.remove_repeats(docs_of(docs), 24)) == brute(docs, 24)
 
 
+INTERNAL = ("r1", "r2", "bytes", "kept", "kept_text", "n_bytes", "n_removed", "n_spans", "h", "f1", "f2", "frag",
+            "spans", "wanted", "first", "last", "at", "n", "c0", "c1", "c_doc_id", "shard", "different", "a.b")
+
+
+def test_columns_with_internal_names_pass_through(spark):
+    """Every name that the operator uses inside, as a column of the documents."""
+    docs = [(i, f"{i} some text" + " the same passage in two texts" * (i % 2), i * 10) for i in range(6)]
+    df = spark.createDataFrame(
+        [(i, t, len(t), *[f"{c}{i}" for c in INTERNAL]) for i, t, _ in docs],
+        "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in INTERNAL))
+    rows = sd.without_repeats(df, 24).collect()
+    want = {r[0]: r for r in brute([(i, t) for i, t, _ in docs], 24)}
+    assert len(rows) == 6 and rows[0].__fields__ == df.columns
+    for r in rows:
+        assert hashlib.sha256(r["text"].encode()).hexdigest() == want[r["doc_id"]][4] and r["n_chars"] == len(r["text"])
+        assert [r[c] for c in INTERNAL] == [f"{c}{r['doc_id']}" for c in INTERNAL]
+    kept = sd.remove_repeats(df, 24, keep=("r1", "bytes", "c1")).collect()
+    assert all((r["r1"], r["bytes"], r["c1"]) == tuple(f"{c}{r['doc_id']}" for c in ("r1", "bytes", "c1")) for r in kept)
+    with pytest.raises(ValueError, match="n_bytes"):
+        sd.remove_repeats(df, 24, keep=("n_bytes",))
+
+
 def test_empty(docs_of):
     assert sd.remove_repeats(docs_of([]), 400).collect() == []
 
