@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (kneser_ney, langid, mixing, packing, quality, sharding, simhash, suffix_dedup, topk,
+from chatlake.llm import (kneser_ney, langid, merkle, mixing, packing, quality, sharding, simhash, suffix_dedup, topk,
                           urlfilter)
 
 
@@ -59,6 +59,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.verify(merkle.document_manifest(_table(spark, sf_dir, "documents")), "tampered")
+    return found.select("doc_id", *[merkle.hexed(c).alias(c) for c in ("leaf", "subroot", "root")],
+                        F.sha2(merkle.proof_text("proof"), 256).alias("proof_sha256"),
+                        merkle.hexed("folded_root").alias("folded_root"), "verified")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sharding": op2_sharding,
@@ -70,6 +77,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -123,4 +131,65 @@ taken AS (
   FROM ranked)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, CAST(copies AS BIGINT) AS copies
 FROM taken""",
+    "op13_merkle": r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, source, text,
+         concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'),
+                coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+                coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+             string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ord(d)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+  FROM documents),
+leaves AS (
+  SELECT doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+         CASE WHEN (4294967295 - crc) % 2 = 0
+              THEN sha256(concat(head, coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')))
+              ELSE sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) END AS bad
+  FROM base),
+numbered AS (
+  SELECT *, coalesce('=' || source, '-') AS tree, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY source) AS n
+  FROM leaves WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+low(tree, lvl, idx, n, h) AS (
+  SELECT tree, 0, idx, n, leaf FROM numbered
+  UNION ALL
+  SELECT tree, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1
+  GROUP BY tree, lvl, idx // 3, n),
+subroots AS (
+  SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high(lvl, idx, n, h) AS (
+  SELECT 0, idx, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1
+  GROUP BY lvl, idx // 3, n),
+depth AS (SELECT tree, max(lvl) AS top FROM low GROUP BY tree),
+sides AS (
+  SELECT a.tree, a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM low a LEFT JOIN low b ON b.tree = a.tree AND b.lvl = a.lvl AND b.idx // 3 = a.idx // 3 AND b.idx <> a.idx
+  WHERE a.n > 1 GROUP BY a.tree, a.lvl, a.idx),
+high_sides AS (
+  SELECT a.lvl, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM high a LEFT JOIN high b ON b.lvl = a.lvl AND b.idx // 3 = a.idx // 3 AND b.idx <> a.idx
+  WHERE a.n > 1 GROUP BY a.lvl, a.idx),
+all_sides AS (
+  SELECT tree, lvl, idx, l, r FROM sides
+  UNION ALL
+  SELECT s.tree, d.top + h.lvl, h.idx, h.l, h.r
+  FROM subroots s JOIN depth d USING (tree) JOIN high_sides h ON h.idx = s.idx // CAST(pow(3, h.lvl) AS BIGINT)),
+folded(tree, idx, lvl, h, proof) AS (
+  SELECT n.tree, n.idx, 0, n.bad, '' FROM numbered n
+  UNION ALL
+  SELECT f.tree, f.idx, f.lvl + 1, sha256(concat(s.l, f.h, s.r)), concat(f.proof, s.l, s.r)
+  FROM folded f JOIN depth d ON d.tree = f.tree JOIN subroots r ON r.tree = f.tree
+  JOIN all_sides s ON s.tree = f.tree AND s.lvl = f.lvl
+    AND s.idx = CASE WHEN f.lvl < d.top THEN f.idx // CAST(pow(3, f.lvl) AS BIGINT)
+                     ELSE r.idx // CAST(pow(3, f.lvl - d.top) AS BIGINT) END),
+done AS (SELECT tree, idx, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM folded GROUP BY tree, idx)
+SELECT n.doc_id, n.leaf, s.h AS subroot, top.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root,
+       f.h = top.h AS verified
+FROM numbered n JOIN subroots s ON s.tree = n.tree JOIN done f ON f.tree = n.tree AND f.idx = n.idx,
+     (SELECT h FROM high WHERE n = 1) top""",
 }
