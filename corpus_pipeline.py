@@ -15,6 +15,8 @@ from chatlake.llm.common import crc32_of_id, scratch
 
 #: A document is in no known language when fewer of its n-grams than this are known to it.
 LEAST_SCORE = 0.2
+#: Bytes of the shortest passage that counts as repeated: 51 words of three letters have 203.
+PASSAGE = 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the strings of 400 bytes that occur more than once."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = suffix_dedup.remove_repeats(docs.select(*rest, "text"), length=400, keep=tuple(rest))
-    cut = cut.withColumnRenamed("kept_text", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    """The documents without the strings of ``PASSAGE`` bytes that occur more than once."""
+    return suffix_dedup.without_repeats(docs, PASSAGE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
