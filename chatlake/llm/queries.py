@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (kneser_ney, langid, merkle, mixing, packing, quality, sharding, simhash, suffix_dedup, topk,
-                          urlfilter)
+from chatlake.llm import (bpe, kneser_ney, langid, merkle, mixing, packing, quality, sharding, simhash, suffix_dedup,
+                          topk, urlfilter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verify(merkle.document_manifest(_table(spark, sf_dir, "documents")), "tampered")
     return found.select("doc_id", *[merkle.hexed(c).alias(c) for c in ("leaf", "subroot", "root")],
@@ -77,6 +83,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
+    "op11_bpe": op11_bpe,
     "op13_merkle": op13_merkle,
 }
 

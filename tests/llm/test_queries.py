@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9_topk": "query_id rank vec_id score",
     "op10_mixing": "doc_id size source_size target taken",
+    "op11_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
     "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
