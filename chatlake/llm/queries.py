@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (bpe, kneser_ney, langid, merkle, mixing, packing, quality, sharding, simhash, suffix_dedup,
-                          topk, urlfilter)
+from chatlake.llm import (bpe, dialog_repair, kneser_ney, langid, merkle, mixing, packing, quality, sharding, simhash,
+                          suffix_dedup, topk, urlfilter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialog_repair.repair_report(_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.verify(merkle.document_manifest(_table(spark, sf_dir, "documents")), "tampered")
     return found.select("doc_id", *[merkle.hexed(c).alias(c) for c in ("leaf", "subroot", "root")],
@@ -84,6 +88,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_mixing": op10_mixing,
     "op11_bpe": op11_bpe,
+    "op12_repair": op12_repair,
     "op13_merkle": op13_merkle,
 }
 

@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_topk": "query_id rank vec_id score",
     "op10_mixing": "doc_id size source_size target taken",
     "op11_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op12_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
     "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
