@@ -9,13 +9,14 @@ string per day; here every piece of text is a row:
   text it contributes (``piece``) -- a row-local projection;
 * the position of each piece in its file is an exclusive running sum of
   piece lengths in (file, conversation order, message order), computed with
-  a distributed range sort (``plans.numbering``), so a file that holds a
-  third of all messages is still spread over many tasks;
+  a distributed range sort of keys and lengths (``plans.numbering``), so a
+  file that holds a third of all messages is still spread over many tasks,
+  and no text is sorted; the texts are joined to their positions by key;
 * the drawer length depends on its own digits (the reference iterates ten
-  times from ``((response))``).  One round is a partial-aggregating
-  ``groupBy(file)`` of digit counts over the response spans, so the ten
-  rounds never gather a file's spans anywhere; the drawer text itself is
-  emitted as one chunk per span;
+  times from ``((response))``).  ``drawer_lengths`` needs no round over the
+  spans: a number gains a digit when the drawer is as long as its distance to
+  the next power of ten, so one histogram of distances per file answers every
+  round; the drawer text itself is emitted as one chunk per span;
 * files are written by streaming the ordered chunks: a task opens a file
   when the file key changes and appends chunk by chunk, so its memory does
   not depend on the size of a file.
@@ -92,6 +93,79 @@ def _digits(v: Column) -> Column:
     return F.length(v.cast("string"))
 
 
+def drawer_lengths(spans: DataFrame) -> DataFrame:
+    """(file, h): length of the drawer around the bounds of (file, s, e) spans, 0-based in the body.
+
+    With a drawer of length h an end at p stands as p + h + 1.  Its digits are
+    those of p + 1 and one more for every power of ten whose distance to p + 1
+    is at most h, so all digits of a file are a constant and a count over a
+    histogram of distances; the rounds are taken on that one row.  Only
+    distances that h can reach are counted: h is below 42 a span.
+    """
+    start = len(DRAWER_HEAD) + len(EMPTY_BOUNDS) + len(DRAWER_TAIL)
+    fixed = len(DRAWER_HEAD) + len(BOUNDS_OPEN) + len(BOUNDS_CLOSE) + len(DRAWER_TAIL)
+    plain = spans.groupBy("file").agg(
+        (F.lit(fixed) + F.sum(_digits(F.col("s") + 1) + _digits(F.col("e") + 1) + 4)).alias("plain"),
+        (F.lit(start) + 42 * F.count(F.lit(1))).alias("most"))
+    powers = F.array(*[F.lit(10 ** d).cast("long") for d in range(1, 19)])
+    near = (spans.select("file", F.explode(F.array(F.col("s") + 1, F.col("e") + 1)).alias("p")).join(plain, "file")
+            .select("file", F.explode(F.filter(F.transform(powers, lambda t: t - F.col("p")),
+                                               lambda d: (d > 0) & (d <= F.col("most")))).alias("d")))
+    bins = (near.groupBy("file", "d").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("file").agg(F.collect_list(F.struct("d", "n")).alias("bins")))
+
+    def longer(h, _):
+        return F.aggregate("bins", F.col("plain"), lambda sum_, x: sum_ + F.when(x["d"] <= h, x["n"]).otherwise(F.lit(0)))
+
+    solved = F.aggregate(F.sequence(F.lit(2), F.lit(ROUNDS)), F.lit(start).cast("long"), longer)
+    none = F.expr("cast(array() as array<struct<d:bigint,n:bigint>>)")
+    return (plain.join(bins, "file", "left").withColumn("bins", F.coalesce("bins", none))
+            .select("file", solved.alias("h")))
+
+
+def placed_pieces(msgs: DataFrame, file_col: str, conv_order: list[str], msg_order: str,
+                  topic_col: str = "topic") -> tuple[DataFrame, DataFrame]:
+    """(pieces, places) of note files.
+
+    Pieces: file, the conversation's order columns, _j, _ai, _lead, piece (one
+    head per conversation and one per message).  Places: the same keys with _ai,
+    _lead (length of a response), _pos (order in the file) and _off (offset of
+    the piece in the body).
+    """
+    conv_cols = [F.col(file_col).alias("file"), *conv_order]
+    heads = msgs.groupBy(*conv_cols).agg(F.first(topic_col).alias("topic"))
+    heads = heads.select("file", *conv_order, F.lit(-1).cast("long").alias("_j"),
+                         F.lit(False).alias("_ai"), F.lit(0).cast("long").alias("_lead"),
+                         F.concat(F.lit("* "), F.col("topic"), F.lit("\n:PROPERTIES:\n:GPTEL_TOPIC: "),
+                                  F.col("topic"), F.lit("\n:END:\n\n")).alias("piece"))
+    user = F.col("role") == "user"
+    content = F.col("content")
+    rows = msgs.select(*conv_cols, F.col(msg_order).cast("long").alias("_j"), user.alias("_user"), "content",
+                       F.when(~user, markdown_to_org(content)).alias("_body"))
+    piece = F.when(F.col("_user"), F.concat(F.lit("** "), shorten(strip_ws(F.substring_index(content, "\n", 1))),
+                                            F.lit("\n"), content, F.lit("\n\n"))
+                   ).otherwise(F.concat(F.lit(RESPONSE_HEAD), F.col("_body"), F.lit("\n\n")))
+    lines = rows.select("file", *conv_order, "_j", (~F.col("_user")).alias("_ai"),
+                        F.coalesce(F.length("_body"), F.lit(0)).cast("long").alias("_lead"), piece.alias("piece"))
+    pieces = heads.unionByName(lines)
+    keys = pieces.select("file", *conv_order, "_j", "_ai", "_lead", F.length("piece").cast("long").alias("_len"))
+    places = with_row_index(keys, [*conv_order, "_j"], "_pos", sums={"_off": "_len"}, partition_by=["file"])
+    return pieces, places
+
+
+def response_spans(places: DataFrame) -> DataFrame:
+    """(file, _pos, s, e): responses in the body, 0-based, end exclusive."""
+    start = F.col("_off") + F.lit(len(RESPONSE_HEAD))
+    return places.where("_ai").select("file", "_pos", start.alias("s"), (start + F.col("_lead")).alias("e"))
+
+
+def rendered_offsets(places: DataFrame) -> DataFrame:
+    """(file, _pos, s, e): the 1-based bounds of every response as the file's drawer states them."""
+    spans = response_spans(places)
+    return spans.join(drawer_lengths(spans), "file").select(
+        "file", "_pos", (F.col("s") + F.col("h") + 1).alias("s"), (F.col("e") + F.col("h") + 1).alias("e"))
+
+
 def render_chunks(msgs: DataFrame, file_col: str, conv_order: list[str], msg_order: str,
                   topic_col: str = "topic") -> DataFrame:
     """Ordered text chunks of note files: (file, part, k1, k2, chunk).
@@ -102,61 +176,20 @@ def render_chunks(msgs: DataFrame, file_col: str, conv_order: list[str], msg_ord
     conversation's topic.  Writing the chunks of a file in
     (part, k1, k2) order gives exactly the reference's file text.
     """
-    conv_cols = [file_col, *conv_order]
-    heads = msgs.groupBy(*conv_cols).agg(F.first(topic_col).alias("topic"))
-    heads = heads.select(*conv_cols, F.lit(-1).cast("long").alias("_j"),
-                         F.lit(False).alias("_ai"), F.lit(0).cast("long").alias("_lead"),
-                         F.concat(F.lit("* "), F.col("topic"), F.lit("\n:PROPERTIES:\n:GPTEL_TOPIC: "),
-                                  F.col("topic"), F.lit("\n:END:\n\n")).alias("piece"))
-    user = F.col("role") == "user"
-    content = F.col("content")
-    body = markdown_to_org(content)
-    piece = F.when(user, F.concat(F.lit("** "), shorten(strip_ws(F.substring_index(content, "\n", 1))),
-                                  F.lit("\n"), content, F.lit("\n\n"))
-                   ).otherwise(F.concat(F.lit(RESPONSE_HEAD), body, F.lit("\n\n")))
-    lines = msgs.select(*conv_cols, F.col(msg_order).cast("long").alias("_j"), (~user).alias("_ai"),
-                        F.when(user, F.lit(0)).otherwise(F.length(body)).cast("long").alias("_lead"),
-                        piece.alias("piece"))
-    pieces = heads.unionByName(lines).withColumn("_len", F.length("piece").cast("long"))
-    # Deterministic over the sorted rows that with_row_index has checkpointed,
-    # so it is recomputed for its two uses rather than written out again.
-    placed = with_row_index(pieces, [*conv_order, "_j"], "_pos", sums={"_off": "_len"},
-                            partition_by=[file_col])
-
-    # Response spans, body-relative and 0-based.
-    resp_start = F.col("_off") + F.lit(len(RESPONSE_HEAD))
-    # Written once: the ten rounds below then read four numbers per response,
-    # not the checkpointed pieces with their text.
-    spans = placed.where("_ai").select(F.col(file_col).alias("_f"), F.col("_pos"),
-                                       resp_start.alias("s"), (resp_start + F.col("_lead")).alias("e")
-                                       ).checkpoint(eager=True)
-    # Drawer length: H(1) = len of the drawer around ((response)); each round
-    # H <- len(drawer(bounds shifted by H)); ten rounds give the offset used.
-    h = spans.groupBy("_f").agg(F.lit(len(DRAWER_HEAD) + len(EMPTY_BOUNDS) + len(DRAWER_TAIL))
-                                .cast("long").alias("h"))
-    fixed = len(DRAWER_HEAD) + len(BOUNDS_OPEN) + len(BOUNDS_CLOSE) + len(DRAWER_TAIL)
-    for _ in range(ROUNDS - 1):
-        j = spans.join(h, "_f")
-        h = j.groupBy("_f").agg(
-            (F.lit(fixed) + F.sum(_digits(F.col("s") + F.col("h") + 1)
-                                  + _digits(F.col("e") + F.col("h") + 1) + 4)).alias("h"))
-    spans_h = spans.join(h, "_f")
-    span_chunks = spans_h.select(
-        F.col("_f").alias("file"), F.lit(PART_SPAN).alias("part"), F.col("_pos").alias("k1"),
-        F.lit(0).cast("long").alias("k2"),
-        F.format_string(" (%d %d)", F.col("s") + F.col("h") + 1, F.col("e") + F.col("h") + 1)
-        .alias("chunk"))
-    files_with_spans = h.select(F.col("_f").alias("file"))
-    opens = files_with_spans.select("file", F.lit(PART_OPEN).alias("part"),
-                                    F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                                    F.lit(DRAWER_HEAD + BOUNDS_OPEN).alias("chunk"))
-    closes = files_with_spans.select("file", F.lit(PART_CLOSE).alias("part"),
-                                     F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                                     F.lit(BOUNDS_CLOSE + DRAWER_TAIL).alias("chunk"))
-    body_chunks = placed.select(F.col(file_col).alias("file"), F.lit(PART_BODY).alias("part"),
-                                F.col("_pos").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                                F.col("piece").alias("chunk"))
-    return opens.unionByName(span_chunks).unionByName(closes).unionByName(body_chunks)
+    pieces, places = placed_pieces(msgs, file_col, conv_order, msg_order, topic_col)
+    spans = rendered_offsets(places)
+    files = spans.select("file").distinct()
+
+    def chunk(df: DataFrame, part: int, k1: Column, text: Column) -> DataFrame:
+        return df.select("file", F.lit(part).alias("part"), k1.cast("long").alias("k1"),
+                         F.lit(0).cast("long").alias("k2"), text.alias("chunk"))
+
+    keys = ["file", *conv_order, "_j"]
+    body = pieces.select(*keys, "piece").join(places.select(*keys, "_pos"), keys)
+    return (chunk(files, PART_OPEN, F.lit(0), F.lit(DRAWER_HEAD + BOUNDS_OPEN))
+            .unionByName(chunk(spans, PART_SPAN, F.col("_pos"), F.format_string(" (%d %d)", F.col("s"), F.col("e"))))
+            .unionByName(chunk(files, PART_CLOSE, F.lit(0), F.lit(BOUNDS_CLOSE + DRAWER_TAIL)))
+            .unionByName(chunk(body, PART_BODY, F.col("_pos"), F.col("piece"))))
 
 
 def note_texts(chunks: DataFrame, block: int = CHUNK) -> DataFrame:

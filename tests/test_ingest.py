@@ -337,3 +337,131 @@ def test_markdown_is_linear(spark):
     out = df.select(render.markdown_to_org(F.col("t"))).first()[0]
     assert out == "line ~a~ *b*\n" * 80_000 + "#+begin_src\nx\n#+end_src\n" * 2_000
     assert time.time() - t0 < 10
+
+
+def _export(path, rows, eol="\n"):
+    with open(path, "w", encoding="utf-8-sig", newline="") as f:
+        f.write(f"Date,Conversation{eol}")
+        for day, text in rows:
+            f.write('"' + day + '","' + text.replace('"', '""') + '"' + eol)
+
+
+def test_csv_in_many_tasks(spark, tmp_path):
+    """Quoted newlines, quotes and commas over tiny splits: the same rows in the same order as one task reads."""
+    import csv
+    rows = [(f"1/{i % 28 + 1}/25, 10:{i % 60:02} PM",
+             f"Question:\nnumber {i}, \"{'x' * (i * 7 % 90)}\"\n\n\nAI Response:\n" + "line, with \"\" and é\n" * (i % 9) + "end")
+            for i in range(300)]
+    rows += [("", ""), ("2/1/25, 1:00 AM", '"'), ("2/1/25, 2:00 AM", "\n\n\"\n"), ("x", "y" * 5000)]
+    path = str(tmp_path / "history.csv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for eol in ("\n", "\r\n"):
+        _export(path, rows, eol)
+        with open(path, encoding="utf-8-sig") as f:
+            want = [(r["Date"], r["Conversation"]) for r in csv.DictReader(f)]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            df = H.read_history_csv(spark, path)
+            assert spark.read.text(path).rdd.getNumPartitions() > 20
+            got = df.orderBy("row_no").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [(r.Date or "", r.Conversation or "") for r in got] == want
+        one = H.read_history_csv(spark, path, split=False).collect()
+        norm = lambda v: (v or "").replace("\r\n", "\n")
+        assert [(norm(r.Date), norm(r.Conversation)) for r in one] == want
+        assert df.columns == ["row_no", "Date", "Conversation"]
+
+
+def test_csv_folder(spark, tmp_path):
+    """Several exports: every header goes, rows are numbered over all files, equal times keep file order."""
+    for name, n in (("a.csv", 3), ("b.csv", 4)):
+        _export(str(tmp_path / name), [("1/8/25, 10:16 PM", f"Question:\n{name} {i}\nand\nAI Response:\nok")
+                                       for i in range(n)])
+    convs, msgs = H.history_tables(H.read_history_csv(spark, str(tmp_path)))
+    assert [r.topic for r in convs.orderBy("id").collect()] == [f"a.csv {i}" for i in range(3)] + [f"b.csv {i}" for i in range(4)]
+    rows = msgs.orderBy("id").collect()
+    assert [(r.id, r.conversation_id) for r in rows] == [(2 * i + j + 1, i + 1) for i in range(7) for j in range(2)]
+
+
+# -- files that cannot be ingested ---------------------------------------------------------
+
+def test_rejected_files(spark, tmp_path):
+    """Invalid UTF-8, an impossible date, a file that fails while it is read: rejected with a reason, the rest ingested."""
+    good = _note([("text", "* T\nq\n"), ("resp", "a\n"), ("text", "more\n")])
+    for name in ("2024-01-05.org", "2024-13-01.org", "2024-01-06.org", "bom.org"):
+        (tmp_path / name).write_text(good, encoding="utf-8")
+    (tmp_path / "latin.org").write_bytes("* T\nqué\n".encode("latin-1"))
+    # A checksum that doesn't fit makes the file system fail while the file is read.
+    (tmp_path / ".2024-01-06.org.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\x01\x02\x03\x04")
+    convs, msgs, rejected = O.ingest_notes(spark, str(tmp_path))
+    assert {os.path.basename(r.file_path): r.reason for r in rejected.collect()} == {
+        "latin.org": O.NOT_UTF8, "2024-13-01.org": O.BAD_DATE, "2024-01-06.org": O.NOT_READ}
+    assert [os.path.basename(r.file_path) for r in convs.orderBy("id").collect()] == ["2024-01-05.org", "bom.org"]
+    assert msgs.count() == 6
+
+
+def test_bounds_of_odd_shape(spark):
+    """Empty, reversed, crossing, far and repeated bounds against a plain filter per section."""
+    import random
+    rng = random.Random(5)
+    files, want = [], []
+    for f in range(40):
+        cuts = sorted(rng.sample(range(1, 100), rng.randrange(0, 6)))
+        spans = list(zip([0] + cuts, cuts + [100]))[1:] if cuts else []
+        bounds = [(rng.randrange(110), rng.randrange(110)) for _ in range(rng.randrange(8))]
+        bounds += [(c, c) for c in cuts[:2]] + [(s, e) for s, e in spans[:2]] * 2
+        path = f"f{f:02}"
+        files.append((path, spans or [(0, 100)], bounds, bool(spans)))
+        for k, (s0, e0) in enumerate(spans, 1):
+            want += [(path, k, i, s, e) for i, (s, e) in enumerate(bounds) if s >= s0 and e <= e0]
+        if not spans:
+            want += [(path, 0, i, s, e) for i, (s, e) in enumerate(bounds)]
+    spans = spark.createDataFrame([(p, k + h, s, e) for p, ss, _, h in files for k, (s, e) in enumerate(ss)],
+                                  "file_path string, k int, start long, end long")
+    bounds = spark.createDataFrame([(p, i, s, e, 100) for p, _, bs, _ in files for i, (s, e) in enumerate(bs)],
+                                   "file_path string, i int, s long, e long, length long")
+    got = O.assign_bounds(bounds, spans).select("file_path", "k", "i", "s", "e").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_many_sections_are_linear(spark):
+    parts = []
+    for i in range(20_000):
+        parts += [("text", f"* Title {i}\nquestion {i}\n"), ("resp", f"answer {i}"), ("text", "\n")]
+    head, body = 0, []
+    for _ in range(6):
+        at, spans = head, []
+        for kind, t in parts:
+            if kind == "resp":
+                spans.append(f"({at + 1} {at + len(t) + 1})")
+            at += len(t)
+        drawer = f":PROPERTIES:\n:GPTEL_BOUNDS: ((response {' '.join(spans)}))\n:END:\n"
+        head = len(drawer)
+    df = spark.createDataFrame([("2024-01-01.org", drawer + "".join(t for _, t in parts))], "file_path string, content string")
+    t0 = time.time()
+    convs, msgs, _ = O.ingest_texts(df)
+    assert msgs.where("role = 'assistant'").count() == 20_000 and convs.count() == 20_000
+    assert time.time() - t0 < 30
+
+
+def test_drawer_lengths(spark):
+    """The histogram against the ten rounds of the format, on files whose bounds cross powers of ten."""
+    import random
+    rng, rows, want = random.Random(8), [], {}
+    for f in range(60):
+        at, spans = rng.randrange(30), []
+        for _ in range(rng.randrange(1, 40)):
+            n = rng.choice((0, 3, 40, 300, 9000))
+            spans.append((at, at + n))
+            at += n + 13 + rng.randrange(80)
+        text = "((response))"
+        for _ in range(10):
+            h = len(f":PROPERTIES:\n:GPTEL_BOUNDS: {text}\n:END:\n\n")
+            text = "((response " + " ".join(f"({s + h + 1} {e + h + 1})" for s, e in spans) + "))"
+        rows += [(f"f{f}", s, e) for s, e in spans]
+        want[f"f{f}"] = h
+    got = render.drawer_lengths(spark.createDataFrame(rows, "file string, s long, e long")).collect()
+    assert {r.file: r.h for r in got} == want
