@@ -16,14 +16,13 @@ stores the last token of each prefix, and the ids are read off backwards.
   first, the border would not hold.  Of equal merges the leftmost comes first.
 
 A symbol is a byte, or a byte that ends its word.  Texts are cut into words as
-the tokenizer file says.  Chunks between white space are looked up among the
-chunks that the worker has met; new ones of Latin letters, digits and ASCII
-signs are cut by the same pattern here, all others by the tokenizer's own
-normalizer and pre-tokenizer.  Special tokens are found in the raw text, as the
-tokenizer does.
+the tokenizer file says: stretches of Latin letters, digits and ASCII signs by
+the same pattern here, all others by the tokenizer's own normalizer and
+pre-tokenizer.  Words are looked up among those that the worker has met.
+Special tokens are found in the raw text, as the tokenizer does.
 
 Scale: texts are encoded where they are read; nothing is shuffled, and a task
-holds one batch, the automaton (about 100 MB) and at most ``CHUNKS`` chunks.
+holds one batch, the automaton (about 100 MB) and at most ``WORDS`` words.
 
 Defined results: null text is the empty text, which has no ids and decodes to
 the empty text; whole texts are encoded, however long; repeated rows are
@@ -41,20 +40,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Chunks of text that a worker remembers with their ids.
-CHUNKS = 400_000
+#: Words that a worker remembers with their ids.
+WORDS = 600_000
 _NEVER = 1 << 40
 
 #: Fixed values of the public tokenizer file: the mark of a word's last symbol and the pattern of words.
 END = "</w>"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Chunks that need no normalizer but lower case: printable ASCII and composed Latin letters with one lower form.
+#: Texts that need no normalizer but lower case: printable ASCII, composed Latin letters with one lower form, and
+#: the white space that Python and the tokenizer agree on.
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-_SIMPLE = re.compile(f"[!-~{_LATIN}]+")
-_WORDS = re.compile(PATTERN.replace(r"\p{L}", "a-zà-öø-ſß").replace(r"\p{N}", "0-9").replace(r"\s", " "))
-#: Signs that Python takes for white space and the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BLANK = " \t\n\x0b\x0c\r"
+_SIMPLE = re.compile(f"[!-~{_LATIN}{_BLANK}]*")
+_ODD_CHUNK = re.compile(f"([^{_BLANK}]*[^!-~{_LATIN}{_BLANK}][^{_BLANK}]*)")
+_CUT = re.compile(PATTERN.replace(r"\p{L}", "a-zà-öø-ſß").replace(r"\p{N}", "0-9").replace(r"\s", _BLANK))
 
 
 class SuffixAutomaton:
@@ -191,7 +191,7 @@ class PrefixBpe:
         """Suffix automaton of all tokens; for every state the tokens that end there, longest first, and where more are."""
         ends, auto = self.ends, SuffixAutomaton()
         words: dict[int, list[int]] = {}
-        for t in self.own:
+        for t in sorted(self.own):
             text = self.token[t]
             last = text.endswith(END) and len(text) > len(END)
             word = [self.symbol[c] for c in (text[:-len(END)] if last else text)]
@@ -250,40 +250,36 @@ class PrefixBpe:
             p -= size[p]
         return out[::-1]
 
-    def _words_of(self, chunk: str) -> list[list[int]]:
-        """Symbols of the words of a text without special tokens."""
-        ends = self.ends
-        if _SIMPLE.fullmatch(chunk):
-            of = self.of_byte
-            out = [[of[b] for b in w.encode()] for w in _WORDS.findall(chunk.lower())]
-        else:
-            symbol = self.symbol
-            out = [[symbol[c] for c in w] for w, _ in self.cut(self.normalize(chunk))]
-        for w in out:
-            w[-1] += ends
-        return out
-
-    def _chunk(self, chunk: str) -> bytes:
-        out = array("I")
-        for k, part in enumerate(self.special_cut.split(chunk)):
-            if k % 2:
-                out.append(self.special[part])
-            elif part:
-                for w in self._words_of(part):
-                    out.extend(self.word(w))
-        ids = np.array(out, "<u4").tobytes()
-        if len(self.known) < CHUNKS and len(chunk) < 60:
-            self.known[chunk] = ids
+    def _new(self, word: str, symbols: list[int]) -> bytes:
+        symbols[-1] += self.ends
+        ids = array("I", self.word(symbols)).tobytes()
+        if 0 < len(word) < 40 and len(self.known) < WORDS:
+            self.known[word] = ids
         return ids
 
+    def _simple(self, text: str, out: list[bytes]) -> None:
+        """Words of a text that needs lower case only."""
+        known, of = self.known.get, self.of_byte
+        for w in _CUT.findall(text.lower()):
+            ids = known(w)
+            out.append(self._new(w, [of[b] for b in w.encode()]) if ids is None else ids)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        chunks = text.split(" ") if _SEPARATORS.search(text) else text.split()
-        known, new = self.known.get, self._chunk
-        out = []
-        for c in chunks:
-            ids = known(c)
-            out.append(new(c) if ids is None else ids)
+        out: list[bytes] = []
+        for k, part in enumerate(self.special_cut.split(text)):
+            if k % 2:
+                out.append(array("I", [self.special[part]]).tobytes())
+            elif _SIMPLE.fullmatch(part):
+                self._simple(part, out)
+            else:
+                # Nothing is joined or changed across white space, so odd chunks go their own way.
+                for j, chunk in enumerate(_ODD_CHUNK.split(part)):
+                    if j % 2:
+                        for w, _ in self.cut(self.normalize(chunk)):
+                            out.append(self._new("", [self.symbol[c] for c in w]))
+                    else:
+                        self._simple(chunk, out)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
