@@ -35,9 +35,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import stored
+from chatlake.llm.common import n_groups, stored
 from chatlake.plans.numbering import with_row_index
 
+#: Rows of a level that one task writes.
+TASK_ROWS = 50_000
+
 #: The fields of a document's leaf, in order.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -91,12 +94,13 @@ def grow(nodes: DataFrame, arity: int = 3) -> list[DataFrame]:
     Each level has left and right (digests of the siblings) and ``lone`` (this
     node is its tree's root).  Further columns stay on the bottom level.
     """
-    levels = []
+    levels, rows = [], nodes.count()
     while True:
-        level = stored(_siblings(nodes, arity), f"merkle{len(levels)}")
+        level = stored(_siblings(nodes, arity).coalesce(n_groups(rows, TASK_ROWS)), f"merkle{len(levels)}")
         levels.append(level)
         heads = level.where((F.pmod("idx", F.lit(arity)) == 0) & ~F.col("lone"))
-        if heads.isEmpty():
+        rows = heads.count()
+        if not rows:
             return levels
         nodes = heads.select("tree", F.floor(F.col("idx") / arity).cast("long").alias("idx"),
                              digest(F.concat(hexed("h"), hexed("right"))).alias("h"))
@@ -125,8 +129,11 @@ def with_proofs(levels: list[DataFrame], top: DataFrame, arity: int = 3) -> Data
                      .join(parents, ["tree", "__up"])
                      .withColumn("proof", F.concat(F.array(own), F.col("__above"))).drop("__up", "__above"))
             here = here.unionByName(below)
-        # Upper levels are small; the bottom one is left to whoever reads it.
-        known = stored(here.select("tree", "idx", "proof", *extra), f"proof{no}") if no else here
+        if no:
+            tasks = n_groups(level.count(), TASK_ROWS)
+            known = stored(here.select("tree", "idx", "proof", *extra).coalesce(tasks), f"proof{no}")
+        else:  # left to whoever reads it
+            known = here
     return known.drop("left", "right", "lone")
 
 
