@@ -144,6 +144,36 @@ def _csv_history_rows(d, spark, sf_dir):
                     F.col("m.role").alias("role"), F.col("m.content").alias("content")))
 
 
+def _csv_file_rows(d, spark, sf_dir):
+    """V12 read from its files, as ``csv_history_rows`` reads the table."""
+    export = history_csv.read_history_csv(spark, fixtures.history_files(fixtures.raw(spark, sf_dir, "conversations")))
+    rows = history_csv.history_rows(export, keep=["Row"])
+    key = F.split("Row", ":")
+    return (rows.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "ts", "day", "topic",
+                        F.posexplode("messages").alias("position", "m"))
+            .select("conv_id", "turn", "ts", "day", "topic", "position",
+                    F.col("m.role").alias("role"), F.col("m.content").alias("content")))
+
+
+def _notes(spark, sf_dir):
+    return org_notes.stage_notes(fixtures.note_files(fixtures.raw(spark, sf_dir, "conversations")))
+
+
+def _note_messages(d, spark, sf_dir):
+    files = fixtures.note_files(fixtures.raw(spark, sf_dir, "conversations"))
+    convs, msgs, _ = org_notes.ingest_texts(files)
+    meta = convs.select(F.col("id").alias("conversation_id"), "file_path", "date", "topic", "model", "system_prompt")
+    return msgs.join(meta, "conversation_id")
+
+
+def _rendered_offsets(d, spark, sf_dir):
+    """Bounds of day files that hold all conversations of a day."""
+    topics = d.conversations.select(F.col("id").alias("conversation_id"), "file_path", "topic")
+    msgs = d.messages.join(topics, "conversation_id")
+    _, places = render.placed_pieces(msgs, "file_path", ["conversation_id"], "id")
+    return render.rendered_offsets(places).select("file", F.col("_pos").alias("position"), "s", "e")
+
+
 def _notes_roundtrip(d, spark, sf_dir):
     chunks = render.render_chunks(fixtures.note_messages(d), "file", ["conversation_id"], "id")
     texts = render.note_texts(chunks).select(F.col("file").alias("file_path"), "content")
@@ -242,6 +272,14 @@ QUERIES: dict[str, Callable] = {
     "token_counts": lambda d, s, p: derive.token_counts(d.messages),
     # ingest: the two input formats, derived from the conversations table
     "csv_history_rows": _csv_history_rows,
+    "csv_file_rows": _csv_file_rows,
+    "note_sections": lambda d, s, p: org_notes.note_sections(_notes(s, p)),
+    "note_bounds": lambda d, s, p: org_notes.note_bounds(_notes(s, p)),
+    "note_messages": _note_messages,
+    "note_rejects": lambda d, s, p: org_notes.ingest_texts(fixtures.note_files(fixtures.raw(s, p, "conversations")))[2],
+    "markdown_to_org": lambda d, s, p: fixtures.markdown(fixtures.raw(s, p, "conversations")).select(
+        "id", render.markdown_to_org(F.col("text")).alias("text")),
+    "rendered_offsets": _rendered_offsets,
     "notes_roundtrip": _notes_roundtrip,
     # vectors
     "semantic_search": _semantic,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.dataset import ChatData
@@ -312,3 +312,84 @@ def note_messages(data: ChatData) -> DataFrame:
     return data.messages.join(conv, "conversation_id").select(
         "file", "conversation_id", "id", "role",
         escape_org_headlines(F.col("content")).alias("content"), "topic")
+
+
+# -- note files and export files as they lie in a folder (V10 to V12) ---------------------
+
+NOTE_HEAD = {False: ":PROPERTIES:\n:GPTEL_BOUNDS: ((response", True: ":PROPERTIES:\n:GPTEL_BOUNDS: ("}
+NOTE_CLOSE = {False: "))\n:GPTEL_MODEL: m-1\n:END:\n", True: ")\n:GPTEL_SYSTEM: be brief\n:END:\n"}
+NOTE_ENTRY = {False: 22, True: 24}
+MARKUP = "\nsee [[http://x][label]] now\n#+begin_src a\nx\n#+END_SRC\n\n\n\nend"
+
+
+def note_files(conv_raw: DataFrame) -> DataFrame:
+    """(file_path, content) of one note file per day, a section per conversation.
+
+    The file of conversations without a date has no headlines; the last day's
+    file has a date that doesn't exist.  The drawer's numbers have nine digits,
+    so its length follows from their count; files of odd days have the old form.
+    A third of the sections have a topic of their own, user texts of every fifth
+    conversation carry markup, and in every fourth the last response ends on the
+    next headline.
+    """
+    c = F.col("conversation_id")
+    msgs = messages(conv_raw)
+    last = F.max("id").over(Window.partitionBy("conversation_id"))
+    date = F.date_add(F.lit(BASE_DATE).cast("date"), (c % 60).cast("int")).cast("string")
+    undated, old = c % 17 == 0, (c % 17 != 0) & (c % 2 == 1)
+    path = F.concat(F.lit("notes/"), F.when(undated, "undated").when(c % 60 == 59, "2024-02-30").otherwise(date),
+                    F.lit(".org"))
+    ai = F.col("role") == "assistant"
+    piece = F.when(ai, F.concat("content", F.lit("\n"))).otherwise(
+        F.concat(F.lit("** ask\n"), "content", F.when(c % 5 == 0, MARKUP).otherwise(""), F.lit("\n")))
+    flush = (ai & (c % 4 == 1) & (F.col("id") == last)).cast("long")
+    text = c.cast("string")
+    head = F.when(undated, F.lit("")).otherwise(F.concat(
+        F.lit("* Conv "), text, F.lit("\n"),
+        F.when(c % 3 == 0, F.concat(F.lit(":PROPERTIES:\n:GPTEL_TOPIC: t"), text, F.lit("\n:END:\n"))).otherwise("")))
+    own = msgs.select(path.alias("file_path"), old.alias("old"), c, "id", ai.alias("ai"),
+                      (F.length("content") + flush).alias("n"), piece.alias("piece"))
+    heads = own.select("file_path", "old", c).distinct().select(
+        "file_path", "old", c, F.lit(-1).cast("long").alias("id"), F.lit(False).alias("ai"),
+        F.lit(0).cast("long").alias("n"), head.alias("piece"))
+    rows = own.unionByName(heads)
+    at = F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy("file_path").orderBy("conversation_id", "id")
+                                                  .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawer = F.when(F.col("old"), F.lit(len(NOTE_HEAD[True] + NOTE_CLOSE[True]))).otherwise(
+        F.lit(len(NOTE_HEAD[False] + NOTE_CLOSE[False])))
+    width = F.when(F.col("old"), F.lit(NOTE_ENTRY[True])).otherwise(F.lit(NOTE_ENTRY[False]))
+    count = F.count_if("ai").over(Window.partitionBy("file_path"))
+    rows = rows.withColumn("start", drawer + width * count + at + 1)
+    shown = F.when(F.col("old"), F.format_string("(%09d . %09d) ", F.col("start"), F.col("start") + F.col("n"))).otherwise(
+        F.format_string(" (%09d %09d)", F.col("start"), F.col("start") + F.col("n")))
+
+    def joined(col):
+        order = F.array_sort(F.collect_list(F.struct("conversation_id", "id", F.col(col).alias("t"))))
+        return F.array_join(F.transform(order, lambda x: x["t"]), "")
+
+    done = rows.withColumn("bound", F.when(F.col("ai"), shown).otherwise(F.lit(""))).groupBy("file_path", "old").agg(
+        joined("bound").alias("bounds"), joined("piece").alias("body"))
+    return done.select("file_path", F.concat(
+        F.when(F.col("old"), NOTE_HEAD[True]).otherwise(NOTE_HEAD[False]), "bounds",
+        F.when(F.col("old"), NOTE_CLOSE[True]).otherwise(NOTE_CLOSE[False]), "body").alias("content"))
+
+
+def markdown(conv_raw: DataFrame) -> DataFrame:
+    """Message text among headings, fences and inline marks, some of them inside code."""
+    t = F.col("turn")
+    text = F.concat(
+        F.repeat(F.lit("#"), (t % 7).cast("int")), F.lit(" Head **b** `c`\n"), F.col("text"), F.lit("\n```py\n# x `y` **z**\n"),
+        F.when(t % 2 == 0, F.lit("```\n")).otherwise(F.lit("")), F.lit("`c` **d** ![p](u) [l](v) **e\n"),
+        F.when(t % 3 == 0, F.lit("  ``` \n")).otherwise(F.lit("")), F.lit("### T\n`open **f** g"))
+    return (conv_raw.where(F.col("role").isin("user", "assistant"))
+            .select((F.col("conv_id") * 100 + t + 1).alias("id"), text.alias("text")))
+
+
+def history_files(conv_raw: DataFrame) -> str:
+    """The rows of V8 as CSV files with a header, quoted fields and a ``Row`` key; returns their folder."""
+    from chatlake.plans.staging import staging_root
+    spark = conv_raw.sparkSession
+    path = f"{staging_root(spark)}/history-{uuid.uuid4().hex}"
+    rows = history_export(conv_raw).select("Date", "Conversation", F.concat_ws(":", "conv_id", "turn").alias("Row"))
+    rows.write.csv(path, header=True, quoteAll=True, escape='"')
+    return path

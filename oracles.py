@@ -236,6 +236,69 @@ def _clean_sql(col: str) -> str:
     return rf"regexp_replace({expr}, '^\s+|\s+$', '', 'g')"
 
 
+# -- note files (V10): every offset follows from lengths, as the drawer's numbers have nine digits ----
+
+V["note_pieces"] = r"""raw_pieces AS (
+  SELECT conv_id AS c, conv_id * 100 + turn + 1 AS id, role = 'assistant' AS ai, text AS content,
+         max(conv_id * 100 + turn + 1) OVER (PARTITION BY conv_id) AS last
+  FROM conversations WHERE role IN ('user', 'assistant')),
+pieces AS (
+  SELECT c, id, ai, length(content) + CASE WHEN ai AND c % 4 = 1 AND id = last THEN 1 ELSE 0 END AS n,
+         CASE WHEN ai THEN content || chr(10)
+              ELSE '** ask' || chr(10) || content
+                   || CASE WHEN c % 5 = 0 THEN chr(10) || 'see [[http://x][label]] now' || chr(10) || '#+begin_src a'
+                      || chr(10) || 'x' || chr(10) || '#+END_SRC' || chr(10) || chr(10) || chr(10) || chr(10) || 'end'
+                      ELSE '' END || chr(10) END AS piece
+  FROM raw_pieces
+  UNION ALL
+  SELECT DISTINCT c, -1, false, 0,
+         CASE WHEN c % 17 = 0 THEN ''
+              ELSE '* Conv ' || c || chr(10) || CASE WHEN c % 3 = 0 THEN ':PROPERTIES:' || chr(10) || ':GPTEL_TOPIC: t'
+                   || c || chr(10) || ':END:' || chr(10) ELSE '' END END
+  FROM raw_pieces),
+filed AS (
+  SELECT *, 'notes/' || CASE WHEN c % 17 = 0 THEN 'undated' WHEN c % 60 = 59 THEN '2024-02-30'
+              ELSE CAST(DATE '2024-01-01' + CAST(c % 60 AS INTEGER) AS VARCHAR) END || '.org' AS file_path
+  FROM pieces),
+placed AS (
+  SELECT *, (CASE WHEN (c % 17 <> 0 AND c % 2 = 1)
+                  THEN 61 + 24 * count(*) FILTER (ai) OVER f ELSE 65 + 22 * count(*) FILTER (ai) OVER f END)
+            + coalesce(sum(length(piece)) OVER (PARTITION BY file_path ORDER BY c, id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM filed WINDOW f AS (PARTITION BY file_path)),
+sections AS (
+  SELECT file_path, c, dense_rank() OVER (PARTITION BY file_path ORDER BY c) AS k, min(off) AS start,
+         max(off + length(piece)) AS stop, string_agg(piece, '' ORDER BY id) AS text
+  FROM placed WHERE c % 17 <> 0 GROUP BY file_path, c
+  UNION ALL
+  SELECT file_path, NULL, 0, 0, max(off + length(piece)),
+         repeat('-', min(off)::INTEGER) || string_agg(piece, '' ORDER BY c, id)
+  FROM placed WHERE c % 17 = 0 GROUP BY file_path),
+bounds AS (
+  SELECT p.file_path, s.k, s.c, p.i, p.off + 1 - s.start AS s, p.off + p.n + 1 - s.start AS e, s.text
+  FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY c, id) - 1 AS i FROM placed WHERE ai) p
+  JOIN sections s ON s.file_path = p.file_path AND (s.k = 0 OR s.c = p.c)
+  WHERE p.file_path <> 'notes/2024-02-30.org' AND (s.k = 0 OR p.off + p.n + 1 <= s.stop))"""
+V["org"] = r"""org_lines AS (
+  SELECT id, i, line, regexp_matches(line, '^\s*```') AS fence,
+         count(*) FILTER (regexp_matches(line, '^\s*```')) OVER (PARTITION BY id ORDER BY i) AS fences
+  FROM (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+        FROM md)),
+org AS (
+  SELECT id, string_agg(CASE
+           WHEN fence AND fences % 2 = 0 THEN '#+end_src'
+           WHEN fence THEN rtrim('#+begin_src ' || trim(substr(trim(line), 4)))
+           WHEN fences % 2 = 1 THEN line
+           WHEN regexp_matches(line, '^#{1,6}\s') THEN
+             repeat('*', length(regexp_extract(line, '^(#{1,6})\s', 1)) + 3) || ' '
+             || regexp_extract(line, '^#{1,6}\s+(.*)$', 1)
+           ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(line,
+                  '`([^`]+)`', '~\1~', 'g'), '\*\*(.+?)\*\*', '*\1*', 'g'),
+                  '!\[([^\]]*)\]\(([^)]+)\)', '[[\2]]', 'g'), '\[([^\]]+)\]\(([^)]+)\)', '[[\2][\1]]', 'g')
+           END, chr(10) ORDER BY i) AS text
+  FROM org_lines GROUP BY id)"""
+
+
 def _hist(period: str, metric: str) -> str:
     label = "strftime(date, '%Y-%m')" if period == "month" else "strftime(date, '%G-W%V')"
     value = {"messages": "total_messages", "conversations": "conversation_count",
@@ -516,6 +579,71 @@ SELECT conv_id, turn, ts, CAST(ts AS DATE) AS day,
        position, CASE WHEN r = 'user' THEN 'user' ELSE 'assistant' END AS role,
        regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(^|\n)\* ', '\1- ', 'g') AS content
 FROM m"""
+    q["csv_file_rows"] = q["csv_history_rows"]
+    q["note_sections"] = with_views("note_pieces") + """
+SELECT file_path, CAST(k AS INTEGER) AS k, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end",
+       CASE WHEN k = 0 THEN NULL WHEN c % 3 = 0 THEN 't' || c ELSE 'Conv ' || c END AS topic
+FROM sections"""
+    q["note_bounds"] = with_views("note_pieces") + """
+SELECT file_path, CAST(k AS INTEGER) AS k, CAST(i AS INTEGER) AS i, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e
+FROM bounds"""
+    q["note_rejects"] = with_views("note_pieces") + """
+SELECT DISTINCT file_path, 'impossible date in file name' AS reason FROM filed WHERE file_path = 'notes/2024-02-30.org'"""
+    q["note_messages"] = with_views("note_pieces") + f""",
+cuts AS (
+  SELECT file_path, k, c, text, 2 * i AS j, 'user' AS role,
+         coalesce(lag(e - 1) OVER (PARTITION BY file_path, k ORDER BY i), 0) AS a, s - 1 AS b FROM bounds
+  UNION ALL
+  SELECT file_path, k, c, text, 2 * i + 1, 'assistant', s - 1, e - 1 FROM bounds
+  UNION ALL
+  SELECT file_path, k, any_value(c), any_value(text), 2 * max(i) + 2, 'user', max(e) - 1, length(any_value(text))
+  FROM bounds GROUP BY file_path, k),
+cleaned AS (
+  SELECT *, {_clean_sql("CASE WHEN k = 0 AND a = 0 THEN regexp_replace(substr(text, 1, CAST(b AS BIGINT)), '^-+', '') "
+                        "ELSE substr(text, CAST(a + 1 AS BIGINT), CAST(b - a AS BIGINT)) END")} AS content
+  FROM cuts WHERE role = 'assistant' OR b > a),
+kept AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY file_path, k, j) AS BIGINT) AS id,
+         CAST(dense_rank() OVER (ORDER BY file_path, k) AS BIGINT) AS conversation_id
+  FROM cleaned WHERE length(content) > 0)
+SELECT id, conversation_id, role, content, CAST(a AS INTEGER) AS char_start, CAST(b AS INTEGER) AS char_end,
+       CAST(length(content) // 4 AS BIGINT) AS token_count, file_path,
+       CASE WHEN k > 0 THEN CAST(substr(file_path, 7, 10) AS DATE) END AS date,
+       CASE WHEN k = 0 THEN NULL WHEN c % 3 = 0 THEN 't' || c ELSE 'Conv ' || c END AS topic,
+       CASE WHEN k = 0 OR c % 2 = 0 THEN 'm-1' END AS model, CASE WHEN k > 0 AND c % 2 = 1 THEN 'be brief' END AS system_prompt
+FROM kept"""
+    q["markdown_to_org"] = r"""WITH md AS (
+  SELECT conv_id * 100 + turn + 1 AS id,
+         repeat('#', CAST(turn % 7 AS INTEGER)) || ' Head **b** `c`' || chr(10) || text || chr(10) || '```py' || chr(10)
+         || '# x `y` **z**' || chr(10) || CASE WHEN turn % 2 = 0 THEN '```' || chr(10) ELSE '' END
+         || '`c` **d** ![p](u) [l](v) **e' || chr(10)
+         || CASE WHEN turn % 3 = 0 THEN '  ``` ' || chr(10) ELSE '' END || '### T' || chr(10) || '`open **f** g' AS text
+  FROM conversations WHERE role IN ('user', 'assistant')),
+""" + V["org"] + "\nSELECT id, text FROM org"
+    q["rendered_offsets"] = with_views("msg", "conv") + """,
+md AS (SELECT id, content AS text FROM msg WHERE role = 'assistant'),
+""" + V["org"] + r""",
+lines AS (
+  SELECT c.file_path AS file, c.id AS conv, m.id AS j, m.role <> 'user' AS ai, length(o.text) AS body,
+         CASE WHEN m.role = 'user'
+              THEN 6 + least(60, length(regexp_replace(split_part(m.content, chr(10), 1), '^\s+|\s+$', '', 'g')))
+                   + length(m.content)
+              ELSE 15 + length(o.text) END AS n
+  FROM msg m JOIN conv c ON c.id = m.conversation_id LEFT JOIN org o ON o.id = m.id
+  UNION ALL
+  SELECT DISTINCT c.file_path, c.id, -1, false, NULL, 38 + 2 * length(c.topic)
+  FROM conv c JOIN msg m ON m.conversation_id = c.id),
+spans AS (
+  SELECT file, position, off + 13 AS s, off + 13 + body AS e FROM (
+    SELECT *, row_number() OVER w - 1 AS position,
+           coalesce(sum(n) OVER (PARTITION BY file ORDER BY conv, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+    FROM lines WINDOW w AS (PARTITION BY file ORDER BY conv, j)) WHERE ai),
+drawers AS (
+  SELECT file, list_reduce(list_prepend(48::BIGINT, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0]), lambda h, _:
+           CAST(48 + 4 * n + list_sum(list_transform(ends, lambda p: length(CAST(p + h + 1 AS VARCHAR)))) AS BIGINT)) AS h
+  FROM (SELECT file, count(*) AS n, list(s) || list(e) AS ends FROM spans GROUP BY file))
+SELECT s.file, CAST(position AS BIGINT) AS position, CAST(s + h + 1 AS BIGINT) AS s, CAST(e + h + 1 AS BIGINT) AS e
+FROM spans s JOIN drawers USING (file)"""
     return q
 
 
