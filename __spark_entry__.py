@@ -24,6 +24,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from chatlake import fixtures  # noqa: E402
+from chatlake.dataset import ChatData  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
 from chatlake.functions.replies import once, parse_insight, parse_insight_items  # noqa: E402
 from chatlake.operators import browse, derive, stats, summaries, vectors  # noqa: E402
@@ -106,7 +107,7 @@ def _upsert_summaries(d, spark, sf_dir):
     d.summaries.write.parquet(f"{root}/summaries")
     rows = derive.load_summaries(_summary_replies(spark, sf_dir), summarized_at="2020-01-01 00:00:00")[0]
     store.upsert_summaries(spark, root, rows)
-    return spark.read.parquet(f"{root}/summaries")
+    return ChatData.read(spark, root).summaries
 
 
 def _conversation_topics(d, spark, sf_dir):

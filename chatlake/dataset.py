@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from chatlake import schemas
+from chatlake.plans.publish import Folder, bucket_count, recover
 
 
 @dataclass
@@ -61,12 +62,9 @@ class ChatData:
         A folder that does not exist is an absent table (export datasets have
         no messages; summaries and embeddings are optional).
         """
-        found = {}
-        for name in cls.TABLES:
-            path = resolve(spark, os.path.join(root, name))
-            if path is not None:
-                found[name] = spark.read.parquet(path)
-        return cls(spark=spark, **found)
+        recover(spark, root)
+        found = {name: read_table(spark, root, name) for name in cls.TABLES}
+        return cls(spark=spark, **{k: v for k, v in found.items() if v is not None})
 
     def write(self, root: str, mode: str = "overwrite") -> list[str]:
         """Write every present table under ``root``; returns the names written."""
@@ -80,17 +78,11 @@ class ChatData:
         return written
 
 
-#: Suffix of a table's previous folder while it is being replaced.
-OLD = ".__old"
-
-
-def resolve(spark: SparkSession, path: str) -> str | None:
-    """The folder of a stored table: ``path``, or its old folder in mid-replacement."""
-    return next((p for p in (path, path + OLD) if _exists(spark, p)), None)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(hpath))
+def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """A stored table without its bucket column; None where there is no folder."""
+    path = os.path.join(root, name)
+    if not Folder(spark, path).exists(path):
+        return None
+    df = spark.read.parquet(path)
+    n = bucket_count(spark, path)
+    return df.drop(f"bucket{n}") if n else df

@@ -3,29 +3,26 @@
 * appends (conversations, messages, insights) get ids that continue the
   stored ones: ``max(id) + 1`` is one aggregated number, and new rows are
   numbered by ``plans.numbering`` (distributed, no single-task window);
-* upserts (summaries and embeddings by conversation) keep the stored rows
-  of other conversations (anti join on the key) and add the new ones;
-* a table that is read while it is rewritten is written to a fresh folder
-  and renamed into place, the old one kept until then, so a failed or
-  retried job leaves the old or the new table (new rows must therefore not
-  be lazy reads of the table they replace: checkpoint or write them first);
-* daily figures are recomputed from the stored conversations and messages
-  and overwritten (the reference replaces them date by date).
+* upserts (summaries and embeddings by conversation) rewrite only the key
+  buckets that the new rows fall into;
+* conversations are new with every append, so the daily table is the stored
+  one plus the batch's own figures; no stored message is read for it;
+* all changes of one call are staged and put in place together
+  (``plans.publish``): after a crash either none or all of them are seen.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake import schemas
-from chatlake.dataset import OLD, resolve
+from chatlake.dataset import read_table
 from chatlake.operators import stats
-from chatlake.operators.summaries import SUMMARY_COLS, latest_summary
+from chatlake.operators.summaries import SUMMARY_COLS
 from chatlake.plans.numbering import with_row_index
+from chatlake.plans.publish import Batch, recover
+from chatlake.plans.staging import staged
 
 SCHEMAS = {
     "conversations": schemas.CONVERSATIONS, "messages": schemas.MESSAGES,
@@ -34,43 +31,6 @@ SCHEMAS = {
 }
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _rename(fs, jvm, a: str, b: str) -> None:
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(a), jvm.org.apache.hadoop.fs.Path(b)):
-        raise OSError(f"could not rename {a} to {b}")
-
-
-def _swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write ``df`` to a fresh folder, then put it in the place of ``path``.
-
-    The old folder is renamed to ``.__old`` first and deleted last; readers
-    take it while ``path`` is missing (``dataset.resolve``), so a crash at any
-    point leaves either the old or the new table.
-    """
-    path = path.rstrip("/")
-    tmp, old = f"{path}.__new-{uuid.uuid4().hex}", f"{path}{OLD}"
-    df.write.mode("errorifexists").parquet(tmp)
-    fs, target, jvm = _fs(spark, path)
-    backup = jvm.org.apache.hadoop.fs.Path(old)
-    if fs.exists(target):
-        if fs.exists(backup):
-            fs.delete(backup, True)
-        _rename(fs, jvm, path, old)
-    _rename(fs, jvm, tmp, path)
-    if fs.exists(backup):
-        fs.delete(backup, True)
-
-
-def _table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    path = resolve(spark, os.path.join(root, name))
-    return None if path is None else spark.read.parquet(path)
-
-
 def next_id(table: DataFrame | None) -> int:
     """``max(id) + 1`` of a stored table (1 when empty or missing)."""
     if table is None:
@@ -79,73 +39,139 @@ def next_id(table: DataFrame | None) -> int:
 
 
 def refresh_daily_stats(spark: SparkSession, root: str) -> None:
-    """Recompute the daily table from stored conversations and messages."""
-    conv, msgs = _table(spark, root, "conversations"), _table(spark, root, "messages")
+    """Recompute the daily table from all stored conversations and messages."""
+    recover(spark, root)
+    conv, msgs = read_table(spark, root, "conversations"), read_table(spark, root, "messages")
     if conv is None or msgs is None:
         return
-    stats.daily_stats(msgs, conv).write.mode("overwrite").parquet(os.path.join(root, "daily_stats"))
+    batch = Batch(spark, root)
+    batch.replace("daily_stats", stats.daily_stats(msgs, conv))
+    batch.publish()
+
+
+def merged_daily(stored: DataFrame | None, added: DataFrame) -> DataFrame:
+    """Daily figures after conversations have been added (``added``: their own daily figures).
+
+    A conversation has one date, so every figure of a date is a sum.
+    """
+    both = added if stored is None else stored.select(*added.columns).unionByName(added)
+    return both.groupBy("date").agg(*[F.sum(c).alias(c) for c in added.columns if c != "date"])
 
 
-def append_conversations(spark: SparkSession, root: str, conversations: DataFrame,
-                         messages: DataFrame) -> None:
+def append_conversations(spark: SparkSession, root: str, conversations: DataFrame, messages: DataFrame,
+                         also: dict[str, DataFrame] | None = None) -> None:
     """Append parsed conversations and messages, numbered after the stored ids.
 
     The inputs carry ids starting at 1 (as the ingest functions produce
-    them by default); they are shifted to continue the stored sequence.
+    them by default); they are shifted to continue the stored sequence.  The
+    daily table is brought up to date in the same batch; ``also`` names rows
+    for further tables of it.
     """
-    c0 = next_id(_table(spark, root, "conversations")) - 1
-    m0 = next_id(_table(spark, root, "messages")) - 1
-    conversations.withColumn("id", F.col("id") + c0).select(*schemas.CONVERSATIONS.names) \
-        .write.mode("append").parquet(os.path.join(root, "conversations"))
-    (messages.withColumn("id", F.col("id") + m0)
-     .withColumn("conversation_id", F.col("conversation_id") + c0)
-     .select(*schemas.MESSAGES.names)
-     .write.mode("append").parquet(os.path.join(root, "messages")))
-    refresh_daily_stats(spark, root)
+    recover(spark, root)
+    c0 = next_id(read_table(spark, root, "conversations")) - 1
+    m0 = next_id(read_table(spark, root, "messages")) - 1
+    batch = Batch(spark, root)
+    convs = batch.append("conversations", conversations.withColumn("id", F.col("id") + c0)
+                         .select(*schemas.CONVERSATIONS.names))
+    msgs = batch.append("messages", messages.withColumn("id", F.col("id") + m0)
+                        .withColumn("conversation_id", F.col("conversation_id") + c0)
+                        .select(*schemas.MESSAGES.names))
+    daily = read_table(spark, root, "daily_stats")
+    if daily is None and m0:
+        # Messages were stored without daily figures: all of them once.
+        old = stats.daily_stats(read_table(spark, root, "messages"), read_table(spark, root, "conversations"))
+        daily = staged(old, "daily")
+    batch.replace("daily_stats", merged_daily(daily, stats.daily_stats(msgs, convs)))
+    for table, rows in (also or {}).items():
+        batch.append(table, rows)
+    batch.publish()
+
+
+def remove_conversations(spark: SparkSession, root: str, gone: DataFrame, batch: Batch | None = None) -> None:
+    """Drop conversations (``conversation_id``) and all that belongs to them, daily figures included.
+
+    A message or conversation is known by its id, so the tables are filtered by
+    anti joins and replaced as a whole.
+    """
+    recover(spark, root)
+    batch = batch or Batch(spark, root)
+    gone = staged(gone.select("conversation_id").distinct(), "gone")
+    msgs, convs = read_table(spark, root, "messages"), read_table(spark, root, "conversations")
+    kept_c = batch.replace("conversations", convs.join(gone.withColumnRenamed("conversation_id", "id"), "id", "left_anti")
+                           .select(*convs.columns))
+    if msgs is not None:
+        kept_m = batch.replace("messages", msgs.join(gone, "conversation_id", "left_anti").select(*msgs.columns))
+        batch.replace("daily_stats", stats.daily_stats(kept_m, kept_c))
+        ins = read_table(spark, root, "insights")
+        if ins is not None:
+            lost = msgs.join(gone, "conversation_id", "left_semi").select(F.col("id").alias("message_id"))
+            batch.replace("insights", ins.join(lost, "message_id", "left_anti").select(*ins.columns))
+    for name in ("summaries", "embeddings"):
+        rows = read_table(spark, root, name)
+        if rows is not None:
+            batch.replace(name, rows.join(gone, "conversation_id", "left_anti").select(*rows.columns))
+    batch.publish()
 
 
 def clear(spark: SparkSession, root: str) -> None:
     """Empty every table (summaries and embeddings too, so no orphans remain: D9)."""
+    recover(spark, root)
+    batch = Batch(spark, root)
     for name, schema in SCHEMAS.items():
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(os.path.join(root, name))
+        batch.replace(name, spark.createDataFrame([], schema))
+    batch.publish()
 
 
 def append_insights(spark: SparkSession, root: str, rows: DataFrame) -> None:
-    """Append loaded insight rows with new ids (order: message, conversation, title, summary)."""
-    start = next_id(_table(spark, root, "insights"))
+    """Append loaded insight rows with new ids (order: message, conversation, title, summary).
+
+    A category outside the allowed four is an error, as it is at the loader.
+    """
+    recover(spark, root)
+    rows = staged(rows, "insights")
+    odd = rows.where(F.col("category").isNull() | ~F.col("category").isin(*schemas.CATEGORIES))
+    found = odd.select("category").distinct().limit(5).collect()
+    if found:
+        raise ValueError(f"insight categories outside {schemas.CATEGORIES}: {[r[0] for r in found]}")
+    start = next_id(read_table(spark, root, "insights"))
     order = [c for c in ("message_id", "conversation_id", "title", "summary") if c in rows.columns]
-    numbered = with_row_index(rows, order, "id", start)
-    numbered.select(*schemas.INSIGHTS.names).write.mode("append").parquet(
-        os.path.join(root, "insights"))
+    batch = Batch(spark, root)
+    batch.append("insights", with_row_index(rows, order, "id", start).select(*schemas.INSIGHTS.names))
+    batch.publish()
+
+
+def last_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:
+    """The last row of every key: a window group limit, planned with a partial limit per task."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame) -> None:
+def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame, input_order: list[str] | None = None) -> None:
     """Insert or replace by conversation; new rows get new ids.
 
     A new row always replaces the stored one, whatever their times.  Of
-    several new rows of one conversation the latest stays (then the last id).
+    several new rows of one conversation the last stays: by ``input_order``
+    (columns that give the order of the input, as file and line), else by time.
+    Rows that are equal in all that are ordered by their content, so the result
+    never depends on the order of tasks.
     """
-    existing = _table(spark, root, "summaries")
-    start = next_id(existing)
-    new = with_row_index(rows.drop("id"), ["conversation_id", F.col("summarized_at").asc_nulls_first()], "id",
-                         start).select(*SUMMARY_COLS)
-    new = latest_summary(new).select(*SUMMARY_COLS)
-    _replace(spark, existing, new, os.path.join(root, "summaries"))
+    recover(spark, root)
+    start = next_id(read_table(spark, root, "summaries"))
+    by = [F.col(c).desc_nulls_last() for c in (input_order or ["summarized_at"])]
+    content = [F.col(c).desc_nulls_last() for c in SUMMARY_COLS if c not in ("id", "conversation_id")]
+    best = last_per_key(rows, "conversation_id", by + content)
+    new = with_row_index(best.drop("id"), ["conversation_id"], "id", start).select(*SUMMARY_COLS)
+    batch = Batch(spark, root)
+    batch.upsert("summaries", new, "conversation_id")
+    batch.publish()
 
 
 def upsert_embeddings(spark: SparkSession, root: str, rows: DataFrame) -> None:
     """Insert or replace one vector per conversation; the newer row wins."""
+    recover(spark, root)
     cols = schemas.EMBEDDINGS.names
-    best = F.max(F.struct("created_at", "embedding", "model")).alias("b")
-    new = rows.groupBy("conversation_id").agg(best).select(
-        "conversation_id", F.col("b.embedding").alias("embedding"), F.col("b.model").alias("model"),
-        F.col("b.created_at").alias("created_at")).select(*cols)
-    _replace(spark, _table(spark, root, "embeddings"), new, os.path.join(root, "embeddings"))
-
-
-def _replace(spark: SparkSession, existing: DataFrame | None, new: DataFrame, path: str) -> None:
-    """Stored rows of other conversations, and the new rows."""
-    if existing is not None:
-        kept = existing.select(*new.columns).join(new.select("conversation_id"), "conversation_id", "left_anti")
-        new = kept.select(*new.columns).unionByName(new)
-    _swap_in(spark, new, path)
+    best = last_per_key(rows, "conversation_id", [F.col("created_at").desc_nulls_last(),
+                                                  F.col("embedding").desc_nulls_last(), F.col("model").desc_nulls_last()])
+    batch = Batch(spark, root)
+    batch.upsert("embeddings", staged(best.select(*cols), "embeddings"), "conversation_id")
+    batch.publish()

@@ -7,9 +7,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from chatlake import fixtures
+from chatlake import fixtures, schemas
 from chatlake.dataset import ChatData
 from chatlake.operators import store
+from chatlake.operators.ingest import ingest_archive
+from chatlake.plans import publish
 from chatlake.sources import org_notes as O
 
 SF = "/root/testdata/sf0.001"
@@ -58,7 +60,7 @@ def test_upserts_are_idempotent(spark, tmp_path):
     new = spark.createDataFrame(new.collect(), new.schema)
     store.upsert_summaries(spark, root, new)
     store.upsert_summaries(spark, root, new)
-    after = spark.read.parquet(os.path.join(root, "summaries"))
+    after = ChatData.read(spark, root).summaries
     assert after.count() == n
     changed = {r.conversation_id for r in new.collect()}
     assert {r.outcome for r in after.where(F.col("conversation_id").isin(list(changed))).collect()} \
@@ -72,7 +74,7 @@ def test_upserts_are_idempotent(spark, tmp_path):
     repl = spark.createDataFrame(repl.collect(), repl.schema)
     store.upsert_embeddings(spark, root, repl)
     store.upsert_embeddings(spark, root, repl)
-    e2 = spark.read.parquet(os.path.join(root, "embeddings"))
+    e2 = ChatData.read(spark, root).embeddings
     assert e2.count() == k
     assert e2.where(F.col("model") == "new-model").count() == 3
 
@@ -104,36 +106,175 @@ def test_new_summary_replaces_an_older_or_later_one(spark, tmp_path):
         + [(None, 10 ** 9, "early", [], None, None, datetime.datetime(2020, 1, 1)),
            (None, 10 ** 9, "late", [], None, None, datetime.datetime(2021, 1, 1))], summ.schema)
     store.upsert_summaries(spark, root, new)
-    after = {r.conversation_id: r for r in spark.read.parquet(os.path.join(root, "summaries")).collect()}
+    after = {r.conversation_id: r for r in ChatData.read(spark, root).summaries.collect()}
     assert len(after) == n + 1
     assert [after[k].summary for k in keys] == ["new"] * 3
     assert after[10 ** 9].summary == "late"
     assert all(after[k].id > top for k in keys)
 
 
-def test_crash_between_renames_leaves_the_old_table(spark, tmp_path, monkeypatch):
+def _files(path):
+    return {os.path.relpath(os.path.join(d, f), path) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+
+
+def test_upsert_of_one_key_rewrites_one_bucket(spark, tmp_path):
+    root = _archive(spark, tmp_path)
+    summ = spark.read.parquet(os.path.join(root, "summaries"))
+    rows = spark.createDataFrame(summ.withColumn("summary", F.lit("x")).collect(), summ.schema)
+    store.upsert_summaries(spark, root, rows.limit(3))  # lays the table out in buckets
+    before = _files(os.path.join(root, "summaries"))
+    assert len({os.path.dirname(f) for f in before}) > 5
+    n = ChatData.read(spark, root).summaries.count()
+    one = rows.limit(1)
+    store.upsert_summaries(spark, root, one)
+    after = _files(os.path.join(root, "summaries"))
+    changed = {os.path.dirname(f) for f in before ^ after}
+    assert len(changed) == 1 and ChatData.read(spark, root).summaries.count() == n
+    assert ChatData.read(spark, root).summaries.columns == summ.columns
+
+
+@pytest.mark.parametrize("at", [1, 2])
+def test_crash_while_a_batch_is_published(spark, tmp_path, monkeypatch, at):
+    """Whatever rename fails, opening the archive again finishes the batch."""
     root = _archive(spark, tmp_path)
-    path = os.path.join(root, "summaries")
-    before = sorted(map(str, spark.read.parquet(path).collect()))
-    new = spark.createDataFrame(spark.read.parquet(path).limit(2).withColumn("summary", F.lit("x")).collect(),
-                                spark.read.parquet(path).schema)
-    calls, rename = [], store._rename
+    summ = spark.read.parquet(os.path.join(root, "summaries"))
+    rows = spark.createDataFrame(summ.withColumn("summary", F.lit("x")).limit(2).collect(), summ.schema)
+    n, calls, rename = summ.count(), [], publish.Folder.rename
 
-    def crash(fs, jvm, a, b):
+    def crash(self, a, b):
         calls.append(b)
-        if len(calls) == 2:
+        if len(calls) == at:
             raise OSError("lost")
-        rename(fs, jvm, a, b)
+        rename(self, a, b)
 
-    monkeypatch.setattr(store, "_rename", crash)
+    monkeypatch.setattr(publish.Folder, "rename", crash)
     with pytest.raises(OSError):
-        store.upsert_summaries(spark, root, new)
-    assert not os.path.exists(path)
+        store.upsert_summaries(spark, root, rows)
+    monkeypatch.setattr(publish.Folder, "rename", rename)
+    after = ChatData.read(spark, root).summaries.collect()
+    assert len(after) == n and sum(r.summary == "x" for r in after) == 2
+    assert publish.Folder(spark, root).names(f"{root}/{publish.PENDING}") == []
+
+
+def test_batch_that_is_not_ready_is_not_seen(spark, tmp_path):
+    root = _archive(spark, tmp_path)
+    before = sorted(map(str, ChatData.read(spark, root).summaries.collect()))
+    publish.Batch(spark, root).replace("summaries", spark.createDataFrame([], "id long"))
     assert sorted(map(str, ChatData.read(spark, root).summaries.collect())) == before
-    monkeypatch.setattr(store, "_rename", rename)
-    store.upsert_summaries(spark, root, new)  # the next run starts from the old table
-    rows = ChatData.read(spark, root).summaries.collect()
-    assert len(rows) == len(before) and sum(r.summary == "x" for r in rows) == 2
+    assert publish.discard(spark, root) == 1 and publish.discard(spark, root) == 0
+
+
+def test_last_summary_of_the_input_stays(spark, tmp_path):
+    """Several new rows of one conversation: the last in the input, or the last content, whatever the partitions."""
+    root = _archive(spark, tmp_path)
+    when = datetime.datetime(2024, 1, 1)
+    rows = [(7, f"s{i}", ["t"], "learning", "ongoing", when, i) for i in (3, 9, 1, 5)]
+    df = spark.createDataFrame(rows, "conversation_id long, summary string, key_topics array<string>, sentiment string, "
+                                     "outcome string, summarized_at timestamp, line int")
+    for parts in (1, 4):
+        store.upsert_summaries(spark, root, df.repartition(parts), input_order=["line"])
+        assert [r.summary for r in ChatData.read(spark, root).summaries.where("conversation_id = 7").collect()] == ["s9"]
+
+
+def test_insights_of_other_categories_are_refused(spark, tmp_path):
+    root = _archive(spark, tmp_path)
+    bad = spark.createDataFrame([(1, "trivia", "t", "s", ["x"], 0.5, datetime.datetime(2024, 1, 1))],
+                                "message_id long, category string, title string, summary string, tags array<string>, "
+                                "confidence double, extracted_at timestamp")
+    n = ChatData.read(spark, root).insights.count()
+    with pytest.raises(ValueError, match="trivia"):
+        store.append_insights(spark, root, bad)
+    assert ChatData.read(spark, root).insights.count() == n
+
+
+# -- one-call ingest ----------------------------------------------------------------------
+
+def _notes(tmp_path, names=None):
+    import test_ingest
+    folder = tmp_path / "notes"
+    folder.mkdir(exist_ok=True)
+    for name, text in test_ingest.NOTES.items():
+        if names is None or name in names:
+            with open(folder / name, "w", encoding="utf-8", newline="") as f:
+                f.write(text)
+    return folder
+
+
+def _content(spark, root):
+    d = ChatData.read(spark, root)
+    names = d.conversations.select(F.col("id").alias("conversation_id"), F.regexp_extract("file_path", "[^/]*$", 0).alias("f"))
+    return sorted((r.f, r.role, r.content) for r in d.messages.join(names, "conversation_id").collect())
+
+
+def _daily_is_right(spark, root):
+    from chatlake.operators import stats
+    d = ChatData.read(spark, root)
+    want = stats.daily_stats(d.messages, d.conversations).collect()
+    assert sorted(map(str, d.daily_stats.select(*want[0].__fields__).collect())) == sorted(map(str, want))
+
+
+def test_ingest_archive(spark, tmp_path):
+    import test_ingest
+    root, folder = str(tmp_path / "archive"), _notes(tmp_path, ["2024-01-02.org", "2024-02-30.org"])
+    first = ingest_archive(spark, str(folder), root)
+    assert (first.files, first.skipped, first.conversations) == (1, 0, 2)
+    assert [os.path.basename(r.file_path) for r in first.rejected.collect()] == ["2024-02-30.org"]
+    again = ingest_archive(spark, str(folder), root)
+    assert (again.files, again.skipped, again.messages) == (0, 1, 0)
+    _notes(tmp_path)
+    more = ingest_archive(spark, str(folder), root)
+    assert (more.files, more.skipped, more.replaced) == (4, 1, 0)
+    flat = sorted((name, role, text) for name, _, _, ms in test_ingest.EXPECTED for role, text in ms)
+    assert _content(spark, root) == flat
+    ids = [r.id for r in ChatData.read(spark, root).messages.orderBy("id").collect()]
+    assert ids == list(range(1, len(flat) + 1))
+    _daily_is_right(spark, root)
+    # without dedupe all files are added again, and clear starts anew
+    assert ingest_archive(spark, str(folder), root, dedupe=None).files == 5
+    assert _content(spark, root) == sorted(flat * 2)
+    _daily_is_right(spark, root)
+    assert ingest_archive(spark, str(folder), root, clear=True).files == 5
+    assert _content(spark, root) == flat
+    _daily_is_right(spark, root)
+
+
+def test_changed_file_replaces_its_conversations(spark, tmp_path):
+    import test_ingest
+    root, folder = str(tmp_path / "archive"), _notes(tmp_path)
+    ingest_archive(spark, str(folder), root)
+    old = ChatData.read(spark, root).conversations.where("file_path like '%notes.org'").first().id
+    store.upsert_embeddings(spark, root, spark.createDataFrame(
+        [(old, [1.0], "m", datetime.datetime(2024, 1, 1)), (10 ** 6, [2.0], "m", None)], schemas.EMBEDDINGS))
+    (folder / "notes.org").write_text(test_ingest._note([("text", "* New\nq2\n"), ("resp", "a2\n"), ("text", "z\n")]))
+    done = ingest_archive(spark, str(folder), root)
+    assert (done.files, done.replaced, done.conversations) == (1, 1, 1)
+    mine = [c[1:] for c in _content(spark, root) if c[0] == "notes.org"]
+    assert mine == [("assistant", "a2"), ("user", "New\nq2"), ("user", "z")]
+    assert [r.conversation_id for r in ChatData.read(spark, root).embeddings.collect()] == [10 ** 6]
+    _daily_is_right(spark, root)
+
+
+@pytest.mark.parametrize("at", range(1, 8))
+def test_retry_after_a_crash_adds_nothing_twice(spark, tmp_path, monkeypatch, at):
+    import test_ingest
+    root, folder = str(tmp_path / "archive"), _notes(tmp_path)
+    calls, rename = [], publish.Folder.rename
+
+    def crash(self, a, b):
+        calls.append(b)
+        if len(calls) == at:
+            raise OSError("lost")
+        rename(self, a, b)
+
+    monkeypatch.setattr(publish.Folder, "rename", crash)
+    try:
+        ingest_archive(spark, str(folder), root)
+    except OSError:
+        pass
+    monkeypatch.setattr(publish.Folder, "rename", rename)
+    ingest_archive(spark, str(folder), root)
+    assert _content(spark, root) == sorted((name, role, text) for name, _, _, ms in test_ingest.EXPECTED for role, text in ms)
+    _daily_is_right(spark, root)
 
 
 def test_missing_tables_are_empty(spark):
