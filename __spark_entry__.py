@@ -24,12 +24,13 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from chatlake import fixtures  # noqa: E402
-from chatlake.dataset import ChatData  # noqa: E402
+from chatlake.dataset import read_table  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
 from chatlake.functions.replies import once, parse_insight, parse_insight_items  # noqa: E402
 from chatlake.operators import browse, derive, stats, summaries, vectors  # noqa: E402
 from chatlake.operators import render, store  # noqa: E402
 from chatlake.operators.export import export_conversations  # noqa: E402
+from chatlake.plans.staging import staging_root  # noqa: E402
 from chatlake.sources import history_csv, org_notes  # noqa: E402
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -101,13 +102,13 @@ def _load_counters(d, spark, sf_dir):
 
 
 def _upsert_summaries(d, spark, sf_dir):
-    """Stored summaries after loading replies that are older than all of them."""
+    """Stored summaries after loading replies that are older than all of them; the last reply of each conversation stays."""
     from chatlake.session import checkpoint_dir
     root = f"{checkpoint_dir(spark).rstrip('/')}/chatlake-upsert-{uuid.uuid4().hex}"
     d.summaries.write.parquet(f"{root}/summaries")
     rows = derive.load_summaries(_summary_replies(spark, sf_dir), summarized_at="2020-01-01 00:00:00")[0]
-    store.upsert_summaries(spark, root, rows)
-    return ChatData.read(spark, root).summaries
+    store.upsert_summaries(spark, root, rows, input_order=["line_no"])
+    return read_table(spark, root, "summaries")
 
 
 def _conversation_topics(d, spark, sf_dir):
@@ -125,12 +126,24 @@ def _semantic(d, spark, sf_dir):
 def _embed(d, spark, sf_dir):
     """New vectors as rows (conversation, position, value) of their non-zero components."""
     rows, _ = vectors.embed_conversations(d.conversations, d.messages, d.summaries, d.embeddings,
-                                          vectors.hashed_token_encoder(64))
+                                          vectors.hashed_token_encoder(64), chunk=1000)
     return (rows.select("conversation_id", "model", F.posexplode("embedding").alias("position", "v"))
             .where("v <> 0").select("conversation_id", "model", "position", F.round(F.col("v").cast("double"), 4)
                                     .alias("value")))
 
 
+def _keyword_index(d, spark, sf_dir):
+    """The rows of ``keyword_search`` over an indexed table."""
+    root = f"{staging_root(spark)}/indexed-{uuid.uuid4().hex}"
+    store.upsert_summaries(spark, root, d.summaries, index=True)
+    return summaries.keyword_search_indexed(spark, root, d.conversations, "src1", 50)
+
+
+def _token_counts_bpe(d, spark, sf_dir):
+    import public_tokenizers as P
+    return derive.token_counts(d.messages, counter=derive.rank_file_counter(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+
+
 def _search_text(d, spark, sf_dir):
     return vectors.search_text(d.embeddings, d.conversations, d.summaries, "how to index a table",
                                vectors.hashed_token_encoder(64), limit=20)
@@ -184,7 +197,8 @@ def _notes_roundtrip(d, spark, sf_dir):
 
 
 def _latest(d, spark, sf_dir):
-    return summaries.latest_summary(fixtures.summary_versions(d.summaries))
+    return summaries.latest_summary(fixtures.summary_versions(
+        fixtures.raw(spark, sf_dir, "documents"), fixtures.raw(spark, sf_dir, "conversations")))
 
 
 QUERIES: dict[str, Callable] = {
@@ -245,6 +259,7 @@ QUERIES: dict[str, Callable] = {
         d.summaries, d.conversations, d.messages, outcome="resolved", limit=20),
     "keyword_search": lambda d, s, p: summaries.keyword_search(d.summaries, d.conversations,
                                                                "src1", 50),
+    "keyword_search_indexed": _keyword_index,
     "latest_summary": _latest,
     # text and derived facts
     "clean_markup": lambda d, s, p: _marked(s, p).select(
@@ -256,7 +271,7 @@ QUERIES: dict[str, Callable] = {
     "parse_insight_json": _parse_insight_json,
     "load_insights": lambda d, s, p: _insights(d, s, p)[0],
     "load_rejects": lambda d, s, p: _insights(d, s, p)[1].drop("reply"),
-    "load_summaries": lambda d, s, p: _summaries(d, s, p)[0].drop("id"),
+    "load_summaries": lambda d, s, p: _summaries(d, s, p)[0].drop("id", "line_no"),
     "load_summary_rejects": lambda d, s, p: _summaries(d, s, p)[1],
     "load_counters": _load_counters,
     "upsert_summaries": _upsert_summaries,
@@ -271,6 +286,7 @@ QUERIES: dict[str, Callable] = {
     "embedding_text": lambda d, s, p: derive.embedding_text(d.conversations, d.summaries,
                                                             d.messages),
     "token_counts": lambda d, s, p: derive.token_counts(d.messages),
+    "token_counts_bpe": _token_counts_bpe,
     # ingest: the two input formats, derived from the conversations table
     "csv_history_rows": _csv_history_rows,
     "csv_file_rows": _csv_file_rows,

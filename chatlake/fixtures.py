@@ -117,13 +117,15 @@ def insights(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
         F.lit(EXTRACTED_AT).cast("timestamp").alias("extracted_at"))
 
 
-def summaries(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
-    """V4: summaries for documents with doc_id % 3 <> 0 that name a conversation."""
-    ids = conv_raw.select(F.col("conv_id").alias("doc_id")).distinct()
+def summary_versions(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """A summary of its conversation for every document with doc_id % 3 <> 0, a minute apart.
+
+    Conversations have many versions each, those with conversation % 7 = 2 none.
+    """
     d = F.col("doc_id")
-    return (documents.where(d % 3 != 0).join(ids, "doc_id", "left_semi").select(
+    return (conversation_of(documents, conv_raw).where((d % 3 != 0) & (F.col("conv") % 7 != 2)).select(
         d.alias("id"),
-        d.alias("conversation_id"),
+        F.col("conv").alias("conversation_id"),
         F.col("text").alias("summary"),
         _tags(d).alias("key_topics"),
         _pick(F.floor(d / 2) % 9, SENTIMENTS).alias("sentiment"),
@@ -132,21 +134,26 @@ def summaries(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
         .alias("summarized_at")))
 
 
-def summary_versions(summ: DataFrame) -> DataFrame:
-    """V4 plus a second, later version of every even id with outcome resolved."""
-    first = summ.withColumn("id", F.col("id") * 2)
-    second = (summ.where(F.col("conversation_id") % 2 == 0)
-              .withColumn("id", F.col("id") * 2 + 1)
-              .withColumn("outcome", F.lit("resolved"))
-              .withColumn("summarized_at", F.col("summarized_at") + F.expr("INTERVAL 1 DAY")))
-    return first.unionByName(second)
+def summaries(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """V4: the latest version of every conversation's summary."""
+    versions = summary_versions(documents, conv_raw)
+    last = versions.groupBy("conversation_id").agg(F.max("id").alias("id"))
+    return versions.join(last, ["conversation_id", "id"], "left_semi").select(*versions.columns)
 
 
-def embeddings(emb_raw: DataFrame) -> DataFrame:
-    """V5: a stored vector for six of seven ids; vec_id 0 is the query."""
-    return emb_raw.where(F.col("vec_id") % 7 != 3).select(F.col("vec_id").alias("conversation_id"), "embedding",
-                          F.lit("fixture").alias("model"),
-                          F.lit(CREATED_AT).cast("timestamp").alias("created_at"))
+def embeddings(emb_raw: DataFrame, conv_raw: DataFrame) -> DataFrame:
+    """V5: the last of each conversation's vectors, for six of seven conversations, and some of unknown ids.
+
+    Vectors go round the conversations of the table; every fiftieth belongs to
+    an id without a conversation.  Conversation 0's vector is the query.
+    """
+    n = conv_raw.agg(F.coalesce(F.max("conv_id"), F.lit(0)) + 1).first()[0]
+    v = F.col("vec_id")
+    conv = F.when(v % 50 == 49, v + 1_000_000).otherwise(v % n).alias("conversation_id")
+    return (emb_raw.select("vec_id", "embedding", conv).where(F.col("conversation_id") % 7 != 3)
+            .groupBy("conversation_id").agg(F.max_by("embedding", "vec_id").alias("embedding"))
+            .select("conversation_id", "embedding", F.lit("fixture").alias("model"),
+                    F.lit(CREATED_AT).cast("timestamp").alias("created_at")))
 
 
 def marked(conv_raw: DataFrame) -> DataFrame:
@@ -196,19 +203,18 @@ def _result_lines(docs: DataFrame, prefix: str, kind: F.Column, text: F.Column)
     content = F.when(kind == 1, F.slice(block, 1, 0)).when(kind == 9, F.lit(None)).otherwise(block)
     rtype = F.when(kind == 2, "errored").when(kind == 10, "expired").otherwise("succeeded")
     return docs.select(
-        F.concat(F.lit(prefix), F.col("conv").cast("string")).alias("custom_id"),
+        F.col("doc_id").alias("line_no"), F.concat(F.lit(prefix), F.col("conv").cast("string")).alias("custom_id"),
         F.struct(rtype.alias("type"), F.struct(content.alias("content")).alias("message")).alias("result"))
 
 
 def summary_replies(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
-    """One summary reply per conversation that names a document, as a result line.
+    """One summary reply per document to its conversation, as a result line; later lines replace earlier ones.
 
     The object carries the whole text; keys are left out by doc_id (%4 sentiment,
     %5 outcome, %6 topics).  By doc_id % 23: 1, 2, 9, 10 as in V7; 3 text with
     another object after it, 4 single quotes, 6 no JSON, 7 truncated JSON,
     8 an array instead of an object.
     """
-    ids = conv_raw.select(F.col("conv_id").alias("doc_id")).distinct()
     d = F.col("doc_id")
     kind = d % 23
     obj = F.to_json(F.struct(
@@ -221,8 +227,7 @@ def summary_replies(documents: DataFrame, conv_raw: DataFrame) -> DataFrame:
             .when(kind == 6, F.lit("nope"))
             .when(kind == 7, F.lit('{"summary": "s"'))
             .when(kind == 8, F.lit("[1, 2]")).otherwise(obj))
-    docs = documents.join(ids, "doc_id", "left_semi").withColumn("conv", d)
-    return _result_lines(docs, "summary_", kind, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+    return _result_lines(conversation_of(documents, conv_raw), "summary_", kind, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
 
 
 _STORED: dict = {}
@@ -255,7 +260,7 @@ def derived_data(spark: SparkSession, sf_dir: str) -> ChatData:
                     messages=messages(conv_raw),
                     insights=insights(docs, conv_raw),
                     summaries=summaries(docs, conv_raw),
-                    embeddings=embeddings(raw(spark, sf_dir, "embeddings")))
+                    embeddings=embeddings(raw(spark, sf_dir, "embeddings"), conv_raw))
 
 
 # -- ingest fixtures (V8, V9): text in the two input formats, derived from the table --

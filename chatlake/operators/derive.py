@@ -15,8 +15,12 @@ Scale notes.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake import schemas
 from chatlake.functions import prompts
@@ -139,24 +143,39 @@ def write_requests(requests: DataFrame, path: str) -> None:
 
 # -- results ----------------------------------------------------------------------
 
+LINE = "line_no"
+
+
 def read_results(spark, path: str) -> DataFrame:
-    """Result lines of a bulk job, with a fixed schema (no inference)."""
-    return spark.read.schema(schemas.RESULT_LINE).json(path)
+    """Result lines of a bulk job, with a fixed schema (no inference).
+
+    ``line_no`` orders the lines by file and place; a line that is not a JSON
+    object of the schema is kept as text in ``malformed``, and the loaders reject it.
+    """
+    schema = T.StructType([*schemas.RESULT_LINE.fields, T.StructField("malformed", T.StringType())])
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return spark.read.schema(schema).json(path, columnNameOfCorruptRecord="malformed").select("*", place.alias(LINE))
 
 
 def _result_text(results: DataFrame) -> DataFrame:
     """id from ``custom_id``, and the first text block of each result (NULL without one)."""
+    bad = F.col("malformed") if "malformed" in results.columns else F.lit(None).cast("string")
     return results.select(
+        *[c for c in (LINE,) if c in results.columns],
         F.split_part(F.col("custom_id"), F.lit("_"), F.lit(2)).try_cast("long")
         .alias("conversation_id"),
-        F.col("result.type").alias("type"),
-        F.try_element_at(F.col("result.message.content"), F.lit(1))["text"].alias("reply"))
+        F.when(bad.isNotNull(), F.lit("malformed")).otherwise(F.col("result.type")).alias("type"),
+        F.coalesce(bad, F.try_element_at(F.col("result.message.content"), F.lit(1))["text"]).alias("reply"))
+
+
+def _malformed(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("type") == "malformed").select("conversation_id", "reply", F.lit("malformed line").alias("reason"))
 
 
 def _counts_by_type() -> list:
     rtype = F.col("type")
     return [F.count_if(rtype == "succeeded").alias("succeeded"),
-            F.count_if(~F.coalesce(rtype.isin("succeeded", "error", "errored"), F.lit(False))).alias("other")]
+            F.count_if(~F.coalesce(rtype.isin("succeeded", "error", "errored", "malformed"), F.lit(False))).alias("other")]
 
 
 def load_insights(results: DataFrame, messages: DataFrame | None,
@@ -205,7 +224,8 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
         "confidence", ts.alias("extracted_at"))
     passed_over = ("no text", "empty array")
     rejects = staged.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over)) \
-        .select("conversation_id", "pos", "reason", "reply")
+        .select("conversation_id", "pos", "reason", "reply").unionByName(
+            _malformed(r).withColumn("pos", F.lit(None).cast("int")))
     whole = ("bad custom_id", "not a JSON array")
     per_item = staged.agg(
         F.count_if(F.col("reason").isNull()).alias("loaded"),
@@ -218,7 +238,7 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
 def _counters(lines: DataFrame, loaded: DataFrame) -> DataFrame:
     """One row: counts of lines by type beside (loaded, unread, rejected)."""
     names = ["succeeded", "other", "errored", "loaded", "unread", "rejected"]
-    types = lines.agg(*_counts_by_type(), F.count_if(F.col("type").isin("error", "errored")).alias("errored"))
+    types = lines.agg(*_counts_by_type(), F.count_if(F.col("type").isin("error", "errored", "malformed")).alias("errored"))
 
     def padded(df):
         return df.select(*[F.col(n) if n in df.columns else F.lit(0).cast("long").alias(n) for n in names])
@@ -228,7 +248,7 @@ def _counters(lines: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def load_summaries(results: DataFrame, summarized_at: str | None = None
                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Results -> (summary rows with defaults, rejected results, counters).
+    """Results -> (summary rows with defaults and, if known, ``line_no``; rejected results; counters).
 
     A reply without text is passed over; one that is not exactly one JSON
     object is rejected and counted as an error.
@@ -244,11 +264,11 @@ def load_summaries(results: DataFrame, summarized_at: str | None = None
         F.coalesce("o.key_topics", F.array().cast("array<string>")).alias("key_topics"),
         F.coalesce("o.sentiment", F.lit("unknown")).alias("sentiment"),
         F.coalesce("o.outcome", F.lit("unknown")).alias("outcome"),
-        ts.alias("summarized_at"))
+        ts.alias("summarized_at"), *[c for c in (LINE,) if c in lines.columns])
     rejects = parsed.where(bad).select(
         "conversation_id", "reply",
         F.when(F.col("conversation_id").isNull(), F.lit("bad custom_id"))
-        .otherwise(F.lit("not a JSON object")).alias("reason"))
+        .otherwise(F.lit("not a JSON object")).alias("reason")).unionByName(_malformed(lines))
     counters = _counters(lines, parsed.agg(
         F.count_if(~no_text & ~bad).alias("loaded"), F.count_if(bad).alias("unread"),
         F.lit(0).cast("long").alias("rejected")))
@@ -257,14 +277,8 @@ def load_summaries(results: DataFrame, summarized_at: str | None = None
 
 # -- embedding text -----------------------------------------------------------------
 
-def embedding_text(conversations: DataFrame, summaries: DataFrame | None,
-                   messages: DataFrame | None) -> DataFrame:
-    """Text to embed per conversation.
-
-    With a non-empty summary: ``topic. summary. Topics: a, b`` (empty parts
-    dropped; an empty topic list still gives ``Topics: ``).  Otherwise the
-    conversation text; a conversation without either gives ''.
-    """
+def _summary_text(conversations: DataFrame, summaries: DataFrame | None) -> DataFrame:
+    """(conversation_id, has_summary, text): ``topic. summary. Topics: a, b`` where there is a summary."""
     conv = conversations.select(F.col("id").alias("conversation_id"), "topic")
     if summaries is not None:
         s = summaries.select("conversation_id", "summary", "key_topics")
@@ -275,23 +289,110 @@ def embedding_text(conversations: DataFrame, summaries: DataFrame | None,
     topics = F.when(F.col("key_topics").isNotNull(),
                     F.concat(F.lit("Topics: "), F.array_join("key_topics", ", ")))
     from_summary = F.concat_ws(". ", F.nullif(F.col("topic"), F.lit("")), F.col("summary"), topics)
-    has_summary = F.coalesce(F.length("summary") > 0, F.lit(False))
+    has = F.coalesce(F.length("summary") > 0, F.lit(False))
+    return conv.select("conversation_id", has.alias("has_summary"), F.when(has, from_summary).alias("text"))
+
+
+def embedding_text(conversations: DataFrame, summaries: DataFrame | None,
+                   messages: DataFrame | None) -> DataFrame:
+    """Text to embed per conversation, as one value.
+
+    With a non-empty summary: ``topic. summary. Topics: a, b`` (empty parts
+    dropped; an empty topic list still gives ``Topics: ``).  Otherwise the
+    conversation text; a conversation without either gives ''.
+    """
+    conv = _summary_text(conversations, summaries)
     if messages is not None:
-        need = conv.where(~has_summary).select("conversation_id")
+        need = conv.where("not has_summary").select("conversation_id")
         texts = conversation_text(messages.join(need, "conversation_id", "left_semi"))
-        conv = conv.join(texts, "conversation_id", "left")
+        conv = conv.join(texts.withColumnRenamed("text", "whole"), "conversation_id", "left")
     else:
-        conv = conv.withColumn("text", F.lit(None).cast("string"))
-    return conv.select("conversation_id",
-                       F.when(has_summary, from_summary)
-                       .otherwise(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+        conv = conv.withColumn("whole", F.lit(None).cast("string"))
+    return conv.select("conversation_id", F.when(F.col("has_summary"), F.col("text"))
+                       .otherwise(F.coalesce(F.col("whole"), F.lit(""))).alias("text"))
 
 
-def token_counts(messages: DataFrame) -> DataFrame:
-    """Per message the token estimate ``length // 4`` (U1 default)."""
+#: Words whose token counts a worker remembers.
+WORDS = 500_000
+
+
+def rank_file_counter(path: str, pattern: str):
+    """A counter factory for a byte-pair rank file; its encodings are counted word by word.
+
+    The pattern cuts a text into words that are encoded apart, so the count of
+    a text is the sum over its words, and each word is encoded once per worker.
+    """
+    def factory() -> Callable[[str], int]:
+        import base64
+
+        import regex
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encode = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        words, known = regex.compile(pattern), {}
+
+        def count(text: str) -> int:
+            total = 0
+            for w in words.findall(text):
+                n = known.get(w)
+                if n is None:
+                    n = len(encode(w))
+                    if len(known) < WORDS:
+                        known[w] = n
+                total += n
+            return total
+        return count
+    return factory
+
+
+def counter_udf(factory: Callable[[], Callable[[str], int]]):
+    """Arrow-batched counter; null text is the empty text."""
+    @F.pandas_udf("long")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = factory()
+        for s in batches:
+            yield s.fillna("").map(count).astype("int64")
+    return counted
+
+
+def token_counts(messages: DataFrame, counter: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
+    """Tokens of every message, by ``counter`` (a factory, built once per task); U1's default is ``length // 4``."""
     from chatlake.functions.text import token_estimate
-    return messages.select("id", "conversation_id", token_estimate(F.col("content"))
-                           .alias("token_count"))
+    tokens = token_estimate(F.col("content")) if counter is None else counter_udf(counter)(F.col("content"))
+    return messages.select("id", "conversation_id", tokens.alias("token_count"))
+
+
+def counted_messages(messages: DataFrame, counter: Callable[[], Callable[[str], int]]) -> DataFrame:
+    """Messages with a count wherever none (or zero) is stored; only those texts go through the counter."""
+    stored = F.coalesce(F.col("token_count"), F.lit(0)) != 0
+    text = F.when(~stored, F.col("content"))
+    return messages.withColumn("token_count", F.when(stored, F.col("token_count")).otherwise(counter_udf(counter)(text)))
+
+
+def embedding_chunks(conversations: DataFrame, summaries: DataFrame | None, messages: DataFrame | None,
+                     chunk: int) -> DataFrame:
+    """P21 in pieces: (conversation_id, k1, k2, text) of at most ``chunk`` characters, in order.
+
+    Concatenated they are ``embedding_text`` without the line between two
+    messages; no conversation is ever one value.  A conversation without a
+    summary and messages has one empty piece.
+    """
+    summ = _summary_text(conversations, summaries)
+    whole = summ.where("has_summary").select("conversation_id", F.lit(0).cast("long").alias("k1"), "text")
+    rest = summ.where("not has_summary").select("conversation_id")
+    if messages is not None:
+        blocks = messages.select("conversation_id", F.col("id").alias("k1"),
+                                 message_block(F.col("role"), F.col("content")).alias("text"))
+        rest = rest.join(blocks, "conversation_id", "left")
+    else:
+        rest = rest.select("conversation_id", F.lit(None).cast("long").alias("k1"), F.lit(None).cast("string").alias("text"))
+    rows = whole.unionByName(rest).withColumn("text", F.coalesce("text", F.lit("")))
+    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / chunk) - 1, F.lit(0)))
+    return (rows.select("conversation_id", "k1", "text", F.explode(at).alias("k2"))
+            .select("conversation_id", "k1", F.col("k2").cast("int").alias("k2"),
+                    F.substr("text", (F.col("k2") * chunk + 1).cast("int"), F.lit(chunk)).alias("text")))
 
 
 def is_blank(text: F.Column) -> F.Column:

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from chatlake import schemas
 from chatlake.dataset import read_table
 from chatlake.operators import stats
-from chatlake.operators.summaries import SUMMARY_COLS
+from chatlake.operators.summaries import INDEX, SUMMARY_COLS, keyword_index
 from chatlake.plans.numbering import with_row_index
-from chatlake.plans.publish import Batch, recover
+from chatlake.plans.publish import Batch, Folder, bucket_count, recover
 from chatlake.plans.staging import staged
 
 SCHEMAS = {
@@ -106,10 +106,14 @@ def remove_conversations(spark: SparkSession, root: str, gone: DataFrame, batch:
         if ins is not None:
             lost = msgs.join(gone, "conversation_id", "left_semi").select(F.col("id").alias("message_id"))
             batch.replace("insights", ins.join(lost, "message_id", "left_anti").select(*ins.columns))
-    for name in ("summaries", "embeddings"):
-        rows = read_table(spark, root, name)
-        if rows is not None:
-            batch.replace(name, rows.join(gone, "conversation_id", "left_anti").select(*rows.columns))
+    for name in ("summaries", INDEX, "embeddings"):
+        if Folder(spark, root).exists(f"{root}/{name}"):
+            rows, n = spark.read.parquet(f"{root}/{name}"), bucket_count(spark, f"{root}/{name}")
+            kept = rows.join(gone, "conversation_id", "left_anti").select(*rows.columns)
+            if n:
+                batch.bucketed(name, kept, "replace", f"bucket{n}")
+            else:
+                batch.replace(name, kept)
     batch.publish()
 
 
@@ -119,6 +123,8 @@ def clear(spark: SparkSession, root: str) -> None:
     batch = Batch(spark, root)
     for name, schema in SCHEMAS.items():
         batch.replace(name, spark.createDataFrame([], schema))
+    if Folder(spark, root).exists(f"{root}/{INDEX}"):
+        batch.replace(INDEX, spark.createDataFrame([], "conversation_id long, gram string"))
     batch.publish()
 
 
@@ -146,14 +152,25 @@ def last_per_key(rows: DataFrame, key: str, order: list) -> DataFrame:
     return rows.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
 
 
-def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame, input_order: list[str] | None = None) -> None:
+def build_keyword_index(spark: SparkSession, root: str) -> None:
+    """Write the postings of all stored summaries (``summaries.keyword_index``), one folder per bucket of theirs."""
+    recover(spark, root)
+    by = f"bucket{bucket_count(spark, f'{root}/summaries')}"
+    batch = Batch(spark, root)
+    batch.bucketed(INDEX, keyword_index(spark.read.parquet(f"{root}/summaries").repartition(by)), "replace", by)
+    batch.publish()
+
+
+def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame, input_order: list[str] | None = None,
+                     index: bool = False) -> None:
     """Insert or replace by conversation; new rows get new ids.
 
     A new row always replaces the stored one, whatever their times.  Of
     several new rows of one conversation the last stays: by ``input_order``
     (columns that give the order of the input, as file and line), else by time.
     Rows that are equal in all that are ordered by their content, so the result
-    never depends on the order of tasks.
+    never depends on the order of tasks.  The keyword index, where there is one
+    or ``index`` asks for it, is kept in the same batch, bucket by bucket.
     """
     recover(spark, root)
     start = next_id(read_table(spark, root, "summaries"))
@@ -162,8 +179,13 @@ def upsert_summaries(spark: SparkSession, root: str, rows: DataFrame, input_orde
     best = last_per_key(rows, "conversation_id", by + content)
     new = with_row_index(best.drop("id"), ["conversation_id"], "id", start).select(*SUMMARY_COLS)
     batch = Batch(spark, root)
-    batch.upsert("summaries", new, "conversation_id")
+    there = Folder(spark, root).exists(f"{root}/{INDEX}")
+    merged, action, by = batch.upsert("summaries", new, "conversation_id")
+    if there or (index and action == "replace"):
+        batch.bucketed(INDEX, keyword_index(merged.repartition(by)), action, by)
     batch.publish()
+    if index and not there and action == "buckets":
+        build_keyword_index(spark, root)
 
 
 def upsert_embeddings(spark: SparkSession, root: str, rows: DataFrame) -> None:

@@ -6,11 +6,13 @@ returns an empty result, as the reference does when the table is missing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake import schemas
 from chatlake.functions.text import ascii_lower, contains_folded
+from chatlake.plans.publish import bucket_count, recover
+from chatlake.plans.staging import staged
 
 SUMMARY_COLS = ["id", "conversation_id", "summary", "key_topics", "sentiment", "outcome",
                 "summarized_at"]
@@ -104,6 +106,62 @@ def keyword_search(summaries: DataFrame | None, conversations: DataFrame, query:
             .orderBy(F.desc_nulls_last("date"), F.asc("id")).limit(limit))
 
 
+# -- keyword index -----------------------------------------------------------------------
+
+GRAM = 3
+INDEX = "summary_grams"
+
+
+def _grams(text: Column) -> Column:
+    """All stretches of ``GRAM`` characters of a folded text, each once (in one pass over the text)."""
+    return F.array_distinct(F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))),
+                                                 F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def keyword_index(summaries: DataFrame) -> DataFrame:
+    """Postings (gram, conversation_id, and the summary's bucket column) of summaries and key topics.
+
+    A text that contains a needle contains every gram of the needle.  Grams
+    are taken in their text's row, so a text is read once and only short rows
+    travel.
+    """
+    by = [c for c in summaries.columns if c.startswith("bucket")]
+    text = F.concat(F.array("summary"), F.coalesce("key_topics", F.array().cast("array<string>")))
+    grams = F.array_distinct(F.flatten(F.transform(text, _grams)))
+    return summaries.select("conversation_id", *by, F.explode(grams).alias("gram")).sortWithinPartitions(*by, "gram")
+
+
+def needle_grams(query: str) -> list[str]:
+    """The grams of a needle, folded; none for shorter ones."""
+    folded = query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return sorted({folded[i:i + GRAM] for i in range(len(folded) - GRAM + 1)})
+
+
+def keyword_candidates(postings: DataFrame, query: str) -> DataFrame:
+    """Keys (conversation_id and bucket) of the postings that have every gram of the needle."""
+    grams, keys = needle_grams(query), [c for c in postings.columns if c != "gram"]
+    hits = postings.where(F.col("gram").isin(grams))
+    return hits.groupBy(*keys).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).drop("n")
+
+
+def keyword_search_indexed(spark: SparkSession, root: str, conversations: DataFrame, query: str,
+                           limit: int = 50) -> DataFrame:
+    """F8 over a stored table with an index: the rows of ``keyword_search``.
+
+    Only the buckets of the candidates are read, and LIKE runs on them alone.
+    Needles under three characters scan the table.
+    """
+    recover(spark, root)
+    by = f"bucket{bucket_count(spark, f'{root}/summaries')}"
+    table = spark.read.parquet(f"{root}/summaries")
+    if needle_grams(query):
+        found = staged(keyword_candidates(spark.read.parquet(f"{root}/{INDEX}"), query), "candidates")
+        # Bounded by the number of buckets.
+        buckets = [r[0] for r in found.select(by).distinct().collect()]
+        table = table.where(F.col(by).isin(buckets)).join(found, ["conversation_id", by], "left_semi")
+    return keyword_search(table.select(*SUMMARY_COLS), conversations, query, limit)
+
+
 def latest_summary(summary_versions: DataFrame | None) -> DataFrame:
     """One row per conversation, the latest version (insert-or-replace).
 

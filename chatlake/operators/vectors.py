@@ -17,6 +17,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 BATCH_SIZE = 128
+EMBED_CHUNK = 2000
 
 
 def query_vector(embeddings: DataFrame, conversation_id) -> list[float] | None:
@@ -98,7 +101,7 @@ def search_text(embeddings: DataFrame, conversations: DataFrame, summaries: Data
 # -- embedding (U2: pluggable encoder) -------------------------------------------------
 
 def hashed_token_encoder(dim: int = 64) -> EncoderFactory:
-    """Deterministic stand-in encoder: hashed word counts, L2-normalised.
+    """Deterministic stand-in encoder: hashed word counts.
 
     Not a language model: it exists so the embedding pipeline can run and be
     tested without model weights.  Plug a real encoder factory in its place.
@@ -106,50 +109,66 @@ def hashed_token_encoder(dim: int = 64) -> EncoderFactory:
     def factory():
         import hashlib
 
+        place: dict[str, int] = {}
+
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for i, t in enumerate(texts):
                 for tok in t.lower().split():
-                    out[i, int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
-            n = np.linalg.norm(out, axis=1, keepdims=True)
-            return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
+                    at = place.get(tok)
+                    if at is None:
+                        at = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+                        if len(place) < derive.WORDS:
+                            place[tok] = at
+                    out[i, at] += 1.0
+            return out
         return encode
     return factory
 
 
 def encoder_udf(factory: EncoderFactory, batch_size: int = BATCH_SIZE):
-    """Arrow-batched pandas UDF; the encoder is built once per task iterator."""
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = factory()
-        for s in batches:
-            texts = s.fillna("").tolist()
-            vecs = []
-            for i in range(0, len(texts), batch_size):
-                vecs.extend(list(enc(texts[i:i + batch_size])))
-            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vecs])
-    return encode
+    """Batch prediction: the encoder is built once per worker and sees ``batch_size`` texts at a time."""
+    def make_predict():
+        encode = factory()
+        return lambda texts: np.asarray(encode([t or "" for t in texts.tolist()]), dtype=np.float32)
+    return predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+
+
+def pooled(vectors: DataFrame) -> DataFrame:
+    """(conversation_id, embedding): the mean of (conversation_id, v, weight) vectors, of unit length.
+
+    A partial aggregate of running means: a conversation with any number of
+    pieces is one vector per task.
+    """
+    mean = Summarizer.mean(array_to_vector(F.col("v")), F.col("weight"))
+    m = vectors.groupBy("conversation_id").agg(vector_to_array(mean).alias("m"))
+    norm = F.sqrt(F.aggregate("m", F.lit(0.0), lambda total, x: total + x * x))
+    m = m.withColumn("norm", norm)
+    return m.select("conversation_id", F.transform("m", lambda x: F.when(F.col("norm") > 0, x / F.col("norm"))
+                                                   .otherwise(x).cast("float")).alias("embedding"))
 
 
 def embed_conversations(conversations: DataFrame, messages: DataFrame | None,
                         summaries: DataFrame | None, embeddings: DataFrame | None,
                         factory: EncoderFactory, model_name: str = "hashed-64",
-                        batch_size: int = BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
+                        batch_size: int = BATCH_SIZE, chunk: int = EMBED_CHUNK) -> tuple[DataFrame, DataFrame]:
     """V2: vectors for conversations not yet embedded; (new rows, counters).
 
-    Blank texts are skipped and counted.  Rows keep id order inside each
-    task; the write is one append of the whole result.
+    A text is embedded in pieces of ``chunk`` characters (a message begins a
+    piece), whose vectors are averaged by length: encoders see bounded texts,
+    and no conversation is put together anywhere.  Blank texts are skipped and
+    counted.
     """
-    todo = browse.unembedded_conversations(conversations, embeddings).withColumnRenamed(
-        "id", "conversation_id")
-    texts = derive.embedding_text(conversations, summaries, messages).join(
-        todo, "conversation_id", "left_semi")
+    todo = browse.unembedded_conversations(conversations, embeddings)
+    conv = conversations.join(todo.select("id"), "id", "left_semi")
+    pieces = derive.embedding_chunks(conv, summaries, messages, chunk)
     blank = derive.is_blank(F.col("text"))
-    rows = (texts.where(~blank)
-            .select("conversation_id", encoder_udf(factory, batch_size)(F.col("text"))
-                    .alias("embedding"),
-                    F.lit(model_name).alias("model"), F.current_timestamp().alias("created_at")))
-    counters = texts.agg(F.count_if(~blank).alias("embedded"), F.count_if(blank).alias("skipped"))
+    vectors = pieces.where(~blank).select("conversation_id", encoder_udf(factory, batch_size)(F.col("text")).alias("v"),
+                                          F.length("text").cast("double").alias("weight"))
+    rows = pooled(vectors).select("conversation_id", "embedding", F.lit(model_name).alias("model"),
+                                  F.current_timestamp().alias("created_at"))
+    each = pieces.groupBy("conversation_id").agg(F.bool_and(blank).alias("blank"))
+    counters = each.agg(F.count_if(~F.col("blank")).alias("embedded"), F.count_if("blank").alias("skipped"))
     return rows, counters
 
 

@@ -91,29 +91,33 @@ class Batch:
     def replace(self, table: str, df: DataFrame) -> DataFrame:
         return self._stage(df, "replace", table)
 
-    def upsert(self, table: str, rows: DataFrame, key: str) -> None:
+    def upsert(self, table: str, rows: DataFrame, key: str) -> tuple[DataFrame, str, str]:
         """Rows by key into a bucketed table; only the buckets of the new keys are read and written.
 
         ``rows`` has one row per key and may not be a lazy read of the table.  A
-        table without buckets is laid out in buckets once.
+        table without buckets is laid out in buckets once.  Returns what was
+        staged, its action and the bucket column.
         """
         path = f"{self.root}/{table}"
         stored = Folder(self.spark, self.root).names(path)
         n = bucket_count(self.spark, path)
-        by = f"bucket{n or BUCKETS}"
+        by, action = f"bucket{n or BUCKETS}", "buckets" if n else "replace"
         rows = rows.withColumn(by, bucket_of(key, n or BUCKETS))
-        if not stored:
-            self._stage(rows.repartition(by), "replace", table, by)
-            return
-        old = self.spark.read.parquet(path)
-        if n:
-            # Bounded by the number of buckets.
-            touched = [r[0] for r in rows.select(by).distinct().collect()]
-            old = old.where(F.col(by).isin(touched))
-        else:
-            old = old.withColumn(by, bucket_of(key, BUCKETS))
-        kept = old.select(*rows.columns).join(rows.select(key), key, "left_anti").select(*rows.columns)
-        self._stage(kept.unionByName(rows).repartition(by), "buckets" if n else "replace", table, by)
+        if stored:
+            old = self.spark.read.parquet(path)
+            if n:
+                # Bounded by the number of buckets.
+                touched = [r[0] for r in rows.select(by).distinct().collect()]
+                old = old.where(F.col(by).isin(touched))
+            else:
+                old = old.withColumn(by, bucket_of(key, BUCKETS))
+            kept = old.select(*rows.columns).join(rows.select(key), key, "left_anti").select(*rows.columns)
+            rows = kept.unionByName(rows)
+        return self.bucketed(table, rows.repartition(by), action, by), action, by
+
+    def bucketed(self, table: str, rows: DataFrame, action: str, by: str) -> DataFrame:
+        """Whole buckets of a table: in place of its folder, or of the buckets of the same name."""
+        return self._stage(rows, action, table, by)
 
     def publish(self) -> None:
         """Mark the batch as ready and put it in place."""

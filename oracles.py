@@ -52,8 +52,9 @@ ins AS (
          CAST(n_chars % 101 AS DOUBLE) / 100.0 AS confidence,
          TIMESTAMP '2024-02-01 00:00:00' AS extracted_at
   FROM docs)"""
-V["summ"] = f"""summ AS (
-  SELECT doc_id AS id, doc_id AS conversation_id, text AS summary,
+_CONV = "CASE WHEN doc_id % 10 = 7 THEN 1 ELSE doc_id % (SELECT max(conv_id) + 1 FROM conversations) END"
+V["versions"] = f"""versions AS (
+  SELECT doc_id AS id, conversation_id, text AS summary,
          {_TAGS} AS key_topics,
          CASE (doc_id // 2) % 9 WHEN 0 THEN 'technical' WHEN 1 THEN 'exploratory'
               WHEN 2 THEN 'debugging' WHEN 3 THEN 'learning' WHEN 4 THEN 'planning'
@@ -63,16 +64,15 @@ V["summ"] = f"""summ AS (
               WHEN 2 THEN 'abandoned' WHEN 3 THEN 'learning' WHEN 4 THEN 'decision_made'
               ELSE 'idea_generated' END AS outcome,
          TIMESTAMP '2024-02-01 00:00:00' + to_minutes(CAST(doc_id AS BIGINT)) AS summarized_at
-  FROM documents
-  WHERE doc_id % 3 <> 0 AND doc_id IN (SELECT conv_id FROM conversations))"""
-V["versions"] = """versions AS (
-  SELECT id * 2 AS id, conversation_id, summary, key_topics, sentiment, outcome, summarized_at
-  FROM summ
-  UNION ALL
-  SELECT id * 2 + 1, conversation_id, summary, key_topics, sentiment, 'resolved',
-         summarized_at + INTERVAL 1 DAY
-  FROM summ WHERE conversation_id % 2 = 0)"""
-V["emb"] = """emb AS (SELECT vec_id AS conversation_id, embedding FROM embeddings WHERE vec_id % 7 <> 3)"""
+  FROM (SELECT *, {_CONV} AS conversation_id FROM documents)
+  WHERE doc_id % 3 <> 0 AND conversation_id % 7 <> 2)"""
+V["summ"] = V["versions"] + """,
+summ AS (SELECT * FROM versions QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY id DESC) = 1)"""
+V["emb"] = """emb AS (
+  SELECT conversation_id, arg_max(embedding, vec_id) AS embedding
+  FROM (SELECT *, CASE WHEN vec_id % 50 = 49 THEN vec_id + 1000000
+                       ELSE vec_id % (SELECT max(conv_id) + 1 FROM conversations) END AS conversation_id FROM embeddings)
+  WHERE conversation_id % 7 <> 3 GROUP BY conversation_id)"""
 V["daily"] = """daily AS (
   SELECT c.date,
          CAST(count(*) AS BIGINT) AS total_messages,
@@ -92,7 +92,9 @@ V["convtext"] = """convtext AS (
          string_agg('[' || CASE WHEN role = 'user' THEN 'USER' ELSE 'ASSISTANT' END || ']'
                     || chr(10) || coalesce(content, '') || chr(10), chr(10) ORDER BY id) AS text
   FROM msg GROUP BY conversation_id)"""
-V["embtext"] = """embtext AS (
+# The text of conversations with a summary; those without have the text of convtext.
+V["embtext"] = V["convtext"] + """,
+embtext AS (
   SELECT c.id AS conversation_id,
          CASE WHEN length(s.summary) > 0
               THEN concat_ws('. ', nullif(c.topic, ''), s.summary,
@@ -120,13 +122,13 @@ replies AS (
   SELECT 'conv_' || CAST(conv AS VARCHAR) AS custom_id, conv AS conversation_id, *,
          kind NOT IN (1, 2, 9, 10) AS has_text, kind IN (3, 4, 6, 7, 8) AS unread
   FROM items)"""
-V["sreplies"] = """sreplies AS (
-  SELECT doc_id AS conversation_id, doc_id % 23 AS kind, text, doc_id % 23 NOT IN (1, 2, 9, 10) AS has_text,
+V["sreplies"] = f"""sreplies AS (
+  SELECT doc_id, {_CONV} AS conversation_id, doc_id % 23 AS kind, text, doc_id % 23 NOT IN (1, 2, 9, 10) AS has_text,
          doc_id % 23 IN (3, 4, 6, 7, 8) AS unread,
          CASE WHEN doc_id % 6 <> 0 THEN [lang, source] ELSE CAST([] AS VARCHAR[]) END AS key_topics,
          CASE WHEN doc_id % 4 <> 0 THEN 'learning' ELSE 'unknown' END AS sentiment,
          CASE WHEN doc_id % 5 <> 0 THEN 'resolved' ELSE 'unknown' END AS outcome
-  FROM documents WHERE doc_id IN (SELECT conv_id FROM conversations))"""
+  FROM documents)"""
 
 
 def with_views(*names: str) -> str:
@@ -435,7 +437,7 @@ WHERE contains(translate(s.summary, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklm
    OR len(list_filter(s.key_topics, lambda t: contains(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                               'abcdefghijklmnopqrstuvwxyz'), 'src1'))) > 0
 ORDER BY c.date DESC NULLS LAST, c.id ASC LIMIT 50"""
-    q["latest_summary"] = w("summ", "versions") + """
+    q["latest_summary"] = w("versions") + """
 SELECT id, conversation_id, summary, to_json(key_topics) AS key_topics, sentiment, outcome,
        summarized_at
 FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id
@@ -504,7 +506,8 @@ FROM sreplies"""
 , fresh AS (
   SELECT (SELECT max(id) FROM summ) + row_number() OVER (ORDER BY conversation_id) AS id, conversation_id,
          text AS summary, key_topics, sentiment, outcome, TIMESTAMP '2020-01-01 00:00:00' AS summarized_at
-  FROM sreplies WHERE {good})
+  FROM (SELECT * FROM sreplies WHERE {good}
+        QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY doc_id DESC) = 1))
 SELECT id, conversation_id, summary, to_json(key_topics) AS key_topics, sentiment, outcome, summarized_at
 FROM (SELECT * FROM fresh UNION ALL
       SELECT * FROM summ WHERE conversation_id NOT IN (SELECT conversation_id FROM fresh))"""
@@ -518,13 +521,24 @@ FROM (SELECT * FROM fresh UNION ALL
     q["one_summary"] = w("summ") + """
 SELECT id, conversation_id, summary, to_json(key_topics) AS key_topics, sentiment, outcome, summarized_at
 FROM summ WHERE conversation_id = 25"""
-    q["embedding_text"] = w("msg", "conv", "summ", "convtext", "embtext") + "SELECT * FROM embtext"
-    q["embed_hashed"] = w("msg", "conv", "summ", "convtext", "embtext", "emb") + f"""
-, tok AS (
-  SELECT conversation_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t FROM embtext
+    q["embedding_text"] = w("msg", "conv", "summ", "embtext") + "SELECT * FROM embtext"
+    q["embed_hashed"] = w("msg", "conv", "summ", "embtext", "emb") + f"""
+, whole AS (
+  SELECT conversation_id, text FROM embtext WHERE conversation_id IN (
+    SELECT conversation_id FROM summ WHERE length(summary) > 0)
+  UNION ALL
+  SELECT conversation_id, '[' || CASE WHEN role = 'user' THEN 'USER' ELSE 'ASSISTANT' END || ']' || chr(10)
+         || coalesce(content, '') || chr(10) FROM msg
+  WHERE conversation_id NOT IN (SELECT conversation_id FROM summ WHERE length(summary) > 0)),
+pieces AS (
+  SELECT conversation_id, row_number() OVER () AS piece, substr(text, CAST(k * 1000 + 1 AS BIGINT), 1000) AS text
+  FROM (SELECT *, unnest(range(greatest((length(text) + 999) // 1000, 1))) AS k FROM whole)
   WHERE conversation_id NOT IN (SELECT conversation_id FROM emb)),
+tok AS (
+  SELECT conversation_id, length(text) AS weight, piece, unnest(regexp_split_to_array(lower(text), '\\s+')) AS t
+  FROM pieces WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 0),
 cnt AS (
-  SELECT conversation_id, {_DIM} AS position, CAST(count(*) AS DOUBLE) AS n FROM tok WHERE t <> '' GROUP BY ALL)
+  SELECT conversation_id, {_DIM} AS position, CAST(sum(weight) AS DOUBLE) AS n FROM tok WHERE t <> '' GROUP BY ALL)
 SELECT conversation_id, 'hashed-64' AS model, CAST(position AS INTEGER) AS position,
        round(n / sqrt(sum(n * n) OVER (PARTITION BY conversation_id)), 4) AS value
 FROM cnt"""
@@ -580,6 +594,7 @@ SELECT conv_id, turn, ts, CAST(ts AS DATE) AS day,
        regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(^|\n)\* ', '\1- ', 'g') AS content
 FROM m"""
     q["csv_file_rows"] = q["csv_history_rows"]
+    q["keyword_search_indexed"] = q["keyword_search"]
     q["note_sections"] = with_views("note_pieces") + """
 SELECT file_path, CAST(k AS INTEGER) AS k, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end",
        CASE WHEN k = 0 THEN NULL WHEN c % 3 = 0 THEN 't' || c ELSE 'Conv ' || c END AS topic
