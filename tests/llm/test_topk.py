@@ -72,3 +72,53 @@ def test_whole_table(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in v.collect()]
     assert sorted(map(tuple, topk.top_k(v).collect())) == brute(rows)
+
+
+def test_scores_beyond_doubles(spark):
+    """Components whose products doubles round: exact 64-bit scores, ties to the smaller id; beyond 64 bits an error."""
+    rng = np.random.default_rng(3)
+    # whole numbers up to 2**28 after the scale, whose products differ in bits that doubles don't have
+    big = [[float(2 * x + 1) / 64 for x in v] for v in rng.integers(-2 ** 27, 2 ** 27, (40, 6))]
+    rows = [(i, v) for i, v in enumerate(big)] + [(100 + i, v) for i, v in enumerate(big[:5])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, query_step=20).collect()
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:7], 1)]
+    assert sorted(map(tuple, got)) == sorted(want) and max(abs(w[3]) for w in want) > 2 ** 53
+    huge = spark.createDataFrame([(0, [3e18]), (1, [3e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(huge)
+
+
+def test_pruning_on_clusters():
+    """On clustered vectors most pairs go at the coarse levels; the result is that of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 64)) * 40 * (0.8 ** np.arange(64))
+    base = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    x = np.floor((centres[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 64))) @ base * 8)
+    ids, seen = np.arange(4000), []
+    q = np.flatnonzero(ids % 20 == 0)
+    turn = topk.energy_order(x[:1000])
+    i, j, s = topk.best_of_block(x[q], ids[q], x, ids, 20, turn, survivors=seen)
+    full = x[q] @ x.T
+    full[np.arange(len(q)), q] = -np.inf
+    for r in range(len(q)):
+        order = np.lexsort((ids, -full[r]))[:20]
+        assert j[i == r].tolist() == order.tolist() and s[i == r].tolist() == full[r][order].astype(int).tolist()
+    shares = [n / all_ for _, n, all_ in seen]
+    assert shares == sorted(shares, reverse=True) and shares[-1] < 0.1
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 64, 100])
+def test_bounds_hold_at_every_level(width):
+    rng = np.random.default_rng(width)
+    q, c = rng.normal(size=(20, width)), rng.normal(size=(30, width))
+    before = None
+    for level in topk.LEVELS:
+        e = topk.edges_of(width, level)
+        assert e[0] == 0 and e[-1] == width and e == sorted(set(e))
+        bound = topk.segment_features(q, level) @ topk.segment_features(c, level).T
+        assert (bound >= q @ c.T - 1e-9).all() and (before is None or (bound <= before + 1e-9).all())
+        before = bound
