@@ -149,20 +149,33 @@ def certified_cutoffs(good: DataFrame, rules=None, alpha: float = 0.004, delta:
             .select(F.explode("judged").alias("s"), "rule", "b").select("s.stratum", "rule", "b.cutoff", "b.k", "b.n"))
 
 
+def independent(good: DataFrame) -> DataFrame:
+    """Good rows as trials of the bound: every text of a stratum and every document counts once.
+
+    Copies of a text fall together, so they say no more than one of them.
+    """
+    figures = [c for c in good.columns if c not in ("doc_id", "stratum", "__k1", "__k2")]
+    texts = good.groupBy("stratum", "__k1", "__k2").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in figures])
+    row = F.min(F.struct("stratum", "__k1", "__k2", *figures)).alias("x")
+    return texts.groupBy("doc_id").agg(row).select("doc_id", "x.*").drop("__k1", "__k2")
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, stratum: str = "lang", rules=None, alpha: float = 0.004,
                   delta: float = 0.05) -> DataFrame:
     """Measures, base_failed, rejected_by (first rule, else null) and kept of every document."""
     rules = rules or RULES
     key = F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("null"))
-    rows = stored(text_measures(docs.withColumn("__stratum", key), ("__stratum",))
+    own = {"__stratum": key, "__k1": F.xxhash64("text"), "__k2": F.xxhash64("text", F.lit(1))}
+    rows = stored(text_measures(docs.withColumns(own), tuple(own))
                   .withColumnRenamed("__stratum", "stratum").withColumn("base_failed", base_failed()), "quality")
     fine = (labels.where("doc_id is not null and quality is not null")
             .groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id"))
-    good = rows.where(~F.col("base_failed")).join(fine, "doc_id", "left_semi")
+    good = independent(rows.where(~F.col("base_failed")).join(fine, "doc_id", "left_semi"))
     cut = stored(certified_cutoffs(good, rules, alpha, delta), "cutoffs")
     wide = cut.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}")
                                         for r in rules])
-    out = rows.join(wide, "stratum", "left")
+    out = rows.drop("__k1", "__k2").join(wide, "stratum", "left")
     hit = F.coalesce(*[F.when(_measure(m) > F.col(f"cut_{r}"), F.lit(r)) for r, (m, _) in rules.items()])
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(hit))
     return out.withColumn("kept", F.col("rejected_by").isNull())

@@ -120,3 +120,21 @@ def test_empty_tables(spark, docs_of):
     assert quality.judge_quality(docs_of([]), lab).collect() == []
     rows = quality.judge_quality(docs_of([(1, "# " * 60, "en"), (2, "a b", None)]), lab).collect()
     assert [r["kept"] for r in sorted(rows)] == [False, False]  # repeats and too short
+
+
+def test_copies_are_one_trial(spark):
+    """100 good documents certify nothing; repeated rows and copies of their texts don't either."""
+    text = lambda i: " ".join(f"word{i}x{j}" for j in range(60))
+    docs = [(i, text(i), "en") for i in range(100)]
+    bad = [(5000, text(9) + " ###" * 30, "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(6000)], "doc_id long, quality int")
+
+    def rejected(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        return {r.doc_id for r in quality.judge_quality(df, labels).where("not kept").collect()}
+
+    assert rejected(docs + bad) == set()
+    assert rejected(docs * 20 + bad) == set()
+    assert rejected([(100 * k + i, t, s) for k in range(20) for i, t, s in docs] + bad) == set()
+    many = [(i, text(i), "en") for i in range(2500)]
+    assert rejected(many + [(9000, *bad[0][1:])]) == {9000}
