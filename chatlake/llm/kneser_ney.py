@@ -44,6 +44,8 @@ from chatlake.llm.common import LOWER, crc32_of_id, n_groups, scratch, stored
 
 #: Entries of a range of words or bigrams, bytes of text counted at a time.
 RANGE, CHUNK = 2_000_000, 8_000_000
+#: Word ids, the start's included, take 32 bits of a bigram key.
+MOST_WORDS = (1 << 32) - 1
 _BLOCK = 1 << 20
 _BASE, _SALT, _STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -132,8 +134,11 @@ class Ranges:
     def part(self, r: int) -> tuple[np.ndarray, ...]:
         if r not in self.open:
             at = f"{self.folder}/{r}"
-            self.open[r] = tuple(np.load(f"{at}.{n}.npy", mmap_mode="r") if os.path.exists(f"{at}.{n}.npy")
-                                 else np.zeros(0, np.uint64) for n in self.names)
+            missing = [n for n in self.names if not os.path.exists(f"{at}.{n}.npy")]
+            if missing:
+                # Every range is written, empty ones as well: a worker that doesn't see one doesn't share the folder.
+                raise FileNotFoundError(f"model range {at} has no {missing} here: is the shared folder mounted?")
+            self.open[r] = tuple(np.load(f"{at}.{n}.npy", mmap_mode="r") for n in self.names)
         return self.open[r]
 
     def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -217,17 +222,24 @@ def count_words(train: DataFrame, folder: str) -> Vocabulary:
     top = F.shiftrightunsigned("h", 64 - bits).cast("int") if bits else F.lit(0)
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, pdf = int(pdf["r"].iloc[0]), pdf[pdf["n"] > 0]
         h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        order, r = np.argsort(h), int(pdf["r"].iloc[0])
+        order = np.argsort(h)
         n = pdf["n"].to_numpy(np.int64)[order]
         _save(f"{folder}/vocab/{r}", hash=h[order], count=n)
         return pd.DataFrame({"r": [r], "words": [len(h)], "total": [int(n.sum())]})
 
-    done = (words.withColumn("r", top).groupBy("r").applyInPandas(write, "r int, words long, total long")
-            .collect())  # one row a range
+    # A row of no word (n = 0; a null hash would turn the others into doubles) for every range, so that ranges
+    # without words are written as well.
+    marks = train.sparkSession.range(1 << bits).select(
+        F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("n"), F.col("id").cast("int").alias("r"))
+    done = (words.select("h", "n", top.alias("r")).unionByName(marks).groupBy("r")
+            .applyInPandas(write, "r int, words long, total long").collect())  # one row a range
     sizes = np.zeros(1 << bits, np.int64)
     for d in done:
         sizes[d["r"]] = d["words"]
+    if sizes.sum() >= MOST_WORDS:
+        raise ValueError(f"{sizes.sum()} different words: the keys hold ids of 32 bits")
     return Vocabulary(folder, bits, np.concatenate([[0], np.cumsum(sizes)]), sum(d["total"] for d in done))
 
 
@@ -285,6 +297,8 @@ def count_bigrams(train: DataFrame, vocab: Vocabulary, sample_docs: int = 2000)
         big = np.flatnonzero(c >= 255)
         _save(f"{folder}/{int(pdf['r'].iloc[0])}", key=k, count=np.minimum(c, 255).astype(np.uint8),
               big=big, bigcount=c[big])
+        if not len(k):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "total", "n1", "n2", "n3", "cont")})
         v, w = (k >> np.uint64(32)).astype(np.int64), (k & np.uint64(0xFFFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         ctx = pd.DataFrame({"id": v[first], "total": np.add.reduceat(c, first)})
@@ -298,7 +312,10 @@ def count_bigrams(train: DataFrame, vocab: Vocabulary, sample_docs: int = 2000)
         return out[["id", "total", "n1", "n2", "n3", "cont"]]
 
     cols = ("total", "n1", "n2", "n3", "cont")
-    sums = (train.select("text").mapInArrow(count, "r int, k binary, n binary").groupBy("r")
+    none = _pack(np.zeros(0, np.uint64))
+    marks = train.sparkSession.range(len(cuts) + 1).select(
+        F.col("id").cast("int").alias("r"), F.lit(none).alias("k"), F.lit(none).alias("n"))
+    sums = (train.select("text").mapInArrow(count, "r int, k binary, n binary").unionByName(marks).groupBy("r")
             .applyInPandas(merge, "id long, " + ", ".join(f"{c} long" for c in cols))
             .groupBy("id").agg(*[F.sum(c).alias(c) for c in cols]))
     return cuts, stored(sums, "wordsums")
@@ -335,7 +352,7 @@ class Model:
         start = self.vocab.size  # the start is the last context
         look = np.append(ids[order], start).astype(np.uint64)
         to = np.append(order, len(known))
-        for r, s in words.split(look):
+        for r, s in words.split(look) if self.vocab.size else ():
             pp, gg, cc = words.part(r)
             if len(pp):
                 at = (look[s] - np.uint64(self.vocab.offsets[r])).astype(np.int64)
@@ -397,10 +414,12 @@ def fit(train: DataFrame, folder: str) -> Model:
         _save(f"{folder}/words/{r}", p=p, g=g, c=c)
         return pd.DataFrame({"r": [r]})
 
-    r = F.lit(0)
-    for cut in offsets[1:-1]:
-        r = r + (F.col("id") >= F.lit(int(cut))).cast("int")
-    sums.where("id >= 0").withColumn("r", r).groupBy("r").applyInPandas(write, "r int").collect()
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        # The last range holds the start, whose id is the vocabulary size.
+        return pd.Series(np.searchsorted(offsets[1:-1], ids.to_numpy(), side="right").astype(np.int32))
+
+    sums.where("id >= 0").withColumn("r", range_of("id")).groupBy("r").applyInPandas(write, "r int").collect()
     return Model(vocab, cuts, d2, rest)
 
 

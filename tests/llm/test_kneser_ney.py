@@ -120,3 +120,26 @@ def test_pack_round_trip():
 
     for x in ([], [0], [255, 256], [1, 70000, 3], [1 << 60, 5]):
         assert kn._unpack(kn._pack(np.array(x, np.uint64))).tolist() == x
+
+
+def test_a_missing_range_is_an_error(spark, sf_docs, tmp_path):
+    import glob
+    import os
+    folder = str(tmp_path / "model")
+    model = kn.fit(sf_docs.select("doc_id", "text"), folder)
+    texts = [b"some words in a text", b""]
+    model.score(texts, model.maps())
+    for kind in ("vocab", "words", "bigrams"):
+        some = glob.glob(f"{folder}/{kind}/*.npy")
+        for f in some:
+            os.rename(f, f + ".gone")
+        with pytest.raises(FileNotFoundError, match="shared folder"):
+            model.score([r.text.encode() for r in sf_docs.where("text is not null").limit(5).collect()], model.maps())
+        for f in some:
+            os.rename(f + ".gone", f)
+
+
+def test_too_many_words_are_an_error(spark, sf_docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(kn, "MOST_WORDS", 100)
+    with pytest.raises(ValueError, match="32 bits"):
+        kn.fit(sf_docs.select("doc_id", "text"), str(tmp_path / "model"))
