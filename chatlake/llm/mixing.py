@@ -4,15 +4,21 @@ Every source has a target number of words: weights share out 100 % of all
 words, no source gives more than ``cap`` times its own words, and what a
 capped source cannot take is shared again by weight.  A document of a source
 whose target is ``r`` times its size is taken ``floor(r)`` times for certain;
-the remaining fraction of the target is a sample of the source.  Its documents
+the remaining words of the target are a sample of the source.  A document's
+inclusion probability is in proportion to its words, ``min(1, c * size)`` with
+``c`` such that the expected words are those that remain: the largest documents
+are certain, and the share of the others is raised until that holds.  Documents
 are ranked by their random odds divided by their inclusion odds (Pareto order
-sampling), and the first of them whose words fill the rest of the target are
-taken once more.  The sample size is fixed in words, so a source misses its
-target by less than one document.
+sampling; certain ones come first), and the first of them whose words fill the
+rest of the target are taken once more.  A document of more than twice the rest
+takes no part: with it the target would be missed by more than without.  The
+sample size is fixed in words, so a source misses its target by at most half a
+document.
 
 Scale: the text is read once for the word count.  Targets are computed on one
-row a source.  The ranks are running sums over a range sort of narrow rows
-(source, score), so a source with a third of all rows spans many tasks.
+row a source, inclusion probabilities on one row a source and size.  The ranks
+are running sums over a range sort of narrow rows (source, score), so a source
+with a third of all rows spans many tasks.
 
 Defined results: null text counts 0 words and is taken 0 words; a null source
 is a source of its own, last in order; documents of no words are never in the
@@ -63,6 +69,27 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), cap: float = 3.0) -> Dat
             .select("source", "source_no", "source_size", "target"))
 
 
+def inclusion_rates(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source_no, rate): a document of a source with ``share`` > 0 is included with probability min(1, rate * size).
+
+    ``sources``: __s, source_no, source_size, target, whole, share.  With the
+    documents above a size certain, the rate of the others is what remains over
+    the sum of their squared sizes; the largest size that is not certain at its
+    own rate gives the rate.
+    """
+    kinds = sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    wanted = sources.where("share > 0").select(
+        "__s", "source_no", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest"))
+    kinds = kinds.join(wanted, F.col("source").eqNullSafe(F.col("__s"))).where(F.col("size") <= 2 * F.col("rest"))
+    larger = Window.partitionBy("source_no").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy("source_no").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rate = ((F.col("rest") - F.coalesce(F.sum(F.col("n") * F.col("size")).over(larger), F.lit(0)))
+            / F.sum(F.col("n") * F.col("size") * F.col("size")).over(others))
+    kinds = kinds.select("source_no", "size", rate.alias("rate"))
+    return (kinds.where(F.col("rate") * F.col("size") <= 1).groupBy("source_no")
+            .agg(F.max_by("rate", "size").alias("rate")))
+
+
 def uniform(*cols, seed: int) -> F.Column:
     """A reproducible number strictly between 0 and 1 from column values."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
@@ -80,13 +107,15 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), cap: float = 3.0, seed: int
     # null source meet through null-safe equality.
     s = src.select(F.col("source").alias("__s"), "source_no", "source_size", "target",
                    F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("share"))
+    s = s.join(inclusion_rates(base, s), "source_no", "left")
     rows = base.join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     u = uniform("doc_id", seed=seed)
-    odds = F.when((F.col("share") > 0) & (F.col("share") < 1),
-                  (u / (1 - u)) / (F.col("share") / (1 - F.col("share")))).otherwise(u)
+    rest = F.col("target") - F.col("whole") * F.col("source_size")
+    chance = F.when(F.col("size") <= 2 * rest, F.col("rate") * F.col("size"))
+    odds = (F.when(chance >= 1, F.lit(0.0)).when(chance > 0, (u / (1 - u)) / (chance / (1 - chance)))
+            .otherwise(F.lit(float("inf"))))
     ranked = with_row_index(rows.withColumn("score", odds), ["score", "doc_id", "size"], name="rank",
                             sums={"words_before": "size"}, partition_by=["source_no"])
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
     extra = F.when((F.col("share") > 0) & (F.col("words_before") + F.col("size") / 2 <= rest), 1).otherwise(0)
     return (ranked.withColumn("copies", (F.col("whole") + extra).cast("long"))
             .select("doc_id", "source", "size", "source_size", "target", "copies",

@@ -128,11 +128,23 @@ rows AS (
          (CAST(CAST('0x' || substr(md5('17:' || coalesce(CAST(b.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE)
           + 5e-1) / 4503599627370496e0 AS u
   FROM base b JOIN src s ON b.source IS NOT DISTINCT FROM s.source),
+sized AS (
+  SELECT no, size, count(*) AS n, any_value(target - floor(ratio) * source_size) AS rest
+  FROM rows WHERE size > 0 AND ratio > floor(ratio) AND size <= 2 * (target - floor(ratio) * source_size)
+  GROUP BY no, size),
+rates AS (
+  SELECT no, arg_max(rate, size) AS rate FROM (
+    SELECT no, size, (rest - coalesce(sum(n * size) OVER (PARTITION BY no ORDER BY size DESC
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / CAST(sum(n * size * size) OVER (PARTITION BY no ORDER BY size) AS DOUBLE) AS rate FROM sized)
+  WHERE rate * size <= 1 GROUP BY no),
 scored AS (
   SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS share,
-         CASE WHEN ratio - floor(ratio) > 0
-              THEN (u / (1 - u)) / ((ratio - floor(ratio)) / (1 - (ratio - floor(ratio)))) ELSE u END AS score
-  FROM rows),
+         CASE WHEN size > 2 * (target - floor(ratio) * source_size) THEN CAST('infinity' AS DOUBLE)
+              WHEN rate * size >= 1 THEN 0e0
+              WHEN rate * size > 0 THEN (u / (1 - u)) / ((rate * size) / (1 - rate * size))
+              ELSE CAST('infinity' AS DOUBLE) END AS score
+  FROM rows LEFT JOIN rates USING (no)),
 ranked AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY no ORDER BY score, doc_id, size
                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS words_before

@@ -66,3 +66,25 @@ def test_empty(docs_of):
 def test_uniform_is_spread(spark):
     u = [r[0] for r in spark.range(2000).select(mixing.uniform("id", seed=3)).collect()]
     assert 0 < min(u) and max(u) < 1 and abs(sum(u) / 2000 - 0.5) < 0.03
+
+
+def test_inclusion_is_in_proportion_to_size(docs_of):
+    """Of many documents of two sizes, the larger are taken as much more often as they are larger; the largest always."""
+    docs = [(i, "w " * (2 if i % 2 else 8), None, "a") for i in range(6000)] + [(9000, "x " * 4000, None, "a")]
+    docs += [(20_000 + i, "y " * 50, None, "b") for i in range(400)]
+    rows = mixing.mix_sources(docs_of(docs)).collect()
+    a = [r for r in rows if r["source"] == "a"]
+    base = min(r["copies"] for r in a)
+    extra = {n: [r["copies"] - base for r in a if r["size"] == n] for n in (2, 8, 4000)}
+    assert extra[4000] == [1]
+    rest = a[0]["target"] - base * a[0]["source_size"] - 4000
+    rate = rest / (3000 * 4 + 3000 * 64)
+    for n in (2, 8):
+        assert abs(sum(extra[n]) / 3000 - rate * n) < 0.03
+    assert abs(sum(r["taken"] for r in a) - a[0]["target"]) <= 4
+
+
+def test_a_document_larger_than_the_rest_is_in_nobodys_way(docs_of):
+    docs = [(i, "w " * 5, None, "a") for i in range(50)] + [(99, "x " * 900, None, "a"), (500, "y " * 860, None, "b")]
+    rows = [r for r in mixing.mix_sources(docs_of(docs)).collect() if r["source"] == "a"]
+    assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 450
