@@ -7,15 +7,21 @@ pieces are sequences of their own.  All other pieces are packed.
 Grouping genetic algorithm: an individual is a list of bins.  Crossover
 injects whole well-filled bins of one parent into the other, removes the bins
 that now hold duplicates, and puts the documents displaced with them back by
-best fit.  Each cell of about ``CELL`` pieces has several islands, which are
+best fit.  Each cell of about ``CELL`` sequences has several islands, which are
 rows of a table; each round evolves all islands in parallel and hands every
 island the elite of its neighbour.
 
+Cells exchange what they pack badly: the least filled sequences of every cell
+(a fiftieth, two at least) are opened, and their pieces are dealt to new cells,
+a fiftieth in number, until one cell holds the rest.  That last cell is searched
+with more generations than the others, as only there a sequence can still be
+saved for the whole corpus.
+
 Scale: texts are tokenised where they are read and never shuffled.  Pieces are
 dealt to cells in order of length, round robin, so every cell has the length
-distribution of the whole corpus and packing cells one by one costs at most
-one part-filled sequence a cell (about a thousandth).  A cell is bounded, so
-is everything a task holds.
+distribution of the whole corpus.  A cell is bounded by its tokens, so is
+everything a task holds; the number of passes grows with the logarithm of the
+corpus, and each pass moves a fiftieth of the pieces of the one before.
 
 Defined results: null text is the empty document, one piece with the end id
 alone; texts are tokenised whole; repeated rows are packed as often as they
@@ -38,8 +44,11 @@ from pyspark.sql import functions as F
 from chatlake.llm.common import n_groups, stored
 from chatlake.plans.numbering import with_row_index
 
-CELL = 1000
+#: Sequences of a cell, and one in so many of them that goes on to the next pass.
+CELL, AGAIN = 500, 50
 ISLANDS, ROUNDS = 3, 2
+#: (population, generations) of cells, and of the last one.
+SEARCH, LAST_SEARCH = (4, 6), (8, 80)
 
 #: Words remembered with their ids by one worker.
 _WORDS = 800_000
@@ -205,8 +214,8 @@ def mutate(bins: Bins, lens: list[int], capacity: int, rng: np.random.Generator)
     return best_fit([b for k, b in enumerate(bins) if k not in gone], items, lens, capacity)
 
 
-def evolve(lens: list[int], elites: list[Bins], capacity: int, seed: int, population: int = 4,
-           generations: int = 6) -> Bins:
+def evolve(lens: list[int], elites: list[Bins], capacity: int, seed: int, population: int = SEARCH[0],
+           generations: int = SEARCH[1]) -> Bins:
     """The best individual of one island; ends early when no better one can exist."""
     rng = np.random.default_rng(seed)
     least = max(-(-sum(lens) // capacity), sum(2 * x > capacity for x in lens))
@@ -240,14 +249,14 @@ def _bins(assignment) -> Bins:
     return out
 
 
-def _evolve_rows(capacity: int, round_no: int):
+def _evolve_rows(capacity: int, round_no: int, search: tuple[int, int]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
                 lens = list(map(int, r.lens))
                 elites = [_bins(e) for e in (r.own, r.guest) if e is not None]
-                best = evolve(lens, elites, capacity, seed=(r.cell * ISLANDS + r.island) * ROUNDS + round_no)
+                best = evolve(lens, elites, capacity, (r.cell * ISLANDS + r.island) * ROUNDS + round_no, *search)
                 out.append((r.cell, r.island, r.lens, _assignment(best, len(lens)), len(best)))
             yield pd.DataFrame(out, columns=["cell", "island", "lens", "own", "bins"])
     return run
@@ -256,7 +265,7 @@ def _evolve_rows(capacity: int, round_no: int):
 _ISLAND = "cell long, island int, lens array<int>, own array<int>, bins int"
 
 
-def pack_cells(cells: DataFrame, capacity: int) -> DataFrame:
+def pack_cells(cells: DataFrame, capacity: int, search: tuple[int, int] = SEARCH) -> DataFrame:
     """(cell, lens) -> (cell, own): the bin of each piece, by rank in its cell."""
     spark = cells.sparkSession
     parts = max(1, spark.sparkContext.defaultParallelism)
@@ -264,7 +273,7 @@ def pack_cells(cells: DataFrame, capacity: int) -> DataFrame:
             .withColumn("own", F.lit(None).cast("array<int>")).withColumn("guest", F.col("own")))
     for k in range(ROUNDS):
         rows = rows.select("cell", "island", "lens", "own", "guest").repartition(parts, "cell", "island")
-        rows = stored(rows.mapInPandas(_evolve_rows(capacity, k), _ISLAND), "islands")
+        rows = stored(rows.mapInPandas(_evolve_rows(capacity, k, search), _ISLAND), "islands")
         if k + 1 < ROUNDS:  # elites move one island on
             guests = rows.select("cell", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"),
                                  F.col("own").alias("guest"))
@@ -281,18 +290,39 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, files
     pieces = stored(token_pieces(docs, capacity, end_id, files), "pieces")
     full = (pieces.where(F.col("length") == capacity)
             .withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")))
-    part = pieces.where(F.col("length") < capacity)
-    cells = n_groups(part.count(), CELL)
-    dealt = with_row_index(part, [F.col("length").desc(), "doc_id", "ids_crc32"], name="no")
-    dealt = dealt.select(*cols, F.pmod("no", F.lit(cells)).alias("cell"),
-                         F.floor(F.col("no") / F.lit(cells)).cast("int").alias("rank"))
-    dealt = stored(dealt, "dealt")
-    # A cell has at most CELL + 1 pieces; ranks follow length, so lens is sorted.
+    todo, done, passes = pieces.where(F.col("length") < capacity), [], 0
+    while True:
+        cells = n_groups(todo.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0], CELL * capacity)
+        placed = _pack_pass(todo.select(*cols), capacity, cells)
+        # Pass, cell and sequence: a cell has at most CELL * capacity pieces.
+        placed = placed.withColumn("sequence_id", -(F.lit(passes << 58) + F.shiftleft("cell", 24) + F.col("bin") + 1))
+        if cells == 1:
+            done.append(placed)
+            break
+        done.append(placed.where(~F.col("again")))
+        todo, passes = placed.where("again"), passes + 1
+    out = full.select(*cols, "sequence_id", "offset")
+    for placed in done:
+        out = out.unionByName(placed.select(*cols, "sequence_id", "offset"))
+    return out
+
+
+def _pack_pass(part: DataFrame, capacity: int, cells: int) -> DataFrame:
+    """Part-filled pieces with their cell, bin, offset, and ``again``: the bin is among the least filled of its cell."""
+    cols = part.columns
+    dealt = with_row_index(part, [F.col("length").desc(), "doc_id", "piece", "ids_crc32"], name="no")
+    dealt = stored(dealt.select(*cols, F.pmod("no", F.lit(cells)).alias("cell"),
+                                F.floor(F.col("no") / F.lit(cells)).cast("int").alias("rank")), "dealt")
+    # Ranks follow length, so lens is sorted.
     lens = (dealt.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("rank", "length"))).alias("x"))
             .select("cell", F.transform("x", lambda s: s["length"].cast("int")).alias("lens")))
-    best = pack_cells(lens, capacity)
-    placed = dealt.join(best, "cell").withColumn("bin", F.get("own", F.col("rank")))
-    before = (Window.partitionBy("cell", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    placed = (placed.withColumn("sequence_id", -(F.col("cell") * (CELL + 2) + F.col("bin") + 1))
-              .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
-    return full.select(*cols, "sequence_id", "offset").unionByName(placed.select(*cols, "sequence_id", "offset"))
+    best = stored(pack_cells(lens, capacity, LAST_SEARCH if cells == 1 else SEARCH), "best")
+    placed = dealt.join(best, "cell").withColumn("bin", F.get("own", F.col("rank"))).drop("own")
+    before = Window.partitionBy("cell", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+    filled = placed.groupBy("cell", "bin").agg(F.sum("length").alias("fill"))
+    by_fill = Window.partitionBy("cell").orderBy("fill", "bin")
+    every = Window.partitionBy("cell")
+    filled = filled.select("cell", "bin", (F.row_number().over(by_fill) <= F.greatest(
+        F.lit(2), F.count(F.lit(1)).over(every) / AGAIN)).alias("again"))
+    return stored(placed.join(filled, ["cell", "bin"]), "placed")

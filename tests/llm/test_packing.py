@@ -80,3 +80,22 @@ def test_evolution_beats_best_fit():
     assert sum(lens) == 40
     best = min(len(packing.evolve(lens, [], 10, seed, population=6, generations=60)) for seed in range(4))
     assert best == 4
+
+
+def test_production_search_beats_best_fit():
+    """Sizes for which best fit takes a bin too many: the parameters of the last cell find the packing without it."""
+    lens = sorted([60, 40, 50, 50, 30, 30, 40, 40, 30, 30] * 3, reverse=True)
+    fit = len(packing.best_fit([], list(range(len(lens))), lens, 100))
+    best = packing.evolve(lens, [], 100, 0, *packing.LAST_SEARCH)
+    guest = packing.evolve(lens, [], 100, 1, *packing.LAST_SEARCH)
+    best = min([best, guest, packing.evolve(lens, [best, guest], 100, 2, *packing.LAST_SEARCH)], key=len)
+    assert sum(lens) == 1200 and fit > 12 and len(best) < fit
+
+
+def test_short_documents_over_many_cells(spark, docs_of, tokenizer, monkeypatch):
+    """Cells of 20 sequences, 3 passes and more: within half a percent of the bound, as one cell is."""
+    monkeypatch.setattr(packing, "CELL", 20)
+    monkeypatch.setattr(packing, "AGAIN", 10)
+    docs = [(i, " ".join(["a"] * (5 + i * 13 % 37))) for i in range(9000)]
+    used, least = check(packing.pack_documents(docs_of(docs)).collect(), docs, tokenizer)
+    assert least > 200 and used <= least + 1
