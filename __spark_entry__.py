@@ -27,7 +27,7 @@ from chatlake import fixtures  # noqa: E402
 from chatlake.dataset import read_table  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
 from chatlake.functions.replies import once, parse_insight, parse_insight_items  # noqa: E402
-from chatlake.operators import browse, derive, stats, summaries, vectors  # noqa: E402
+from chatlake.operators import browse, derive, screens, stats, summaries, vectors  # noqa: E402
 from chatlake.operators import render, store  # noqa: E402
 from chatlake.operators.export import export_conversations  # noqa: E402
 from chatlake.plans.staging import staging_root  # noqa: E402
@@ -250,6 +250,12 @@ QUERIES: dict[str, Callable] = {
     "tag_counts": lambda d, s, p: browse.tag_counts(d.insights, 50),
     "unique_tags": lambda d, s, p: browse.unique_tag_total(d.insights),
     "conversation_preview": lambda d, s, p: browse.conversation_preview(d.messages, 6, 200),
+    # datasets of the detail screens
+    "insight_list": lambda d, s, p: screens.insight_list(d.insights, category="wisdom"),
+    "insight_detail": lambda d, s, p: screens.insight_detail(d.insights, d.messages, d.conversations),
+    "deep_list": lambda d, s, p: screens.deep_list(d.conversations, d.messages),
+    "summary_list": lambda d, s, p: screens.summary_list(d.summaries, d.conversations, d.messages, sentiment="technical"),
+    "conversation_screen": lambda d, s, p: screens.conversation_screen(d.conversations, d.messages, d.summaries, d.insights),
     # summaries
     "sentiment_counts": lambda d, s, p: summaries.sentiment_counts(d.summaries),
     "outcome_counts": lambda d, s, p: summaries.outcome_counts(d.summaries),

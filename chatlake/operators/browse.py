@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatlake.plans.numbering import with_row_index
+
 from chatlake.functions.text import ascii_lower
 
 MESSAGE_COLS = ["id", "conversation_id", "role", "content", "char_start", "char_end", "token_count"]
@@ -214,21 +216,38 @@ def first_message(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").agg(F.min("id").alias("message_id"))
 
 
-def conversation_insights(insights: DataFrame, messages: DataFrame | None,
-                          conversation_id=None) -> DataFrame:
-    """Insights of a conversation (or all), best first, with their rank."""
+def owned_insights(insights: DataFrame, messages: DataFrame | None, conversation_id=None) -> DataFrame:
+    """Insights with the conversation they belong to (through their message, or directly in an export)."""
     if messages is None:
-        ins = insights
+        ins = insights.where("conversation_id is not null")
     else:
         msg = messages.select(F.col("id").alias("message_id"), "conversation_id")
         if conversation_id is not None:
             msg = msg.where(F.col("conversation_id") == conversation_id)
         ins = insights.join(msg, "message_id")
-    if conversation_id is not None:
-        ins = ins.where(F.col("conversation_id") == conversation_id)
-    w = Window.partitionBy("conversation_id").orderBy(F.desc("confidence"), F.asc("id"))
-    return (ins.withColumn("rank", F.row_number().over(w))
-            .orderBy("conversation_id", "rank"))
+    return ins if conversation_id is None else ins.where(F.col("conversation_id") == conversation_id)
+
+
+def top_conversation_insights(owned: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` insights of each conversation: every task passes on at most n rows a conversation."""
+    w = Window.partitionBy("conversation_id").orderBy(F.col("confidence").desc_nulls_last(), F.asc("id"))
+    return owned.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def conversation_insights(insights: DataFrame, messages: DataFrame | None,
+                          conversation_id=None) -> DataFrame:
+    """Insights of a conversation (or all), best first, with their rank.
+
+    Ranks come from a range sort of (conversation, confidence, id), in which a
+    conversation with a tenth of all insights spans several partitions; texts
+    are joined to their rank by id.
+    """
+    ins = owned_insights(insights, messages, conversation_id)
+    keys = with_row_index(ins.select("conversation_id", "confidence", "id"),
+                          [F.col("confidence").desc_nulls_last(), "id"], name="rank", start=1,
+                          partition_by=["conversation_id"])
+    ranks = keys.select("conversation_id", "id", F.col("rank").cast("int").alias("rank"))
+    return ins.join(ranks, ["conversation_id", "id"]).select(*ins.columns, "rank").orderBy("conversation_id", "rank")
 
 
 def tag_counts(insights: DataFrame, limit: int | None = None) -> DataFrame:

@@ -594,6 +594,62 @@ SELECT conv_id, turn, ts, CAST(ts AS DATE) AS day,
        regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), '(^|\n)\* ', '\1- ', 'g') AS content
 FROM m"""
     q["csv_file_rows"] = q["csv_history_rows"]
+    pct = "CAST(round_even(confidence * 100, 0) AS INTEGER)"
+    q["insight_list"] = w("ins") + f"""
+SELECT CAST(rank AS INTEGER) AS rank, id, category, title, {pct} AS percent,
+       CASE WHEN rank <= 5 THEN summary END AS summary, CASE WHEN rank <= 5 THEN to_json(tags) END AS tags
+FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, id) AS rank FROM ins WHERE category = 'wisdom')
+WHERE rank <= 20"""
+    q["insight_detail"] = w("msg", "conv", "ins") + f"""
+SELECT i.id, i.title, i.category, {pct} AS percent, i.summary, to_json(i.tags) AS tags, c.id AS conversation_id,
+       coalesce(nullif(c.topic, ''), 'Unknown') AS conversation_topic,
+       coalesce(CAST(c.date AS VARCHAR), 'Unknown') AS conversation_date,
+       coalesce(nullif(c.model, ''), 'Unknown') AS conversation_model,
+       coalesce(nullif(c.file_path, ''), 'Unknown') AS conversation_file, m.role AS message_role,
+       CASE WHEN length(m.content) > 1500 THEN substr(m.content, 1, 1500) || chr(10) || '... [truncated]'
+            ELSE m.content END AS message_content
+FROM ins i LEFT JOIN msg m ON m.id = i.message_id LEFT JOIN conv c ON c.id = m.conversation_id"""
+    per = """per AS (
+  SELECT conversation_id, count(*) AS n, count(*) FILTER (role = 'user') AS n_user,
+         count(*) FILTER (role = 'assistant') AS n_ai, CAST(sum(token_count) AS BIGINT) AS tokens
+  FROM msg GROUP BY conversation_id)"""
+    q["deep_list"] = w("msg", "conv") + f""", {per}
+SELECT c.id, substr(coalesce(nullif(c.topic, ''), 'Unknown'), 1, 35) AS topic, coalesce(CAST(c.date AS VARCHAR), '') AS date,
+       n AS message_count, n_user AS user_messages, n_ai AS assistant_messages, tokens AS total_tokens
+FROM conv c JOIN per ON per.conversation_id = c.id ORDER BY n DESC, c.id LIMIT 20"""
+    q["summary_list"] = w("msg", "conv", "summ") + f""", {per},
+listed AS (
+  SELECT s.*, c.date, c.topic, per.n, row_number() OVER (ORDER BY c.date DESC NULLS LAST, s.id) AS rank
+  FROM summ s LEFT JOIN conv c ON c.id = s.conversation_id LEFT JOIN per ON per.conversation_id = s.conversation_id
+  WHERE s.sentiment = 'technical')
+SELECT CAST(rank AS INTEGER) AS rank, conversation_id, coalesce(CAST(date AS VARCHAR), '') AS date,
+       substr(coalesce(nullif(topic, ''), 'Untitled'), 1, 30) AS topic, coalesce(sentiment, 'unknown') AS sentiment,
+       coalesce(outcome, 'unknown') AS outcome, nullif(n, 0) AS message_count,
+       CASE WHEN rank <= 5 THEN coalesce(nullif(topic, ''), 'Untitled') END AS whole_topic,
+       CASE WHEN rank <= 5 THEN summary END AS summary, CASE WHEN rank <= 5 THEN to_json(key_topics) END AS key_topics
+FROM listed WHERE rank <= 20"""
+    q["conversation_screen"] = w("msg", "conv", "ins", "summ") + f""", {per},
+owned AS (
+  SELECT m.conversation_id, i.id, i.category, i.title, {pct} AS percent,
+         row_number() OVER (PARTITION BY m.conversation_id ORDER BY i.confidence DESC, i.id) AS rank
+  FROM ins i JOIN msg m ON m.id = i.message_id),
+best AS (
+  SELECT conversation_id, count(*) AS insight_count,
+         to_json(list({{'id': id, 'category': category, 'title': title, 'percent': percent}} ORDER BY rank)
+                 FILTER (rank <= 10)) AS insights
+  FROM owned GROUP BY conversation_id),
+heads AS (
+  SELECT conversation_id, to_json(list({{'label': CASE WHEN role = 'user' THEN 'YOU' ELSE 'AI' END,
+           'text': CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END}} ORDER BY id)) AS preview
+  FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY id) AS no FROM msg) WHERE no <= 6
+  GROUP BY conversation_id)
+SELECT c.id AS conversation_id, coalesce(nullif(c.topic, ''), 'Untitled') AS topic,
+       coalesce(CAST(c.date AS VARCHAR), 'Unknown') AS date, coalesce(nullif(c.model, ''), 'Unknown') AS model,
+       coalesce(nullif(c.file_path, ''), 'Unknown') AS file_path, n AS message_count, n_user AS user_messages,
+       n_ai AS assistant_messages, tokens AS total_tokens, s.summary, to_json(s.key_topics) AS key_topics, s.sentiment,
+       s.outcome, b.insights, coalesce(b.insight_count, 0) AS insight_count, h.preview, greatest(n - 6, 0) AS more_messages
+FROM conv c JOIN per ON per.conversation_id = c.id LEFT JOIN summ s ON s.conversation_id = c.id
+LEFT JOIN best b ON b.conversation_id = c.id LEFT JOIN heads h ON h.conversation_id = c.id"""
     q["keyword_search_indexed"] = q["keyword_search"]
     q["note_sections"] = with_views("note_pieces") + """
 SELECT file_path, CAST(k AS INTEGER) AS k, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end",
