@@ -24,12 +24,13 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from chatlake import fixtures  # noqa: E402
-from chatlake.dataset import read_table  # noqa: E402
+from chatlake.dataset import ChatData, read_table  # noqa: E402
 from chatlake.functions import text as txt  # noqa: E402
 from chatlake.functions.replies import once, parse_insight, parse_insight_items  # noqa: E402
 from chatlake.operators import browse, derive, screens, stats, summaries, vectors  # noqa: E402
 from chatlake.operators import render, store  # noqa: E402
-from chatlake.operators.export import export_conversations  # noqa: E402
+from chatlake.operators.export import export_conversations, export_to_path  # noqa: E402
+from chatlake.operators.ingest import ingest_archive  # noqa: E402
 from chatlake.plans.staging import staging_root  # noqa: E402
 from chatlake.sources import history_csv, org_notes  # noqa: E402
 
@@ -180,6 +181,73 @@ def _note_messages(d, spark, sf_dir):
     return msgs.join(meta, "conversation_id")
 
 
+def _scratch(spark, name):
+    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _note_folder(spark, sf_dir):
+    """The note files of V10 written to a folder, one real file each."""
+    files = fixtures.note_files(fixtures.raw(spark, sf_dir, "conversations"))
+    zero = F.lit(0).cast("long")
+    chunks = files.select(F.regexp_replace("file_path", "^notes/", "").alias("file"), zero.alias("part"), zero.alias("k1"),
+                          zero.alias("k2"), F.col("content").alias("chunk"))
+    folder = _scratch(spark, "notes")
+    render.write_note_files(chunks, folder)
+    return folder
+
+
+def _note_file_messages(d, spark, sf_dir):
+    """``note_messages`` from files on disk."""
+    convs, msgs, _ = org_notes.ingest_notes(spark, _note_folder(spark, sf_dir))
+    name = F.concat(F.lit("notes/"), F.regexp_extract("file_path", "[^/]*$", 0)).alias("file_path")
+    meta = convs.select(F.col("id").alias("conversation_id"), name, "date", "topic", "model", "system_prompt")
+    return msgs.join(meta, "conversation_id")
+
+
+def _ingested_daily(d, spark, sf_dir):
+    """Daily table of an archive that was filled by two calls, the second one finding nothing new."""
+    folder, root = _note_folder(spark, sf_dir), _scratch(spark, "archive")
+    ingest_archive(spark, folder, root)
+    ingest_archive(spark, folder, root)
+    return read_table(spark, root, "daily_stats")
+
+
+def _upsert_embeddings(d, spark, sf_dir):
+    """Vectors after those of odd conversations have been replaced by ones of a later model."""
+    root = _scratch(spark, "embeddings")
+    store.upsert_embeddings(spark, root, d.embeddings)
+    later = d.embeddings.where("conversation_id % 2 = 1").select(
+        "conversation_id", F.slice("embedding", 1, 4).alias("embedding"), F.lit("later").alias("model"), "created_at")
+    store.upsert_embeddings(spark, root, later)
+    return read_table(spark, root, "embeddings").select("conversation_id", "model", "created_at", F.posexplode("embedding")
+                                                        .alias("position", "value"))
+
+
+def _decoded_embeddings(d, spark, sf_dir):
+    """Vectors as stored bytes (little-endian float32) and back."""
+    stored = d.embeddings.select("conversation_id", vectors.encode_float32(F.col("embedding")).alias("blob"))
+    return stored.select("conversation_id", F.octet_length("blob").cast("long").alias("n_bytes"),
+                         F.posexplode(vectors.decode_float32(F.col("blob"))).alias("position", "value"))
+
+
+def _request_files(d, spark, sf_dir):
+    """Request lines written as JSON files and read back."""
+    path = _scratch(spark, "requests")
+    derive.write_requests(derive.summary_requests(d.conversations, d.messages, d.summaries, 4), path)
+    lines = spark.read.schema("custom_id string, params struct<model:string,max_tokens:long,"
+                              "messages:array<struct<role:string,content:string>>>").json(path)
+    return lines.select("custom_id", "params.model", "params.max_tokens", F.col("params.messages")[0]["content"].alias("prompt"))
+
+
+def _export_deep(d, spark, sf_dir):
+    """Deepest conversations of a written export, which has no messages."""
+    path = _scratch(spark, "export")
+    export_to_path(d, path)
+    out = ChatData.read(spark, path)
+    assert out.is_export
+    return browse.deep_conversations(out.conversations, out.messages, 20)
+
+
 def _rendered_offsets(d, spark, sf_dir):
     """Bounds of day files that hold all conversations of a day."""
     topics = d.conversations.select(F.col("id").alias("conversation_id"), "file_path", "topic")
@@ -299,11 +367,19 @@ QUERIES: dict[str, Callable] = {
     "note_sections": lambda d, s, p: org_notes.note_sections(_notes(s, p)),
     "note_bounds": lambda d, s, p: org_notes.note_bounds(_notes(s, p)),
     "note_messages": _note_messages,
+    "note_file_messages": _note_file_messages,
+    "ingested_daily": _ingested_daily,
     "note_rejects": lambda d, s, p: org_notes.ingest_texts(fixtures.note_files(fixtures.raw(s, p, "conversations")))[2],
     "markdown_to_org": lambda d, s, p: fixtures.markdown(fixtures.raw(s, p, "conversations")).select(
         "id", render.markdown_to_org(F.col("text")).alias("text")),
     "rendered_offsets": _rendered_offsets,
     "notes_roundtrip": _notes_roundtrip,
+    # stored forms
+    "upsert_embeddings": _upsert_embeddings,
+    "decoded_embeddings": _decoded_embeddings,
+    "request_files": _request_files,
+    "export_deep": _export_deep,
+    "one_conversation": lambda d, s, p: browse.conversation_detail(d.conversations, d.messages, 3),
     # vectors
     "semantic_search": _semantic,
     "semantic_search_text": _search_text,

@@ -172,6 +172,14 @@ def embed_conversations(conversations: DataFrame, messages: DataFrame | None,
     return rows, counters
 
 
+def encode_float32(vector_col: F.Column) -> F.Column:
+    """array<float> -> raw little-endian float32 bytes."""
+    @F.pandas_udf(T.BinaryType())
+    def enc(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
+    return enc(vector_col)
+
+
 def decode_float32(blob_col: F.Column) -> F.Column:
     """Raw little-endian float32 bytes (BLOB) -> array<float>."""
     @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -683,6 +683,29 @@ SELECT id, conversation_id, role, content, CAST(a AS INTEGER) AS char_start, CAS
        CASE WHEN k = 0 THEN NULL WHEN c % 3 = 0 THEN 't' || c ELSE 'Conv ' || c END AS topic,
        CASE WHEN k = 0 OR c % 2 = 0 THEN 'm-1' END AS model, CASE WHEN k > 0 AND c % 2 = 1 THEN 'be brief' END AS system_prompt
 FROM kept"""
+    q["note_file_messages"] = q["note_messages"]
+    q["ingested_daily"] = q["note_messages"].replace("SELECT id, conversation_id, role, content, CAST(a AS INTEGER)",
+                                                     "SELECT id, conversation_id, role, content, c, k, CAST(a AS INTEGER)")
+    head, tail = q["ingested_daily"].rsplit("SELECT id, conversation_id, role", 1)
+    q["ingested_daily"] = head.rstrip() + """,
+rows AS (SELECT id, conversation_id, role""" + tail + """)
+SELECT date, count(*) AS total_messages, count(*) FILTER (role = 'user') AS user_messages,
+       count(*) FILTER (role <> 'user') AS assistant_messages,
+       CAST(coalesce(sum(length(content) // 4) FILTER (role = 'user'), 0) AS BIGINT) AS user_tokens,
+       CAST(coalesce(sum(length(content) // 4) FILTER (role <> 'user'), 0) AS BIGINT) AS assistant_tokens,
+       count(DISTINCT conversation_id) AS conversation_count
+FROM rows WHERE date IS NOT NULL GROUP BY date"""
+    q["upsert_embeddings"] = w("emb") + """
+SELECT conversation_id, CASE WHEN conversation_id % 2 = 1 THEN 'later' ELSE 'fixture' END AS model,
+       TIMESTAMP '2024-03-01 00:00:00' AS created_at, CAST(i AS INTEGER) AS position, CAST(embedding[i + 1] AS FLOAT) AS value
+FROM (SELECT *, unnest(range(CASE WHEN conversation_id % 2 = 1 THEN 4 ELSE len(embedding) END)) AS i FROM emb)"""
+    q["decoded_embeddings"] = w("emb") + """
+SELECT conversation_id, 4 * len(embedding) AS n_bytes, CAST(i AS INTEGER) AS position, CAST(embedding[i + 1] AS FLOAT) AS value
+FROM (SELECT *, unnest(range(len(embedding))) AS i FROM emb)"""
+    q["request_files"] = q["summary_requests"]
+    q["export_deep"] = "SELECT id, topic, date, model, file_path, message_count, user_messages, assistant_messages, " \
+        "total_tokens FROM (" + q["deep_conversations"] + ")"
+    q["one_conversation"] = "SELECT * FROM (" + q["conversation_detail"] + ") WHERE id = 3"
     q["markdown_to_org"] = r"""WITH md AS (
   SELECT conv_id * 100 + turn + 1 AS id,
          repeat('#', CAST(turn % 7 AS INTEGER)) || ' Head **b** `c`' || chr(10) || text || chr(10) || '```py' || chr(10)
