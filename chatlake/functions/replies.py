@@ -48,26 +48,25 @@ def once(df: DataFrame, name: str, expr: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(expr)).alias(name))
 
 
-def with_json(df: DataFrame, open_ch: str, close_ch: str) -> DataFrame:
-    """Adds ``json``: the one strict JSON value in ``reply`` that opens with ``open_ch``.
+def with_json(df: DataFrame, open_ch: str, close_ch: str, shape: str = "string") -> DataFrame:
+    """Adds ``json``: the one strict JSON value in ``reply`` that opens with ``open_ch``, read as ``shape``.
 
     NULL when the cut text is not exactly one such value: the text is parsed as
     the only element of an array, so text after it, a second value or single
     quotes make it invalid.
     """
     df = once(df, "_s", strip_ws(F.col("reply")))
-    df = once(df, "_u", unfence(F.col("_s")))
-    df = once(df, "_t", cut_between(F.col("_u"), open_ch, close_ch))
-    df = once(df, "_v", F.from_json(F.concat(F.lit("["), F.col("_t"), F.lit("]")), "array<string>",
+    df = once(df, "_u", unfence(F.col("_s"))).drop("_s")
+    df = once(df, "_t", cut_between(F.col("_u"), open_ch, close_ch)).drop("_u")
+    df = once(df, "_v", F.from_json(F.concat(F.lit("["), F.col("_t"), F.lit("]")), f"array<{shape}>",
                                     {"allowSingleQuotes": "false"}))
     one = (F.size("_v") == 1) & F.startswith(F.ltrim(F.col("_t")), F.lit(open_ch))
-    return df.withColumn("json", F.when(one, F.get("_v", F.lit(0)))).drop("_s", "_u", "_t", "_v")
+    return df.withColumn("json", F.when(one, F.get("_v", F.lit(0)))).drop("_t", "_v")
 
 
 def parse_insight_items(df: DataFrame) -> DataFrame:
     """Adds ``items``: the array's elements as JSON texts; NULL if there is no array."""
-    items = F.from_json("json", "array<string>", {"allowSingleQuotes": "false"})
-    return once(with_json(df, "[", "]"), "items", items).drop("json")
+    return with_json(df, "[", "]", "array<string>").withColumnRenamed("json", "items")
 
 
 def parse_insight(item: Column) -> Column:

@@ -47,16 +47,18 @@ def messages_with_conversation(messages: DataFrame, conversations: DataFrame,
 
 
 def insights_filtered(insights: DataFrame, tag: str | None = None, category: str | None = None,
-                      ascending: bool = False, limit: int | None = None) -> DataFrame:
+                      ascending: bool = False, limit: int | None = None, wildcards: bool = False) -> DataFrame:
     """Insights by optional tag and category, ordered by confidence.
 
     A tag matches an element of ``tags`` with ASCII-only case folding, as
-    SQLite's LIKE folds case; ties in confidence are broken by id.
+    SQLite's LIKE folds case; with ``wildcards`` the user's ``%`` and ``_`` are
+    LIKE's, within one tag.  Ties in confidence are broken by id.
     """
     out = insights
     if tag:
-        needle = F.lit(tag)
-        out = out.where(F.exists("tags", lambda t: ascii_lower(t) == ascii_lower(needle)))
+        needle = ascii_lower(F.lit(tag))
+        out = out.where(F.exists("tags", lambda t: F.like(ascii_lower(t), needle) if wildcards
+                                 else ascii_lower(t) == needle))
     if category:
         out = out.where(F.col("category") == category)
     conf = F.asc("confidence") if ascending else F.desc("confidence")

@@ -230,13 +230,21 @@ def assign_bounds(bounds: DataFrame, spans: DataFrame) -> DataFrame:
         F.sequence("low", "high"))).alias("k"), "i", "s", "e")
 
 
-def note_bounds(notes: DataFrame) -> DataFrame:
-    """(file_path, k, i, s, e): the bounds of each section, relative to its start, i in the order of the drawer."""
-    spans = section_spans(notes)
+def note_bounds(notes: DataFrame, strict_offsets: bool = True) -> DataFrame:
+    """(file_path, k, i, s, e): the bounds of each section, relative to its start, i in the order of the drawer.
+
+    ``strict_offsets``: 1-based bounds are compared with 0-based sections as
+    they are, as the format's parser does, so a response that ends where the
+    next headline starts, or at the end of the file, is dropped; False takes
+    one off the bounds first and keeps it.
+    """
+    spans, shift = section_spans(notes), F.lit(0 if strict_offsets else 1)
     bounds = file_facts(notes).where(~F.col("bad_date")).select(
-        "file_path", "length", F.posexplode("bounds").alias("i", "b")).select("file_path", "length", "i", "b.s", "b.e")
+        "file_path", "length", F.posexplode("bounds").alias("i", "b")).select(
+        "file_path", "length", "i", (F.col("b.s") - shift).alias("s"), (F.col("b.e") - shift).alias("e"))
+    start = F.col("start") - shift
     return assign_bounds(bounds, spans).join(spans, ["file_path", "k"]).select(
-        "file_path", "k", "i", (F.col("s") - F.col("start")).alias("s"), (F.col("e") - F.col("start")).alias("e"))
+        "file_path", "k", "i", (F.col("s") - start).alias("s"), (F.col("e") - start).alias("e"))
 
 
 def section_topic(text: Column, k: Column) -> Column:
@@ -252,13 +260,13 @@ def note_sections(notes: DataFrame) -> DataFrame:
         section_spans(notes), ["file_path", "k"]).select("file_path", "k", "start", "end", "topic")
 
 
-def parse_notes(notes: DataFrame) -> DataFrame:
+def parse_notes(notes: DataFrame, strict_offsets: bool = True) -> DataFrame:
     """One row per conversation (a section, or a file without sections) that has bounds and messages.
 
     file_path, k (order in the file), date, topic, model, system_prompt, messages.
     """
     sb = F.array_sort(F.collect_list(F.struct((F.col("s") - 1).alias("s"), "i", (F.col("e") - 1).alias("e"))))
-    cut_at = note_bounds(notes).groupBy("file_path", "k").agg(sb.alias("sb"))
+    cut_at = note_bounds(notes, strict_offsets).groupBy("file_path", "k").agg(sb.alias("sb"))
     unit = notes.select("file_path", "k", "text", "n").join(cut_at, ["file_path", "k"])
     unit = unit.select("file_path", "k", section_topic(F.col("text"), F.col("k")).alias("topic"),
                        unit_messages(F.col("text"), F.col("sb"), F.col("n")).alias("messages"))
@@ -267,14 +275,14 @@ def parse_notes(notes: DataFrame) -> DataFrame:
         "file_path", "k", "date", "topic", "model", "system_prompt", "messages")
 
 
-def parse_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_files(files: DataFrame, strict_offsets: bool = True) -> tuple[DataFrame, DataFrame]:
     """(``parse_notes`` rows, one row per file with file_path, date and bad_date)."""
     notes = stage_notes(files)
-    return parse_notes(notes), file_facts(notes).select("file_path", "date", "bad_date")
+    return parse_notes(notes, strict_offsets), file_facts(notes).select("file_path", "date", "bad_date")
 
 
 def ingest_notes(spark: SparkSession, directory: str, first_conversation_id: int = 1,
-                 first_message_id: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+                 first_message_id: int = 1, strict_offsets: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """S1+S2+W4: parse a folder; returns (conversations, messages, rejected files with a reason).
 
     Ids follow file-name order, then section order, then message order, and
@@ -282,20 +290,21 @@ def ingest_notes(spark: SparkSession, directory: str, first_conversation_id: int
     append, as AUTOINCREMENT would).
     """
     scanned = scan_note_files(spark, directory)
-    convs, messages, rejected = ingest_texts(texts_of(scanned), first_conversation_id, first_message_id)
+    convs, messages, rejected = ingest_texts(texts_of(scanned), first_conversation_id, first_message_id,
+                                             strict_offsets)
     unread = scanned.where("reason is not null").select("file_path", "reason")
     return convs, messages, unread.unionByName(rejected)
 
 
-def ingest_texts(files: DataFrame, first_conversation_id: int = 1,
-                 first_message_id: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest_texts(files: DataFrame, first_conversation_id: int = 1, first_message_id: int = 1,
+                 strict_offsets: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """S2+W4 over a frame of (file_path, content) note texts; see ``ingest_notes``.
 
     Numbering is one distributed ``with_row_index`` over keys and message
     counts in (file name, unit) order, with the running message count as the
     message id base; the ids are joined back to the texts by key.
     """
-    units, info = parse_files(files)
+    units, info = parse_files(files, strict_offsets)
     rejected = info.where("bad_date").select("file_path", F.lit(BAD_DATE).alias("reason"))
     keys = units.select("file_path", "k", "date", "topic", "model", "system_prompt",
                         F.size("messages").cast("long").alias("_n"))

@@ -465,3 +465,14 @@ def test_drawer_lengths(spark):
         want[f"f{f}"] = h
     got = render.drawer_lengths(spark.createDataFrame(rows, "file string, s long, e long")).collect()
     assert {r.file: r.h for r in got} == want
+
+
+def test_offsets_that_are_not_strict(spark, note_dir):
+    """Responses flush with the next headline or the end of the file are kept; nothing else changes."""
+    _, strict, _ = O.ingest_notes(spark, note_dir)
+    _, loose, _ = O.ingest_notes(spark, note_dir, strict_offsets=False)
+    said = lambda m: [r.content for r in m.where("role = 'assistant'").orderBy("id").collect()]
+    assert [t for t in said(loose) if t in ("r1", "last answer at the end")] == ["r1", "last answer at the end"]
+    assert [t for t in said(loose) if t not in ("r1", "last answer at the end")] == said(strict)
+    again = [r.content for r in loose.where("role = 'user'").collect()]
+    assert "q3" in again and "q3\nlast answer at the end" not in again

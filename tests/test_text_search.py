@@ -132,3 +132,12 @@ def test_malformed_result_lines(spark, tmp_path):
     _, rejects, counters = derive.load_insights(results, None)
     assert [r.reason for r in rejects.collect()].count("malformed line") == 2
     assert counters.first().errors == 4
+
+
+def test_tag_wildcards(spark):
+    from chatlake.operators import browse
+    rows = spark.createDataFrame([(1, ["Alpha", "b"], 0.5), (2, ["a%b"], 0.4), (3, None, 0.3), (4, ["beta", "ALP"], 0.2)],
+                                 "id long, tags array<string>, confidence double")
+    ids = lambda **k: [r.id for r in browse.insights_filtered(rows, **k).collect()]
+    assert ids(tag="alp%") == [] and ids(tag="alp%", wildcards=True) == [1, 4] and ids(tag="A%B") == [2]
+    assert ids(tag="a_b", wildcards=True) == [2] and ids(tag="_", wildcards=True) == [1]
