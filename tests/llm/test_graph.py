@@ -2,6 +2,7 @@
 
 import random
 
+from chatlake.llm import graph
 from chatlake.llm.graph import connected_components
 
 
@@ -29,3 +30,25 @@ def test_components(spark):
 
 def test_no_links(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_hubs_go_through_the_broadcast(spark, monkeypatch):
+    """Stars, chains of stars and a clique, with every node of three links a hub."""
+    monkeypatch.setattr(graph, "HUB", 2)
+    rng = random.Random(3)
+    links = [(0, i) for i in range(1, 60)] + [(1000, i) for i in range(900, 960)] + [(59, 900)]
+    links += [(2000 + i, 2000 + j) for i in range(8) for j in range(i)] + [(3000 + i, 3001 + i) for i in range(40)]
+    links += [(rng.randrange(4000, 4100), rng.randrange(4000, 4100)) for _ in range(90)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    want = {(x, find(x)) for x in parent if find(x) != x}
+    got = graph.connected_components(spark.createDataFrame(links, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == want
