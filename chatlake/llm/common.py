@@ -46,6 +46,23 @@ def n_groups(rows: int, per_group: int, at_least: int = 1) -> int:
     return max(at_least, math.ceil(rows / per_group))
 
 
+#: Rows of a key that make it a hub, and most hubs of a join.
+HUB_ROWS, HUBS = 2_000, 5_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``side``, which has few rows a key, whatever the number of rows of a key.
+
+    Keys with very many rows would meet in one task; their part of ``side`` is
+    broadcast instead.  There are at most ``HUBS`` such keys, as each has at
+    least that part of all rows.  Keys are never null.
+    """
+    many = max(HUB_ROWS, rows.count() // HUBS)
+    hubs = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > many).select(*on)
+    told = rows.join(F.broadcast(side.join(hubs, on, "left_semi")), on)
+    return told.unionByName(rows.join(F.broadcast(hubs), on, "left_anti").join(side, on))
+
+
 def crc32_of_id(col) -> F.Column:
     """crc32 of a document id written as decimal text."""
     return F.crc32(F.col(col).cast("string").cast("binary"))

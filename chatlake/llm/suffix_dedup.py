@@ -25,7 +25,8 @@ anywhere else, in the same text or another one.
    in two shards repeat as well.
 5. Repeated windows go back to the documents that hold the fragment, as ranges.
 
-Scale: only keys travel for text that doesn't repeat.  Texts are shuffled
+Scale: only keys travel for text that doesn't repeat.  Keys and fragments with
+very many rows are looked up by broadcasts of bounded size.  Texts are shuffled
 twice, to cut their fragments and to remove their spans.  Shards hold about
 ``SHARD_BYTES``; a merge range holds about ``MERGE`` windows.  Rows are known
 by 128 bits of id and text, so repeated rows need no numbering.
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.llm.common import n_groups, stored
+from chatlake.llm.common import n_groups, spread_join, stored
 
 #: Strings whose hashes key the windows have ``length // GRAM_SHARE`` bytes.
 GRAM_SHARE = 4
@@ -246,13 +247,13 @@ def _intervals(mask: np.ndarray, start: np.ndarray, owner: np.ndarray) -> tuple[
     return owner[first], first - start[owner[first]], last - start[owner[first]]
 
 
+_MARK = np.dtype([("x", "<u8"), ("y", "<u8"), ("f1", "<i8"), ("f2", "<i8"), ("at", "<i4")])
 _FOUND = "f1 long, f2 long, first int, last int, h long, slice int, marks binary"
 
 
 def _shard(length: int, slices: int):
     """Repeated windows of a shard, and for keys in several shards their fingerprints."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "f1", "f2"])
+    def compared(pdf: pd.DataFrame) -> list[pd.DataFrame]:
         a, start, owner, left = _layout([bytes(f) for f in pdf["frag"]])
         f1, f2, hot = pdf["f1"].to_numpy(), pdf["f2"].to_numpy(), pdf["hot"].to_numpy()
         whole = pdf["n"].to_numpy() > 1
@@ -261,15 +262,26 @@ def _shard(length: int, slices: int):
         out = [pd.DataFrame({"f1": f1[own], "f2": f2[own], "first": first, "last": last})]
         if hot.any():
             at = np.flatnonzero(hot[owner] & (left >= length))
-            keys = np.zeros(len(at), [("x", "<u8"), ("y", "<u8"), ("f1", "<i8"), ("f2", "<i8"), ("at", "<i4")])
+            keys = np.zeros(len(at), _MARK)
             keys["x"], keys["y"] = (string_hashes(a, length, b)[at] for b in _BASES)
             keys["f1"], keys["f2"], keys["at"] = f1[owner[at]], f2[owner[at]], at - start[owner[at]]
             h, part = pdf["h"].to_numpy()[owner[at]], (keys["x"] >> np.uint64(32)).astype(np.int64) % slices
-            for key in np.unique(h):
-                for s in range(slices):
-                    some = np.sort(keys[(h == key) & (part == s)], order=["x", "y"])
-                    if len(some):
-                        out.append(pd.DataFrame({"h": [key], "slice": [s], "marks": [some.tobytes()]}))
+            # Sorted once; every run of one key and slice is then a sorted list of fingerprints.
+            order = np.lexsort((keys["y"], keys["x"], part, h))
+            keys, h, part = keys[order], h[order], part[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (part[1:] != part[:-1])]))
+            runs = [keys[i:j].tobytes() for i, j in zip(new, np.append(new[1:], len(keys)))]
+            out.append(pd.DataFrame({"h": h[new], "slice": part[new], "marks": runs}))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "f1", "f2"])
+        # A key whose only fragment occurs several times: all of its windows repeat, and nothing is left to compare.
+        alone = (~pdf["h"].duplicated(keep=False) & (pdf["n"] > 1) & ~pdf["hot"]).to_numpy()
+        copies, pdf = pdf[alone], pdf[~alone]
+        out = [pd.DataFrame({"f1": copies["f1"], "f2": copies["f2"], "first": 0, "last": copies["frag"].map(len) - length})]
+        if len(pdf):
+            out += compared(pdf)
         cols = [c.split()[0] for c in _FOUND.split(", ")]
         # Nullable integers before joining: 64-bit keys don't survive as doubles.
         whole_numbers = {c: "Int64" for c in cols if c != "marks"}
@@ -278,9 +290,6 @@ def _shard(length: int, slices: int):
     return run
 
 
-_MARK = np.dtype([("x", "<u8"), ("y", "<u8"), ("f1", "<i8"), ("f2", "<i8"), ("at", "<i4")])
-
-
 def _find(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Binary search of sorted fingerprints ``y`` in sorted ``x``: places and hits."""
     xs, ys = ((np.stack([v["x"], v["y"]], axis=1).astype(">u8")).view("S16").reshape(-1) for v in (x, y))
@@ -365,9 +374,9 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                     names=["r1", "r2", "first", "last", "h", "flag"])
 
     runs = stored(rows.mapInArrow(cut, "r1 long, r2 long, first int, last int, h long, flag boolean"), "fragments")
-    again = (runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("flag").alias("flag"))
-             .where("n > 1 or flag").select("h"))
-    wanted = (runs.join(again, "h").groupBy("r1", "r2")
+    again = stored(runs.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("flag").alias("flag"))
+                   .where("n > 1 or flag").select("h"), "again")
+    wanted = (spread_join(runs, again, ["h"]).groupBy("r1", "r2")
               .agg(F.collect_set(F.struct("first", "last", "h")).alias("wanted")))  # within one text
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,7 +416,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     marks = (found.where("marks is not null").groupBy("h", "slice")
              .applyInPandas(_merge_frame, "f1 long, f2 long, first int, last int"))
     hits = found.where("marks is null").select("f1", "f2", "first", "last").unionByName(marks)
-    return (held.select("r1", "r2", "at", "f1", "f2").join(hits, ["f1", "f2"])
+    return (spread_join(held.select("r1", "r2", "at", "f1", "f2"), stored(hits, "hits"), ["f1", "f2"])
             .groupBy("r1", "r2").agg(F.collect_set(F.struct(
                 (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"))).alias("spans")))
 

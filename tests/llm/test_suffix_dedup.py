@@ -90,6 +90,14 @@ def test_length_400_text_that_overlaps_its_own_copy(docs_of):
     assert {r[0]: r[2] for r in rows}[0] == 500
 
 
+def test_hubs(docs_of, monkeypatch):
+    """Every key and fragment with three rows goes through the broadcasts."""
+    from chatlake.llm import common
+    monkeypatch.setattr(common, "HUB_ROWS", 2)
+    docs = corpus(21) + [(500 + i, "one of very many copies of a text, the same in all") for i in range(40)]
+    assert got(sd.remove_repeats(docs_of(docs), 24)) == brute(docs, 24)
+
+
 def test_long_texts_are_cut_in_slices(docs_of, monkeypatch):
     monkeypatch.setattr(sd, "_SLICE", 100)
     docs = [(i, t) for i, (_, t) in enumerate(corpus(5))] + [(900, "".join(t or "" for _, t in corpus(5)))]
