@@ -231,16 +231,19 @@ def write_note_files(chunks: DataFrame, out_dir: str, name_col: str = "file") ->
                 stream.close()
                 filesystem.create_dir(f"{root}/{current}".rpartition("/")[0], recursive=True)
                 filesystem.move(tmp, f"{root}/{current}")
-        for r in rows:
-            if r[name_col] != current:
-                close()
-                current = r[name_col]
-                count += 1
-                tmp = f"{tmp_dir}/{count}"
-                stream = filesystem.open_output_stream(tmp)
-            stream.write(r["chunk"].encode("utf-8"))
-        close()
-        filesystem.delete_dir(tmp_dir)
+        try:
+            for r in rows:
+                if r[name_col] != current:
+                    close()
+                    current = r[name_col]
+                    count += 1
+                    tmp = f"{tmp_dir}/{count}"
+                    stream = filesystem.open_output_stream(tmp)
+                stream.write(r["chunk"].encode("utf-8"))
+            close()
+        finally:
+            # A failed task leaves nothing behind; its retry starts anew.
+            filesystem.delete_dir(tmp_dir)
 
     (chunks.repartition(name_col)
      .sortWithinPartitions(name_col, "part", "k1", "k2")
