@@ -28,6 +28,7 @@ from chatlake.functions.replies import once, parse_insight, parse_insight_items,
 from chatlake.functions.text import strip_ws
 from chatlake.operators import browse
 from chatlake.plans.numbering import with_row_index
+from chatlake.plans.staging import staged
 
 CHUNK = 4096
 MIN_TEXT = 200            # shortest conversation text sent to a model
@@ -208,9 +209,10 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
                     F.lit("missing field"))
               .when(~cat.isin(*schemas.CATEGORIES), F.lit("bad category"))
               .when(conf.isNull(), F.lit("bad confidence")))
-    staged = items.select("conversation_id", "reply", "pos", "item", reason.alias("reason"),
-                          conf.alias("confidence"))
-    good = staged.where(F.col("reason").isNull())
+    # Parsed once for rows, rejects and counters; replies are kept only where they are rejected.
+    items = staged(items.select("conversation_id", "reply", "pos", "item", reason.alias("reason"), conf.alias("confidence"))
+                   .withColumn("reply", F.when(F.col("reason").isNotNull(), F.col("reply"))), "insights")
+    good = items.where(F.col("reason").isNull())
     if messages is not None:
         good = good.join(browse.first_message(messages), "conversation_id", "left")
     else:
@@ -223,11 +225,11 @@ def load_insights(results: DataFrame, messages: DataFrame | None,
         F.coalesce(F.col("item.tags"), F.array().cast("array<string>")).alias("tags"),
         "confidence", ts.alias("extracted_at"))
     passed_over = ("no text", "empty array")
-    rejects = staged.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over)) \
+    rejects = items.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over)) \
         .select("conversation_id", "pos", "reason", "reply").unionByName(
             _malformed(r).withColumn("pos", F.lit(None).cast("int")))
     whole = ("bad custom_id", "not a JSON array")
-    per_item = staged.agg(
+    per_item = items.agg(
         F.count_if(F.col("reason").isNull()).alias("loaded"),
         F.count_if(F.col("reason").isin(*whole)).alias("unread"),
         F.count_if(F.col("reason").isNotNull() & ~F.col("reason").isin(*passed_over, *whole)).alias("rejected"))
@@ -257,6 +259,11 @@ def load_summaries(results: DataFrame, summarized_at: str | None = None
     parsed = parse_summary_object(lines.where(F.col("type") == "succeeded"))
     no_text = F.col("reply").isNull()
     bad = ~no_text & (F.col("o").isNull() | F.col("conversation_id").isNull())
+    # Parsed once for rows, rejects and counters; replies are kept only where they are rejected.
+    parsed = staged(parsed.select(*[c for c in (LINE,) if c in lines.columns], "conversation_id", "o",
+                                  no_text.alias("no_text"), bad.alias("bad"), F.when(bad, F.col("reply")).alias("reply")),
+                    "summaries")
+    no_text, bad = F.col("no_text"), F.col("bad")
     ts = F.current_timestamp() if summarized_at is None else F.lit(summarized_at).cast("timestamp")
     rows = parsed.where(~no_text & ~bad).select(
         F.lit(None).cast("long").alias("id"), "conversation_id",

@@ -342,3 +342,12 @@ def test_vectors_of_other_widths_have_no_score(spark):
     assert round(got[5], 6) == 0.707107
     blob = spark.createDataFrame([(bytearray(b"\x00\x00\x80?\x00\x00\x00@"),), (None,)], "b binary")
     assert [r[0] for r in blob.select(vectors.decode_float32(F.col("b"))).collect()] == [[1.0, 2.0], None]
+
+
+def test_staged_tables_can_be_cleaned_up(spark, tmp_path, monkeypatch):
+    from chatlake.plans import staging
+    monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path / "staged"))
+    rows = staging.staged(spark.range(5), "numbers")
+    assert rows.count() == 5 and len(os.listdir(tmp_path / "staged")) == 1
+    assert staging.clean_up(spark) and not (tmp_path / "staged").exists()
+    assert not staging.clean_up(spark)
