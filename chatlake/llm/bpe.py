@@ -53,7 +53,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 _BLANK = " \t\n\x0b\x0c\r"
 _SIMPLE = re.compile(f"[!-~{_LATIN}{_BLANK}]*")
-_ODD_CHUNK = re.compile(f"([^{_BLANK}]*[^!-~{_LATIN}{_BLANK}][^{_BLANK}]*)")
+_BLANKS = re.compile(f"[{_BLANK}]+")
 _CUT = re.compile(PATTERN.replace(r"\p{L}", "a-zà-öø-ſß").replace(r"\p{N}", "0-9").replace(r"\s", _BLANK))
 
 
@@ -130,9 +130,9 @@ class PrefixBpe:
         # A symbol per byte character, and one per byte character that ends its word.
         plain = sorted((c for c in vocab if len(c) == 1), key=vocab.get)
         self.symbol = {c: i for i, c in enumerate(plain)}
-        self.ends, self.tail = len(plain), [vocab[c + END] for c in plain]
-        base = [vocab[c] for c in plain] + self.tail
-        self._byte_symbols([c for c in plain])
+        self.ends = len(plain)
+        base = [vocab[c] for c in plain] + [vocab[c + END] for c in plain]
+        self._byte_symbols()
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         # Merges: rank of a pair of ids, and the two pieces of a token with the rank that makes it.
         self.rank: dict[tuple[int, int], int] = {}
@@ -145,7 +145,7 @@ class PrefixBpe:
         self._automaton(base, made)
         self.known: dict[str, bytes] = {}
 
-    def _byte_symbols(self, plain: list[str]) -> None:
+    def _byte_symbols(self) -> None:
         """Symbol of every byte: printable bytes stand for themselves, the others for characters from 256 on."""
         itself = [*range(33, 127), *range(161, 173), *range(174, 256)]
         char = {b: chr(b) for b in itself}
@@ -274,12 +274,12 @@ class PrefixBpe:
                 self._simple(part, out)
             else:
                 # Nothing is joined or changed across white space, so odd chunks go their own way.
-                for j, chunk in enumerate(_ODD_CHUNK.split(part)):
-                    if j % 2:
+                for chunk in _BLANKS.split(part):
+                    if _SIMPLE.fullmatch(chunk):
+                        self._simple(chunk, out)
+                    else:
                         for w, _ in self.cut(self.normalize(chunk)):
                             out.append(self._new("", [self.symbol[c] for c in w]))
-                    else:
-                        self._simple(chunk, out)
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -46,6 +47,18 @@ def test_whole_table(spark, sf_docs, library):
     assert got == want
 
 
+def test_long_words_take_linear_time(library):
+    made = bpe.encoder(bpe.default_file())
+    took = []
+    for n in (20_000, 200_000):
+        text = "z" * n + " 漢 " + "ab" * (n // 2) + "é" * n + "¿" * n
+        t0 = time.time()
+        ids = made.encode(text)
+        took.append(time.time() - t0)
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert took[1] < 40 * took[0] + 1
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(text):
