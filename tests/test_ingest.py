@@ -447,6 +447,42 @@ def test_many_sections_are_linear(spark):
     assert time.time() - t0 < 30
 
 
+def test_one_section_with_many_responses_is_linear(spark):
+    """A file without headlines is one section, cut at all its responses in one pass."""
+    asks = [f"question {i} {EMOJI}\n{'x' * 30}\n" for i in range(60_000)]
+    said = [f"answer {i} {'y' * 30}" for i in range(60_000)]
+    head = 0
+    for _ in range(6):
+        at, spans = head, []
+        for a, b in zip(asks, said):
+            at += len(a)
+            spans.append(f"({at + 1} {at + len(b) + 1})")
+            at += len(b)
+        drawer = f":PROPERTIES:\n:GPTEL_BOUNDS: ((response {' '.join(spans)}))\n:END:\n"
+        head = len(drawer)
+    text = drawer + "".join(a + b for a, b in zip(asks, said))
+    t0 = time.time()
+    convs, msgs, _ = O.ingest_texts(spark.createDataFrame([("a.org", text)], "file_path string, content string"))
+    rows = msgs.orderBy("id").collect()
+    assert time.time() - t0 < 40
+    assert convs.count() == 1 and [r.id for r in rows] == list(range(1, 120_001))
+    assert [r.content for r in rows[1::2]] == said
+    assert [r.content for r in rows[2::2]] == [a.strip() for a in asks[1:]]
+    assert all(text[r.char_start:r.char_end].strip() == r.content for r in rows[1:])
+
+
+def test_cuts_across_blocks(spark):
+    """Every cut of a text of several blocks is Python's slice, wherever it starts and ends."""
+    import random
+    n, rng = 3 * O.BLOCK + 17, random.Random(3)
+    text = "".join(rng.choice(("a", "\n", "\r", "é", EMOJI)) for _ in range(n))
+    edges = [0, 1, O.BLOCK - 1, O.BLOCK, O.BLOCK + 1, 2 * O.BLOCK, 3 * O.BLOCK, n - 1, n, n + 5, -1, -n, -n - 3]
+    cuts = [(t, a, b) for t in ("", "b", text[:O.BLOCK], text) for a in edges for b in edges]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cuts)], "i int, t string, a long, b long")
+    got = df.select("i", O.py_slice(O.text_blocks(F.col("t")), F.col("a"), F.col("b"), F.length("t").cast("long"))).collect()
+    assert dict(map(tuple, got)) == {i: t[a:b] for i, (t, a, b) in enumerate(cuts)}
+
+
 def test_drawer_lengths(spark):
     """The histogram against the ten rounds of the format, on files whose bounds cross powers of ten."""
     import random
