@@ -447,10 +447,10 @@ def test_many_sections_are_linear(spark):
     assert time.time() - t0 < 30
 
 
-def test_one_section_with_many_responses_is_linear(spark):
-    """A file without headlines is one section, cut at all its responses in one pass."""
-    asks = [f"question {i} {EMOJI}\n{'x' * 30}\n" for i in range(60_000)]
-    said = [f"answer {i} {'y' * 30}" for i in range(60_000)]
+def _long_note(n):
+    """A note without headlines, so of one section: its text, the questions and the answers."""
+    asks = [f"question {i} {EMOJI}\n{'x' * 30}\n" for i in range(n)]
+    said = [f"answer {i} {'y' * 30}" for i in range(n)]
     head = 0
     for _ in range(6):
         at, spans = head, []
@@ -460,7 +460,12 @@ def test_one_section_with_many_responses_is_linear(spark):
             at += len(b)
         drawer = f":PROPERTIES:\n:GPTEL_BOUNDS: ((response {' '.join(spans)}))\n:END:\n"
         head = len(drawer)
-    text = drawer + "".join(a + b for a, b in zip(asks, said))
+    return drawer + "".join(a + b for a, b in zip(asks, said)), asks, said
+
+
+def test_one_section_with_many_responses_is_linear(spark):
+    """A file without headlines is one section, cut at all its responses in one pass."""
+    text, asks, said = _long_note(60_000)
     t0 = time.time()
     convs, msgs, _ = O.ingest_texts(spark.createDataFrame([("a.org", text)], "file_path string, content string"))
     rows = msgs.orderBy("id").collect()
@@ -471,6 +476,21 @@ def test_one_section_with_many_responses_is_linear(spark):
     assert all(text[r.char_start:r.char_end].strip() == r.content for r in rows[1:])
 
 
+def test_archive_of_a_long_section(spark, tmp_path):
+    """A second call that finds nothing new leaves the daily figures of a long section as they are."""
+    from chatlake.dataset import read_table
+    from chatlake.operators.ingest import ingest_archive
+    notes, root = tmp_path / "notes", str(tmp_path / "archive")
+    notes.mkdir()
+    (notes / "2024-01-05.org").write_text(_long_note(60_000)[0], encoding="utf-8")
+    t0 = time.time()
+    first, second = (ingest_archive(spark, str(notes), root) for _ in range(2))
+    assert time.time() - t0 < 60
+    assert (first.files, first.messages, second.files, second.skipped) == (1, 120_000, 0, 1)
+    day, = read_table(spark, root, "daily_stats").collect()
+    assert (day.total_messages, day.user_messages, day.conversation_count) == (120_000, 60_000, 1)
+
+
 def test_cuts_across_blocks(spark):
     """Every cut of a text of several blocks is Python's slice, wherever it starts and ends."""
     import random
