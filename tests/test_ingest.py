@@ -476,6 +476,17 @@ def test_one_section_with_many_responses_is_linear(spark):
     assert all(text[r.char_start:r.char_end].strip() == r.content for r in rows[1:])
 
 
+def test_long_section_on_disk(spark, tmp_path):
+    """The messages of a long file without headlines are those of its text, from a folder as well."""
+    text, _, said = _long_note(60_000)
+    (tmp_path / "undated.org").write_text(text, encoding="utf-8")
+    t0 = time.time()
+    convs, msgs, rejected = O.ingest_notes(spark, str(tmp_path))
+    rows = msgs.where("role = 'assistant'").orderBy("id").collect()
+    assert time.time() - t0 < 40
+    assert [r.content for r in rows] == said and convs.count() == 1 and rejected.count() == 0
+
+
 def test_archive_of_a_long_section(spark, tmp_path):
     """A second call that finds nothing new leaves the daily figures of a long section as they are."""
     from chatlake.dataset import read_table
