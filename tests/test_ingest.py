@@ -476,6 +476,16 @@ def test_one_section_with_many_responses_is_linear(spark):
     assert all(text[r.char_start:r.char_end].strip() == r.content for r in rows[1:])
 
 
+def test_rejects_beside_a_long_section(spark):
+    """A file with an impossible date is rejected in a time linear in the others."""
+    text = _long_note(60_000)[0]
+    files = spark.createDataFrame([("undated.org", text), ("2024-02-30.org", text)], "file_path string, content string")
+    t0 = time.time()
+    _, _, rejected = O.ingest_texts(files)
+    assert [tuple(r) for r in rejected.collect()] == [("2024-02-30.org", O.BAD_DATE)]
+    assert time.time() - t0 < 40
+
+
 def test_long_section_on_disk(spark, tmp_path):
     """The messages of a long file without headlines are those of its text, from a folder as well."""
     text, _, said = _long_note(60_000)
