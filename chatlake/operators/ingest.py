@@ -59,8 +59,11 @@ def ingest_archive(spark: SparkSession, directory: str, root: str, clear: bool =
     if known is not None and dedupe:
         # One row per file and no content: staged, as the table itself may be replaced below.
         known = staged(known, "known")
-        skipped = todo.select("file_path", "digest").join(known, ["file_path", "digest"], "left_semi").count()
-        todo = staged(todo.join(known, ["file_path", "digest"], "left_anti"), "scanned")
+        # One scan of the folder; known files leave their bytes behind.
+        seen = todo.join(known.distinct().withColumn("seen", F.lit(True)), ["file_path", "digest"], "left")
+        found = staged(seen.withColumn("raw", F.when(F.col("seen").isNull(), F.col("raw"))), "scanned")
+        skipped = found.where("seen").count()
+        todo = found.where("seen is null").drop("seen")
         changed = todo.where("digest is not null").join(known, "file_path", "left_semi").select("file_path")
         replaced = changed.count()
         if replaced:
@@ -70,7 +73,8 @@ def ingest_archive(spark: SparkSession, directory: str, root: str, clear: bool =
     convs, msgs, bad_names = org_notes.ingest_texts(org_notes.texts_of(todo))
     rejected = staged(todo.where("reason is not null").select("file_path", "reason").unionByName(bad_names), "rejected")
     read = staged(todo.join(rejected, "file_path", "left_anti").select("file_path", "digest"), "read")
-    convs, msgs = staged(convs, "conversations"), staged(msgs, "messages")
+    # Messages come from tables that are staged already: counted without their text, written once.
+    convs = staged(convs, "conversations")
     done = Ingested(read.count(), skipped, replaced, convs.count(), msgs.count(), rejected)
     if done.files:
         store.append_conversations(spark, root, convs, msgs, also={FILES: read})

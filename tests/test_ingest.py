@@ -512,6 +512,39 @@ def test_archive_of_a_long_section(spark, tmp_path):
     assert (day.total_messages, day.user_messages, day.conversation_count) == (120_000, 60_000, 1)
 
 
+def test_ingest_writes_message_texts_once(spark, tmp_path):
+    """Texts go to the archive from the table that the clean-up has staged, without a copy between them."""
+    from chatlake.dataset import read_table
+    from chatlake.operators.ingest import ingest_archive
+    from chatlake.plans.staging import staging_root
+    notes, root = tmp_path / "notes", str(tmp_path / "archive")
+    notes.mkdir()
+    (notes / "2024-01-05.org").write_text(_long_note(3)[0], encoding="utf-8")
+    folder = staging_root(spark).removeprefix("file:")
+
+    def copies():
+        return sum(n.startswith("messages-") for n in os.listdir(folder)) if os.path.isdir(folder) else 0
+    before = copies()
+    done = ingest_archive(spark, str(notes), root)
+    assert (done.files, done.conversations, done.messages) == (1, 1, 6) and copies() == before + 1
+    assert [r.id for r in read_table(spark, root, "messages").orderBy("id").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_file_known_twice_is_skipped_once(spark, tmp_path):
+    """A file that was added twice on request is one skipped file; one that cannot be read is tried again."""
+    from chatlake.operators.ingest import ingest_archive
+    notes, root = tmp_path / "notes", str(tmp_path / "archive")
+    notes.mkdir()
+    (notes / "2024-01-05.org").write_text(_long_note(3)[0], encoding="utf-8")
+    (notes / "2024-01-06.org").write_bytes(b"\xff\xfe")
+    for _ in range(2):
+        assert ingest_archive(spark, str(notes), root, dedupe=None).files == 1
+    (notes / "2024-01-07.org").write_text(_long_note(2)[0], encoding="utf-8")
+    last = ingest_archive(spark, str(notes), root)
+    assert (last.files, last.skipped, last.replaced, last.messages) == (1, 1, 0, 4)
+    assert [r.reason for r in last.rejected.collect()] == [O.NOT_UTF8]
+
+
 def test_cuts_across_blocks(spark):
     """Every cut of a text of several blocks is Python's slice, wherever it starts and ends."""
     import random
