@@ -63,10 +63,26 @@ _ORG_STEPS = [
 ]
 
 
+#: What the steps after the first look for; a text without any of these passes them unchanged.
+_ORG_MARKS = ["#+", "[[", ":PROPERTIES:", "@user", "@assistant", "\n\n\n"]
+
+
 def strip_org_formatting(c: Column) -> Column:
-    for pattern, repl in _ORG_STEPS:
-        c = F.regexp_replace(c, pattern, repl)
-    return strip_ws(c)
+    """The clean-up of ``_ORG_STEPS``, then ``strip_ws``.  ``c``: a column of the row, as it is read several times.
+
+    Plain searches tell which steps can find anything: the first needs a star
+    at the start of a line, the others one of ``_ORG_MARKS``.  The first never
+    makes such a mark: what it removes lies between a line's start and a
+    character that is not white space.
+    """
+    (pattern, repl), *steps = _ORG_STEPS
+    lines = F.when(F.startswith(c, F.lit("*")) | F.contains(c, F.lit("\n*")), F.regexp_replace(c, pattern, repl)).otherwise(c)
+    marked, whole = F.lit(False), lines
+    for mark in _ORG_MARKS:
+        marked = marked | F.contains(c, F.lit(mark))
+    for pattern, repl in steps:
+        whole = F.regexp_replace(whole, pattern, repl)
+    return strip_ws(F.when(marked, whole).otherwise(lines))
 
 
 def escape_org_headlines(c: Column) -> Column:

@@ -72,8 +72,9 @@ def texts_of(scanned: DataFrame) -> DataFrame:
 
     Newlines are normalised as Python's text reading does (CRLF and CR become LF).
     """
-    return scanned.where("reason is null").select(
-        "file_path", F.regexp_replace(F.col("raw").cast("string"), r"\r\n?", "\n").alias("content"))
+    text = F.col("raw").cast("string")
+    return scanned.where("reason is null").select("file_path", F.when(
+        F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text).alias("content"))
 
 
 def read_note_files(spark: SparkSession, directory: str) -> DataFrame:
@@ -272,11 +273,12 @@ def note_sections(notes: DataFrame) -> DataFrame:
 
 
 def parse_notes(notes: DataFrame, strict_offsets: bool = True) -> DataFrame:
-    """One row per message: file_path, k (order in the file), j (order in the section), role, content, char_start, char_end.
+    """One row per message: file_path, k (order in the file), j (order in the section), role, content, char_start, char_end, n.
 
     A section is cut in one pass; its messages are then rows that are dealt out
     by their own keys, so those of one long section are cleaned in many tasks.
-    They are staged, as the clean-up is the dearest step and several read it.
+    They are staged, as the clean-up is the dearest step and several read it;
+    ``n``, the content's length, lets those that need no text leave it on disk.
     """
     sb = F.array_sort(F.collect_list(F.struct((F.col("s") - 1).alias("s"), "i", (F.col("e") - 1).alias("e"))))
     cut_at = note_bounds(notes, strict_offsets).groupBy("file_path", "k").agg(sb.alias("sb"))
@@ -284,8 +286,9 @@ def parse_notes(notes: DataFrame, strict_offsets: bool = True) -> DataFrame:
     unit = notes.select("file_path", "k", "n", text_blocks(F.col("text")).alias("blocks")).join(cut_at, ["file_path", "k"])
     cut = unit.select("file_path", "k", F.posexplode(unit_messages(F.col("blocks"), F.col("sb"), F.col("n"))).alias("j", "m"))
     rows = cut.select("file_path", "k", "j", "m.*").repartition("file_path", "k", "j")
-    return staged(rows.select("file_path", "k", "j", "role", strip_org_formatting(F.col("raw")).alias("content"),
-                              "char_start", "char_end"), "messages").where(F.length("content") > 0)
+    clean = rows.select("file_path", "k", "j", "role", strip_org_formatting(F.col("raw")).alias("content"),
+                        "char_start", "char_end")
+    return staged(clean.select("*", F.length("content").alias("n")), "messages").where("n > 0")
 
 
 def parse_files(files: DataFrame, strict_offsets: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -586,3 +586,41 @@ def test_offsets_that_are_not_strict(spark, note_dir):
     assert [t for t in said(loose) if t not in ("r1", "last answer at the end")] == said(strict)
     again = [r.content for r in loose.where("role = 'user'").collect()]
     assert "q3" in again and "q3\nlast answer at the end" not in again
+
+
+def _all_steps(c):
+    """The clean-up step by step, whatever the text has."""
+    from chatlake.functions import text as X
+    for pattern, repl in X._ORG_STEPS:
+        c = F.regexp_replace(c, pattern, repl)
+    return X.strip_ws(c)
+
+
+def test_clean_up_of_any_text(spark):
+    """Steps that can find nothing are left out; the result is that of all steps."""
+    import random
+
+    from chatlake.functions.text import strip_org_formatting
+    rng = random.Random(5)
+    bits = ["*", "**", " ", "\n", "\n\n", "\t", " ", "\u0085", "\r", "#", "+", "#+begin_src", "#+END_SRC", "#+RESULTS:", "[", "[[", "]", "]]",
+            ":PROPERTIES:", ":END:", ":PROP", "ERTIES:", "@", "@user", "user", "@assistant", "x", "é", EMOJI]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    rows = df.select("text", strip_org_formatting(F.col("text")).alias("a"), _all_steps(F.col("text")).alias("b"))
+    assert rows.where("not a <=> b").collect() == []
+
+
+def test_clean_up_of_plain_text_is_cheap(spark):
+    """A text without markup is searched for plain marks only; it takes a fraction of the time of one with markup."""
+    from chatlake.functions.text import strip_org_formatting
+    line = F.repeat(F.lit("some plain words of a message. "), 300)
+    took = {}
+    for mark in ("", "@user "):
+        df = spark.range(0, 4000, 1, 4).select(F.concat(F.lit(mark), F.col("id").cast("string"), line).alias("raw")).cache()
+        df.count()
+        for _ in range(3):
+            t0 = time.time()
+            df.select(strip_org_formatting(F.col("raw"))).write.format("noop").mode("overwrite").save()
+            took[mark] = min(took.get(mark, 1e9), time.time() - t0)
+        df.unpersist()
+    assert took[""] * 2 < took["@user "]
