@@ -624,3 +624,12 @@ def test_clean_up_of_plain_text_is_cheap(spark):
             took[mark] = min(took.get(mark, 1e9), time.time() - t0)
         df.unpersist()
     assert took[""] * 2 < took["@user "]
+
+
+def test_note_queries_need_conversations_only(spark, tmp_path):
+    """Queries that parse note files read the conversations; no archive of all tables is written for them."""
+    import __spark_entry__ as E
+    spark.createDataFrame([(59, 0, "user", "q"), (59, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", "a")],
+                          "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = E.queries()["note_rejects"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [("notes/2024-02-30.org", O.BAD_DATE)]
