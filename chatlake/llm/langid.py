@@ -39,6 +39,8 @@ from chatlake.llm.common import crc32_of_id
 
 UND = "und"
 _CHUNK = 1 << 20
+#: Texts a task holds as Python objects at once.
+_TEXTS = 500
 _HASHES = 2
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
@@ -184,23 +186,25 @@ def fit(docs: DataFrame, sample_docs: int = 1000, slot_bits: int = 22, least_sha
     return f.close()
 
 
-def identify(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep`` columns, doc_id, lang_pred and score of every document."""
+def identify(docs: DataFrame, model: LanguageFilter, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """``keep`` columns, doc_id, lang_pred and score of every document, whose text is the column ``text``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size
     cols = list(dict.fromkeys(["doc_id", *keep]))
-    text = "text" if "text" not in cols else "__t"
-    src = docs.select(*cols, F.col("text").alias(text))
+    src = list(dict.fromkeys([*cols, text]))  # a text that is kept is not sent twice
+    at = src.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, score = sent.value.predict(b.column(len(cols)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(score)],
-                                             names=[*cols, "lang_pred", "score"])
+            for k in range(0, b.num_rows, _TEXTS):
+                part = b.slice(k, _TEXTS)
+                names, score = sent.value.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(names, pa.string()), pa.array(score)],
+                                                 names=[*cols, "lang_pred", "score"])
 
     from pyspark.sql import types as T
     schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    return src.mapInArrow(run, schema)
+    return docs.select(*src).mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame, **params) -> DataFrame:

@@ -44,6 +44,10 @@ from chatlake.llm.graph import connected_components
 BLOCK = 512
 #: Key rows a group holds.
 GROUP_ROWS = 200_000
+#: Keys a task makes and counts; nearly all are different, so the counts need memory for each.
+KEY_ROWS = 400_000
+#: Texts a task holds as Python objects at once.
+TEXTS = 500
 
 
 def simhash(text: bytes | None, words: int, seed: int = 42) -> int:
@@ -72,9 +76,11 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, words) for t in b.column(2).cast(pa.large_binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))],
-                                             names=["doc_id", "row", "fp"])
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                fp = np.array([simhash(t, words) for t in part.column(2).cast(pa.large_binary()).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))],
+                                                 names=["doc_id", "row", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("row"), "text").mapInArrow(
@@ -152,9 +158,13 @@ def forest(cell: np.ndarray, start: np.ndarray, fp: np.ndarray, ring: Ring) -> t
     return known[moved], known[parent[moved]]
 
 
-def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that span every component."""
-    ring = Ring(max_bits)
+def ring_keys(fps: DataFrame, ring: Ring) -> DataFrame:
+    """Distinct fingerprints (fp) -> (key, fp), dealt to tasks of about ``KEY_ROWS`` keys.
+
+    A fingerprint has so many keys that the few files of ``fps`` would make tasks too large to count them.
+    """
+    each = ring.keys(np.zeros(1, np.uint64)).shape[1]
+    tasks = n_groups(fps.count() * each, KEY_ROWS, shuffle_partitions(fps.sparkSession))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,7 +175,13 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
                     [pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(fp, k.shape[1]).view(np.int64))],
                     names=["key", "fp"])
 
-    keys = fps.select("fp").mapInArrow(keyed, "key long, fp long")
+    return fps.select("fp").repartition(tasks, "fp").mapInArrow(keyed, "key long, fp long")
+
+
+def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b) that span every component."""
+    ring = Ring(max_bits)
+    keys = ring_keys(fps, ring)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = keys.join(shared, "key")
     # A large key: the fingerprint's block meets every block, one cell a pair of blocks.
@@ -203,10 +219,17 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
 
 def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """The documents, one row of every component: its smallest doc_id."""
-    found = near_duplicates(docs, words, max_bits)
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("x"))
-    first = stored(first.select(F.col("x.doc_id").alias("__d"), F.col("x.row").alias("__r")).distinct(), "simkept")
+    found = near_duplicates(docs, words, max_bits).groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row", "n")).alias("x"))
+    first = stored(first.groupBy(F.col("x.doc_id").alias("__d"), F.col("x.row").alias("__r"))
+                   .agg(F.sum("x.n").alias("__n")), "simkept")
     rows = docs.withColumn("__row", F.xxhash64("text"))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(first["__d"]) & (rows["__row"] == first["__r"]), "left_semi")
-    # Rows that are the same in id and text are copies of each other.
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*docs.columns)
+
+    def of(some: DataFrame) -> DataFrame:
+        return rows.join(some, rows["doc_id"].eqNullSafe(some["__d"]) & (rows["__row"] == some["__r"]), "left_semi")
+
+    kept = of(first.where("__n = 1"))
+    # Rows that are the same in id and text are copies of each other; only their texts are shuffled once more.
+    if first.agg(F.max("__n") > 1).first()[0]:
+        kept = kept.unionByName(of(first.where("__n > 1")).dropDuplicates(["doc_id", "__row"]))
+    return kept.select(*docs.columns)

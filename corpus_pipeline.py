@@ -24,9 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fold = F.pmod(crc32_of_id("doc_id"), F.lit(3))
     model = langid.fit(docs.where(F.coalesce(fold != 1, F.lit(False))))
     # The result columns must not clash with columns the documents have already.
-    named = docs.select(*[F.col(c).alias(f"in_{c}") if c != "doc_id" else F.col(c) for c in docs.columns],
-                        "text")
-    found = langid.identify(named, model, keep=tuple(f"in_{c}" for c in docs.columns if c != "doc_id"))
+    named = docs.select(*[F.col(c).alias(f"in_{c}") if c != "doc_id" else F.col(c) for c in docs.columns])
+    found = langid.identify(named, model, keep=tuple(f"in_{c}" for c in docs.columns if c != "doc_id"), text="in_text")
     kept = found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col(f"in_{c}").alias(c) if c != "doc_id" else F.col(c) for c in docs.columns])
 

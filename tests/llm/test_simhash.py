@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from chatlake.llm import simhash
 
@@ -104,6 +105,32 @@ def test_links_find_every_close_pair(spark, monkeypatch):
     assert [find(i) for i in range(len(fps))] == components(fps)
 
 
+def test_keys_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    """64 keys a fingerprint: fingerprints that lie in one small file would be one task."""
+    monkeypatch.setattr(simhash, "KEY_ROWS", 50_000)
+    fps = spark.range(0, 10_000, 1, 1).selectExpr("xxhash64(id) AS fp")
+    keys = simhash.ring_keys(fps, simhash.Ring(4))
+    sizes = [r["count"] for r in keys.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 640_000 and max(sizes) < 2 * 50_000
+
+
+def test_one_of_each_moves_texts_once(docs_of):
+    """Texts meet their kept id once; only repeated rows (same id and text) are put together."""
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(400)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    docs = [(1, a), (2, b), (3, a), (None, a), (4, c), (5, None), (6, "")]
+    kept = simhash.one_of_each(docs_of(docs))
+    assert "Aggregate" not in kept._jdf.queryExecution().executedPlan().toString()
+    want = {(None, a), (2, b), (4, c), (5, None)}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    # Rows of one id with other texts are no copies; repeated rows are, also those of a null id.
+    docs += [(None, a)] * 3 + [(2, b)] * 2 + [(4, text()), (5, None)]
+    kept = simhash.one_of_each(docs_of(docs))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want | {docs[-2]}, key=str)
+    assert kept.columns == docs_of(docs).columns
+
+
 def test_ring_budgets():
     ring = simhash.Ring(4)
     assert sum(ring.width) == 64 and ring.budget == [0, 1, 2, 3, 4]
