@@ -15,8 +15,9 @@ segment's value and the next one's without that bit (65 keys of 25 bits for
 all longer chains, the last of which is the full Hamming check.
 
 Scale: copies collapse first, so the links are between distinct fingerprints.
-Keys of one fingerprint only are dropped by a partial aggregate.  Keys are
-dealt to groups of bounded rows; a key with more than ``BLOCK`` fingerprints
+Keys of one fingerprint only are dropped by a partial aggregate and a merge
+join, as nothing that grows with the keys may be broadcast.  Keys are dealt to
+groups of bounded rows; a key with more than ``BLOCK`` fingerprints
 is split into blocks, and each pair of blocks is a group of its own.  A task
 compares its pairs in numpy and returns a spanning forest (at most one row a
 fingerprint), never the pairs.
@@ -183,7 +184,8 @@ def links(fps: DataFrame, max_bits: int = 4) -> DataFrame:
     ring = Ring(max_bits)
     keys = ring_keys(fps, ring)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = keys.join(shared, "key")
+    # Spark sizes the keys like the fingerprints they are made of and would broadcast either side.
+    rows = keys.join(shared.hint("merge"), "key")
     # A large key: the fingerprint's block meets every block, one cell a pair of blocks.
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn(

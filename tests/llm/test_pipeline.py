@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from chatlake.llm import mixing
+from chatlake.llm import mixing, simhash
 
 
 #: Further columns, named like results and internal columns of the stages.
@@ -65,6 +65,22 @@ def test_language_sends_a_text_once(spark, corpus):
     assert len(re.findall(r"\b(?:in_)?text#", sent)) == 1
 
 
+def test_fingerprint_keys_are_not_broadcast(spark, corpus, monkeypatch):
+    """Spark sizes a fingerprint's keys like the fingerprint, so either side of their join looks small enough to send."""
+    plans, stored = {}, simhash.stored
+
+    def watched(df, name):
+        if name == "simkeys":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", watched)
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    corpus_pipeline.near_duplicates(spark, docs, corpus[0])
+    assert "SortMergeJoin" in plans["simkeys"] and "Broadcast" not in plans["simkeys"]
+
+
 def test_one_document_of_every_group(stages):
     before, after = Counter(r.doc_id for r in stages[0]), Counter(r.doc_id for r in stages[1])
     assert max(after.values()) == 1
