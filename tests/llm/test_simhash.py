@@ -114,6 +114,24 @@ def test_keys_are_dealt_to_bounded_tasks(spark, monkeypatch):
     assert sum(sizes) == 640_000 and max(sizes) < 2 * 50_000
 
 
+def test_links_broadcast_no_keys(spark, monkeypatch):
+    """64 keys a fingerprint, whose size Spark takes for that of the fingerprints: neither they nor their counts are sent."""
+    plans, stored = {}, simhash.stored
+
+    def watched(df, name):
+        if name == "simkeys":
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", watched)
+    close = "explode(array(0L, 1L, 6L)) AS x"
+    fps = spark.range(0, 500, 1, 1).selectExpr("id", close).selectExpr("xxhash64(id) ^ x AS fp")
+    assert len({x for link in simhash.links(fps).collect() for x in link}) == 1500
+    assert "isFinalPlan=true" in plans["simkeys"]
+    assert "SortMergeJoin" in plans["simkeys"] and "Broadcast" not in plans["simkeys"]
+
+
 def test_one_of_each_moves_texts_once(docs_of):
     """Texts meet their kept id once; only repeated rows (same id and text) are put together."""
     rng = random.Random(3)
